@@ -93,7 +93,7 @@ class ByteBPE:
 
     def reset(self) -> None:
         self.seen = Numbering()
-        self.flat, self.start, self.count = Grown(np.int32), Grown(np.int64), Grown(np.int32)
+        self.flat, self.start, self.count, self.chars = Grown(np.int32), Grown(np.int64), Grown(np.int32), Grown(np.int32)
 
     # one matrix of pre-tokens whose lengths lie in one bucket
     def _merge_rows(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,10 +193,18 @@ class ByteBPE:
             self.flat.extend(ids)
         self.start.extend(start)
         self.count.extend(counts)
+        self.chars.extend(np.array([len(w) for w in words], np.int32))
 
     def pretokens(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
+    def counts(self, words: list[str]) -> list[int]:
+        """Tokens of each pre-token."""
+        numbers = [self.seen[w] for w in words]
+        if self.seen.fresh:
+            self._learn(self.seen.take_fresh())
+        return self.count.data[numbers].tolist() if numbers else []
+
     def number(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Pre-token numbers of all texts in one array, and how many belong to each text."""
         if len(self.seen) > common.TABLE_LIMIT:
