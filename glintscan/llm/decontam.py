@@ -28,31 +28,48 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lower, SEPARATORS), lambda w: w != "")
 
 
-def shifted(a: Column, n: int) -> Column:
-    return F.slice(a, F.lit(n + 1), F.greatest(F.size(a) - n, F.lit(0)))
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often body names it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def paired(a: Column, n: int, size: int, f) -> Column:
-    """f(a[i], a[i + n]) for as many i as leave `size` words from i on; `size` is what both elements cover."""
-    return F.slice(F.zip_with(a, shifted(a, n), f), F.lit(1), F.greatest(F.size(a) - n, F.lit(0)))
+def paired(a: Column, n: int, f) -> Column:
+    """f(a[i], a[i + n]) for every i that has both."""
+
+    def zipped(x):
+        left = F.greatest(F.size(x) - n, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), left), F.slice(x, F.lit(n + 1), left), f)
+
+    return let(a, zipped)
 
 
 def gram_size(width: int) -> int:
     return min(GRAM, width)
 
 
-def with_fingerprints(df: DataFrame, hashes: str, width: int, name: str) -> DataFrame:
-    """Each step of the doubling is a column of its own, so that no expression is evaluated twice."""
-    k = gram_size(width)
-    step, have = hashes, 1
+def fingerprints(words: Column, width: int) -> Column:
+    """The least hash of the K-grams of each window of `width` words, one for each start of a window.
+
+    Hashes of runs and least values of windows are both built up by doubling.
+    """
+    out, k = F.transform(words, lambda w: F.xxhash64(w)), gram_size(width)
     for size, f in ((k, lambda a, b: F.xxhash64(a, b)), (width - k + 1, lambda a, b: F.least(a, b))):
         have = 1
         while have < size:
             by = min(have, size - have)
-            df = df.withColumn(f"{name}_", paired(F.col(step), by, have + by, f))
-            df = df.withColumn(name, F.col(f"{name}_")).drop(f"{name}_")
-            step, have = name, have + by
-    return df.withColumn(name, F.col(step)) if step != name else df
+            out, have = paired(out, by, f), have + by
+    return out
+
+
+def met_spans(width: int):
+    """From words: the windows whose print is in the column `met`, as (at, print, span)."""
+
+    def of(words):
+        placed = let(fingerprints(words, width), lambda prints: F.transform(prints, lambda p, i: F.struct(i.alias("at"), p.alias("print"))))
+        hits = F.filter(placed, lambda x: F.array_contains(F.col("met"), x["print"]))
+        return F.transform(hits, lambda x: F.struct(x["at"].alias("at"), x["print"].alias("print"), F.concat_ws(" ", F.slice(words, x["at"] + 1, F.lit(width))).alias("span")))
+
+    return of
 
 
 def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -68,7 +85,6 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     docs = docs.drop(*[c for c in docs.columns if c.lower() in result])
     tests = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("words"))
     tests = tests.withColumn("n", F.size("words")).filter(F.col("n") > 0).withColumn("width", F.least(F.col("n"), F.lit(WINDOW)))
-    tests = tests.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     widths = sorted(r["width"] for r in tests.select("width").distinct().collect())  # 13 rows at most
 
     # copies are extended once: everything goes by a digest of the text
@@ -77,24 +93,20 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     keyed = docs.withColumn(key, F.sha2(text, 256)).withColumn("n_words", F.size(words_of(text)).cast("long"))
     base = docs.select(F.sha2(text, 256).alias("key_"), text.alias("text_"))
 
-    def hashed(df):
-        return df.withColumn("words", words_of(F.col("text_"))).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-
     found = None
     for width in widths:
-        one = with_fingerprints(tests.filter(F.col("width") == width), "hashes", width, "prints")
-        windows = one.select("item", "words", F.posexplode("prints").alias("at", "print"))
-        windows = windows.select("item", "print", F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(width))).alias("span")).distinct()
+        one = tests.filter(F.col("width") == width)
+        spans_of = lambda words, prints: F.zip_with(prints, F.transform(prints, lambda _, i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(width)))), lambda p, s: F.struct(p.alias("print"), s.alias("span")))
+        windows = one.select("item", F.inline_outer(let(fingerprints(F.col("words"), width), lambda prints: spans_of(F.col("words"), prints)))).distinct()
         wanted = windows.select("print").distinct()
-        printed = with_fingerprints(hashed(base), "hashes", width, "prints")
-        met = printed.select("key_", F.explode(F.array_distinct("prints")).alias("print")).join(wanted, "print", "left_semi")
-        met = met.groupBy("key_").agg(F.collect_set("print").alias("met"))  # at most the prints of one text
+        # outer generators: an inner one would have its array computed a second time, as a filter on its size
+        printed = base.select("key_", F.explode_outer(F.array_distinct(fingerprints(words_of(F.col("text_")), width))).alias("print"))
+        met = printed.join(wanted, "print", "left_semi").groupBy("key_").agg(F.collect_set("print").alias("met"))  # at most the prints of one text
         # extend: only the windows of a text that were met, and those word by word
         texts = base.join(met, "key_").groupBy("key_").agg(F.first("text_").alias("text_"), F.first("met").alias("met"))
-        texts = with_fingerprints(hashed(texts), "hashes", width, "prints")
-        starts = F.filter(F.sequence(F.lit(0), F.size("prints") - 1), lambda i: F.array_contains(F.col("met"), F.get(F.col("prints"), i)))
-        spans = F.transform(starts, lambda i: F.struct(i.alias("at"), F.get(F.col("prints"), i).alias("print"), F.concat_ws(" ", F.slice(F.col("words"), i + 1, F.lit(width))).alias("span")))
-        hits = texts.select("key_", F.inline(spans)).join(windows, ["print", "span"]).select("key_", "at", F.lit(width).alias("width"), "item")
+
+        spans = texts.select("key_", F.inline_outer(let(words_of(F.col("text_")), met_spans(width))))
+        hits = spans.join(windows, ["print", "span"]).select("key_", "at", F.lit(width).alias("width"), "item")
         found = hits if found is None else found.unionByName(hits)
 
     if found is None:

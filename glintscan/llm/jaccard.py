@@ -156,16 +156,16 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out + np.rint(total).astype(np.int64)
 
 
-def verify(keys: list[bytes], left: np.ndarray, sets: list[np.ndarray], prefix: np.ndarray, threshold: float) -> list[tuple[bytes, int, bytes]]:
+def verify(keys: list[bytes], left: np.ndarray, sets: list[np.ndarray], prefix: np.ndarray, threshold: float, across: bool) -> list[tuple[bytes, int, bytes]]:
     """(key, links, least key that its links lead to) of each text of a pair of blocks; `left` marks the first block.
 
-    If both kinds are there, only pairs across are counted (those within a block have a task of their own).
+    Between two blocks (`across`) only pairs across are counted; those within a block have a task of their own.
     """
     m = len(keys)
     near = np.zeros((m, m), bool)
     for t in range(prefix.shape[1]):
         near |= prefix[:, t][:, None] == prefix[:, t][None, :]
-    if left.any() and not left.all():
+    if across:
         near &= left[:, None] != left[None, :]
     np.fill_diagonal(near, False)
     a, b = np.nonzero(np.triu(near))
@@ -235,7 +235,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, text_c
     def check(batches):
         for group in runs(batches, 3):
             if len(group) > 1:
-                made = verify([r[3] for r in group], np.array([r[4] == r[1] for r in group]), [np.frombuffer(r[5], np.uint64) for r in group], np.array([r[6] for r in group], np.int64), threshold)
+                made = verify([r[3] for r in group], np.array([r[4] == r[1] for r in group]), [np.frombuffer(r[5], np.uint64) for r in group], np.array([r[6] for r in group], np.int64), threshold, group[0][1] != group[0][2])
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.binary()), pa.array([r[1] for r in made], pa.int64()), pa.array([r[2] for r in made], pa.binary())], names=["key", "links", "root"])
 

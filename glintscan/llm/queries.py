@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintscan.llm import bpe, decontam, langid, quality, tiff, token_counts, toxicity
+from glintscan.llm import bpe, decontam, jaccard, langid, quality, shards, suffix_dedup, tiff, token_counts, toxicity
 from glintscan.llm.common import read, remainder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +21,10 @@ def usable(n: int, r: int):
     return F.coalesce(remainder("doc_id", n) != r, F.lit(False))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), usable(3, 1))
@@ -28,6 +32,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.mark(docs, read(spark, sf_dir, "benchmark"))
@@ -99,7 +113,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op5_decontamination, op6_token_counts, op7_tiff, op8_language_id, op9_quality, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_toxicity, op3_label_shards, op4_suffix_dedup, op5_decontamination, op6_token_counts, op7_tiff, op8_language_id, op9_quality, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintscan.llm.common import free_name, ship
+from glintscan.llm.common import ship
 
 LENGTH, GRAM = 50, 16
 NO_ID = np.int64(2**63 - 1)
@@ -441,7 +441,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     result = ["kept", "n_bytes", "n_removed", "spans"]
     keep = [c for c in df.columns if c.lower() not in result]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    uid_name = free_name(df, "uid")
+    uid_name = "found_uid"  # other columns of df are renamed below
     raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     number = F.col(f"`{id_col}`").cast("long")
     own = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(keep) if c != text_col]

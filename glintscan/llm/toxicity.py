@@ -17,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -151,8 +150,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable, label_col: str,
     once has its greatest label; null ids, labels and texts are never used.
     """
     one = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("y"))
-    ranked = one.withColumn("n", F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    chosen = ranked.filter(F.col("n") <= F.when(F.col("y") == 0, per_class[0]).otherwise(per_class[1])).select(F.col("doc_id").alias("chosen_id"), "y")
+    drawn = [one.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in enumerate(per_class)]
+    chosen = drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("chosen_id"), "y")
     rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("chosen_id", "y", "text")
     once: dict[int, tuple[str, int]] = {}
     for i, y, text in rows.toLocalIterator():
