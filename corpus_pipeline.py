@@ -1,10 +1,65 @@
-"""The corpus pipeline: stages over `documents`, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages over `documents`, each over all that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
+docs. All but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glintscan.llm import bpe, decontam, jaccard, langid, suffix_dedup
+from glintscan.llm.queries import PIECES, RANKS
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: a null text or one without a letter. The model learns from `lang` of its own input."""
+    model = langid.fit(docs, langid.vocabulary(PIECES), F.lit(True))
+    return langid.detect(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of equal and similar texts."""
+    return jaccard.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that an earlier document has as well; documents of which nothing is left go.
+
+    A character that a cut has broken is dropped, with every U+FFFD of a text that was cut. n_chars follows the text.
+    """
+    cut = suffix_dedup.remove_repeats(docs)
+    kept = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    changed = cut.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(kept)).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
+    return changed.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are contaminated with the benchmark."""
+    marked = decontam.mark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return marked.filter(~F.col("contaminated")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and the ids of every document."""
+    encoded = bpe.encode_documents(docs, bpe.read_ranks(RANKS), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontaminate", decontaminate), ("tokens", tokens)]
+#: SQL can't express the learned language model; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; what lies between them is written to the session's shared folder."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/glintscan'}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
