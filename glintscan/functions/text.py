@@ -19,7 +19,7 @@ def snippet_bytes(line: Column, token: Column) -> Column:
     """
     size, dots = F.octet_length(line), F.encode(F.lit("..."), "UTF-8")
     none = F.encode(F.lit(""), "UTF-8")
-    at = F.octet_length(F.substring_index(line, token, 1))
+    at = F.octet_length(F.call_function("substring_index", line, token, F.lit(1)))
     start = F.greatest(at - AROUND, F.lit(0))
     end = F.least(at + F.octet_length(token) + AROUND, size)
     inside = F.concat(F.when(start > 0, dots).otherwise(none), _bytes(start, end - start, line), F.when(end < size, dots).otherwise(none))

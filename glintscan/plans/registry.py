@@ -36,7 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Shared SQL text over the pages table, without a view that would outlive the query."""
-    return spark.sql(text.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
+    text = text.replace("{", "{{").replace("}", "}}").replace("FROM pages", "FROM {pages}")
+    return spark.sql(text, pages=table(spark, sf_dir, "pages"))
 
 
 def planted_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ def s_tokens(lines: str) -> str:
 def s_raw(blobs: str, rules=EFFECTIVE, entropy: bool = False) -> str:
     parts = [f"SELECT page_id, blob_ord, path, line, text, {r.ord} AS det_ord, {lit(r.name)} AS detector, {lit(r.type)} AS type, unnest(m) AS token, generate_subscripts(m, 1) - 1 AS match_ord FROM (SELECT *, regexp_extract_all(text, {lit(r.pattern)}, 1) AS m FROM src_lines)" for r in rules]
     if entropy:
-        parts.append(f"SELECT page_id, blob_ord, path, line, text, {ENTROPY_ORD}, {lit(ENTROPY_NAME)}, 'generic', token, match_ord FROM ({s_tokens('SELECT * FROM src_lines')}) WHERE {S_ENTROPY} >= 3.5")
+        parts.append(f"SELECT page_id, blob_ord, path, line, text, {ENTROPY_ORD} AS det_ord, {lit(ENTROPY_NAME)} AS detector, 'generic' AS type, token, match_ord FROM ({s_tokens('SELECT * FROM src_lines')}) WHERE {S_ENTROPY} >= 3.5")
     return f"WITH src_lines AS MATERIALIZED ({s_lines(blobs)}) " + " UNION ALL ".join(parts)
 
 
@@ -254,7 +255,7 @@ def k_plain_lines(spark, sf_dir):
     return report.plain_lines(_scan(spark, sf_dir)[2]).select("page_id", "text")
 
 
-S_SUMMARY = f"""SELECT p.page_id, p.url, array_to_string({S_TECH.replace('html', 'p.html')}, ', ') AS technologies, coalesce(b.n, 0) AS js_blobs, coalesce(f.total, 0) AS total,
+S_SUMMARY = f"""SELECT p.page_id, p.url, array_to_string({S_TECH}, ', ') AS technologies, coalesce(b.n, 0) AS js_blobs, coalesce(f.total, 0) AS total,
   coalesce(f.secret, 0) AS secret, coalesce(f.config, 0) AS config, coalesce(f.endpoint, 0) AS endpoint, coalesce(f.generic, 0) AS generic
 FROM ({S_SCRIPTED}) p
 LEFT JOIN (SELECT page_id, count(*) AS n FROM ({s_blobs(S_SCRIPTED, S_RESOURCES)}) WHERE source <> 'html' GROUP BY page_id) b ON b.page_id = p.page_id
