@@ -46,13 +46,21 @@ def attribute(attributes: Column, name: str) -> Column:
     return value
 
 
-def script_tags(pages: DataFrame) -> DataFrame:
-    """Every script element in document order: page_id, url, tag_ord, src, body. CR and CRLF in the text become LF."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url and `tags`: every script element in document order as (tag_ord, src, body). CR and CRLF in the text become LF."""
     matches = F.regexp_extract_all("html", F.lit(markup_pattern(True)), F.lit(0))
     scripts = F.filter(matches, lambda m: m.rlike(rf"(?i)\A<script[{BLANK}/>]"))
-    tags = pages.filter(F.contains(F.lower("html"), F.lit("<script"))).select("page_id", "url", F.posexplode(scripts).alias("tag_ord", "tag"))
-    body = F.replace(F.replace(F.regexp_extract("tag", script_pattern("text", True), 1), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return tags.select("page_id", "url", "tag_ord", attribute(F.regexp_extract("tag", script_pattern("attributes", True), 1), "src").alias("src"), body.alias("body"))
+    text = lambda t: F.replace(F.replace(F.regexp_extract(t, script_pattern("text", True), 1), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    src = lambda t: attribute(F.regexp_extract(t, script_pattern("attributes", True), 1), "src")
+    tags = F.transform(scripts, lambda t, i: F.struct(i.alias("tag_ord"), src(t).alias("src"), text(t).alias("body")))
+    # most pages without a script are told by a search, not by the pattern
+    return pages.filter(F.contains(F.lower("html"), F.lit("<script"))).select("page_id", "url", tags.alias("tags"))
+
+
+def script_tags(pages: DataFrame) -> DataFrame:
+    """One row for each script element: page_id, url, tag_ord, src, body."""
+    # outer: an inner generator would have the page parsed a second time, as a filter on the number of tags
+    return parsed(pages).select("page_id", "url", F.inline_outer("tags")).filter(F.col("tag_ord").isNotNull())
 
 
 def script_address(cfg: ScanConfig) -> Column:
@@ -73,21 +81,15 @@ def blobs(pages: DataFrame, resources: DataFrame | None = None, cfg: ScanConfig
     `resources` (url, status, body) has its address with status 200, once for each such row; otherwise it vanishes. Numbers
     and order come from arrays inside the page's row, so the only shuffle is the join with resources.
     """
-    by_page = pages.select("page_id", "url", "html")
-    matches = F.regexp_extract_all("html", F.lit(markup_pattern(True)), F.lit(0))
-    scripts = F.filter(matches, lambda m: m.rlike(rf"(?i)\A<script[{BLANK}/>]"))
-    text = lambda t: F.replace(F.replace(F.regexp_extract(t, script_pattern("text", True), 1), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    src = lambda t: attribute(F.regexp_extract(t, script_pattern("attributes", True), 1), "src")
-    parsed = by_page.withColumn("tags", F.transform(scripts, lambda t, i: F.struct(i.alias("tag_ord"), src(t).alias("src"), text(t).alias("body"))))
-    kept = F.filter("tags", lambda t: (t["src"] == "") & t["body"].rlike(r"(?U)\S"))
-    js = parsed.withColumn("inline", kept).select("page_id", "url", F.posexplode("inline").alias("k", "t"))
+    inline = F.filter("tags", lambda t: (t["src"] == "") & t["body"].rlike(r"(?U)\S"))
+    js = parsed(pages).select("page_id", "url", F.posexplode(inline).alias("k", "t"))
     js = js.select("page_id", F.col("t.tag_ord").alias("blob_ord"), F.lit("inline").alias("source"), F.concat("url", F.lit("#inline-"), F.col("k") + 1).alias("path"), F.col("t.body").alias("body"))
     out = js
     if resources is not None:
         good = resources.filter(F.col("status") == 200).select(F.col("url").alias("script_url"), F.col("body").alias("script_body"))
         fetched = external_scripts(pages, cfg).join(good, "script_url")
         out = out.unionByName(fetched.select("page_id", F.col("tag_ord").alias("blob_ord"), F.lit("external").alias("source"), F.col("script_url").alias("path"), F.col("script_body").alias("body")))
-    html = by_page.filter(F.col("html") != "").select("page_id", F.lit(2**31 - 1).alias("blob_ord"), F.lit("html").alias("source"), F.col("url").alias("path"), F.col("html").alias("body"))
+    html = pages.filter(F.col("html") != "").select("page_id", F.lit(2**31 - 1).alias("blob_ord"), F.lit("html").alias("source"), F.col("url").alias("path"), F.col("html").alias("body"))
     return out.unionByName(html)
 
 
