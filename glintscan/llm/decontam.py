@@ -103,7 +103,8 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
         printed = base.select("key_", F.explode_outer(F.array_distinct(fingerprints(words_of(F.col("text_")), width))).alias("print"))
         met = printed.join(wanted, "print", "left_semi").groupBy("key_").agg(F.collect_set("print").alias("met"))  # at most the prints of one text
         # extend: only the windows of a text that were met, and those word by word
-        texts = base.join(met, "key_").groupBy("key_").agg(F.first("text_").alias("text_"), F.first("met").alias("met"))
+        # copies are put together before the join, task by task, so that a much copied text doesn't fill one
+        texts = base.groupBy("key_").agg(F.first("text_").alias("text_")).join(met, "key_")
 
         spans = texts.select("key_", F.inline_outer(let(words_of(F.col("text_")), met_spans(width))))
         hits = spans.join(windows, ["print", "span"]).select("key_", "at", F.lit(width).alias("width"), "item")
