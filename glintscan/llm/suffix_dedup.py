@@ -133,18 +133,29 @@ def suffix_ranks(s: np.ndarray, need: int, reach: int = 1) -> np.ndarray:
         return (two_names[at] << wide) | rank[np.minimum(at + 2, n + 2)]
 
     real_one = one[one < n]
-    zero_pair, one_pair = pair(zero), pair(real_one)
-    zero_triple, two_triple = triple(zero), triple(two)
-    sorted_zero, sorted_one = np.sort(zero_pair), np.sort(one_pair)
-    sorted_zero3, sorted_two3 = np.sort(zero_triple), np.sort(two_triple)
-    sorted_sample = np.sort(rank[np.concatenate([real_one, two])])
+    zero2, one2, zero3, two3 = (in_order(k) for k in (pair(zero), pair(real_one), triple(zero), triple(two)))
+    both = in_order(rank[np.concatenate([real_one, two])])
     out = np.zeros(n, np.int64)
-    out[zero] = np.searchsorted(sorted_zero, zero_pair) + np.searchsorted(sorted_one, zero_pair) + np.searchsorted(sorted_two3, zero_triple)
-    out[real_one] = np.searchsorted(sorted_sample, rank[real_one]) + np.searchsorted(sorted_zero, one_pair)
-    out[two] = np.searchsorted(sorted_sample, rank[two]) + np.searchsorted(sorted_zero3, two_triple)
+    out[zero] = below(zero2, zero2) + below(one2, zero2) + below(two3, zero3)
+    less = below(both, both)
+    out[real_one] = less[: len(real_one)] + below(zero2, one2)
+    out[two] = less[len(real_one) :] + below(zero3, two3)
     return out + 1
 
 
+def in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys sorted, and where each came from."""
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def below(held: tuple[np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each asked key, in its first place, how many held keys are less: a merge of two sorted runs."""
+    out = np.empty(len(asked[1]), np.int64)
+    out[asked[1]] = np.searchsorted(held[0], asked[0])
+    return out
+
+
 def repeats(parts: list[bytes], starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For the first starts[k] places of each part: numbers that are equal where the next `length` bytes are equal.
 
@@ -177,12 +188,28 @@ def packed(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
-SENT = [("bucket", pa.int32()), ("uid", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary()), ("f", pa.binary())]
-SENT_DDL = "bucket int, uid long, a binary, b binary, c binary, d binary, e binary, f binary"
+BLOBS = "abcdefg"
+SENT = [("bucket", pa.int32()), ("uid", pa.int64()), *[(c, pa.binary()) for c in BLOBS]]
+SENT_DDL = "bucket int, uid long, " + ", ".join(f"{c} binary" for c in BLOBS)
 BACK = [("uid", pa.int64()), ("got", pa.binary())]
 BACK_DDL = "uid long, got binary"
 
 
+def sent(bucket: int, uid: int | None, *blobs: bytes | np.ndarray) -> pa.RecordBatch:
+    values = [b if isinstance(b, bytes) else np.ascontiguousarray(b).tobytes() for b in blobs]
+    return packed([(bucket, uid, *values, *[None] * (len(BLOBS) - len(values)))], SENT)
+
+
+def squeeze(data: bytes | np.ndarray) -> bytes:
+    """Compressed, with its size in front."""
+    raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def expand(blob: bytes) -> bytes:
+    return pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def by_uid(uid: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
     """(uid, its rows of int32 values) for answers."""
     if not len(uid):
@@ -230,7 +257,7 @@ def first_pass(buckets: int, at: dict[str, int]):
         shared = np.zeros(len(key), bool)
         shared[order[many]] = True
         for u, got in by_uid(uid[doc[shared]], place[shared][:, None]):
-            yield packed([(int(u % buckets), u, got, None, None, None, None, None)], SENT)
+            yield sent(int(u % buckets), u, got)
         key, doc, place = key[~shared], doc[~shared], place[~shared]
         b, kb = bucket_of(key, buckets), bucket_of(known, buckets)
         order = np.argsort(b, kind="stable")
@@ -241,123 +268,161 @@ def first_pass(buckets: int, at: dict[str, int]):
             counts = np.diff(np.append(runs, len(mine))).astype(np.uint32)
             own = known[kb == i]
             if len(mine) or len(own):
-                yield packed([(i, None, key[mine].tobytes(), uid[doc[mine][runs]].tobytes(), counts.tobytes(), place[mine].tobytes(), own.tobytes(), None)], SENT)
+                low, high = low_bits(key[mine])
+                yield sent(i, None, low, high, uid[doc[mine][runs]], squeeze(counts), squeeze(np.diff(place[mine], prepend=np.int32(0)).astype(np.int32)), *low_bits(own))
 
     return run
 
 
+def low_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of a key: within a bucket, which other bits choose, they tell keys apart. (Equal bits of different keys would only
+    let an anchor through the filter.)"""
+    return keys.astype(np.uint32), (keys >> U(32)).astype(np.uint16)
+
+
+def from_bits(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint32).astype(np.int64) | (np.frombuffer(high, np.uint16).astype(np.int64) << 32)
+
+
 def first_answer(table: pa.Table) -> pa.Table:
     """Of one bucket: the places of anchors that more than one task has sent or that a task knows to be shared."""
-    rows, keys, uids, places, known = [], [], [], [], []
-    for r in table.to_pylist():
+    rows, keys, uids, places, tasks = [], [], [], [], []
+    for k, r in enumerate(table.to_pylist()):
         if r["uid"] is not None:
             rows.append((r["uid"], r["a"]))
             continue
-        counts = np.frombuffer(r["c"], np.uint32)
-        keys.append(np.frombuffer(r["a"], U))
-        uids.append(np.repeat(np.frombuffer(r["b"], np.int64), counts))
-        places.append(np.frombuffer(r["d"], np.int32))
-        known.append(np.frombuffer(r["e"], U))
+        counts = np.frombuffer(expand(r["d"]), np.uint32)
+        own, known = from_bits(r["a"], r["b"]), from_bits(r["f"], r["g"])
+        keys += [own, known]
+        uids += [np.repeat(np.frombuffer(r["c"], np.int64), counts), np.zeros(len(known), np.int64)]
+        places += [np.cumsum(np.frombuffer(expand(r["e"]), np.int32), dtype=np.int32), np.zeros(len(known), np.int32)]
+        tasks += [np.full(len(own), k, np.int32), np.full(len(known), -1, np.int32)]
     if keys:
-        # within one task an anchor sent belongs to one document, so count it once there
-        once = [np.unique(k) for k in keys]
-        every = np.sort(np.concatenate(once + [np.unique(np.concatenate(known))] * 2))
-        shared = np.unique(every[1:][every[1:] == every[:-1]])
-        for k, u, p in zip(keys, uids, places, strict=True):
-            hit = np.isin(k, shared)
-            rows += by_uid(u[hit], p[hit][:, None])
+        # within one task an anchor sent belongs to one document; task -1 stands for the knowledge that it is shared
+        key, uid, place, task = (np.concatenate(x) for x in (keys, uids, places, tasks))
+        del keys, uids, places, tasks
+        order = np.argsort(key)
+        k, t = key[order], task[order]
+        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        shared = (np.maximum.reduceat(t, head) != np.minimum.reduceat(t, head)) | (t[head] == -1)
+        hit = order[np.repeat(shared, np.diff(np.append(head, len(k)))) & (t >= 0)]
+        rows += by_uid(uid[hit], place[hit][:, None])
     return pa.Table.from_batches([packed(rows, BACK)])
 
 
+_CODES = np.random.default_rng(41).integers(0, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
+_BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
+
+
+def piece_hashes(data: np.ndarray, low: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128 bits for each piece data[low:stop], as two numbers: differences of running sums, brought to one power."""
+    out = np.empty((2, len(low)), U)
+    for k, (codes, base) in enumerate(zip(_CODES, _BASES, strict=True)):
+        power = np.full(len(data) + 1, base, U)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        total = np.zeros(len(data) + 1, U)
+        np.cumsum(codes[data] * power[:-1], out=total[1:])
+        out[k] = (total[stop] - total[low]) * power[len(data) - low]
+    return out
+
+
 def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
-    """Distinct segments of shared anchors for the buckets; starts that the task itself finds covered (uid set)."""
+    """Distinct segments of shared anchors for the buckets; starts that the task itself finds covered (uid set).
+
+    Copies within the task are told by 128-bit hashes; buckets compare the bytes.
+    """
 
     def run(batches):
-        held: dict[bytes, list] = {}  # segment -> [least id, key or None for a string of a common anchor, offsets, occurrences]
-        found: list[tuple[int, int, int]] = []  # uid, first start, end of starts
+        texts_held: list[bytes] = []  # the task's text, from which segments are cut at the end
+        base = 0
+        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
         for batch in batches:
             texts = [b or b"" for b in batch.column(at["text"]).to_pylist()]
-            uid = batch.column(at["uid"]).to_pylist()
-            did = batch.column(at["id"]).fill_null(int(NO_ID)).to_pylist()
+            uid = batch.column(at["uid"]).to_numpy(zero_copy_only=False)
+            did = batch.column(at["id"]).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             got = batch.column(at["got"]).to_pylist()
             for first, data, starts, sizes in chunks(texts):
                 doc, low, high, anchor, key = segments(data, starts, sizes)
-                wanted = [np.frombuffer(b"".join(got[first + j] or []), np.int32) for j in range(len(sizes))]
-                codes = np.sort(np.concatenate([w.astype(np.int64) + s for w, s in zip(wanted, starts.tolist(), strict=True)]))
-                if not len(codes):
-                    continue
-                spot = np.minimum(np.searchsorted(codes, low), len(codes) - 1)
-                hit = codes[spot] == low
+                lists = [b"".join(got[first + j] or []) for j in range(len(sizes))]
+                codes = np.frombuffer(b"".join(lists), np.int32) + np.repeat(starts, [len(x) // 4 for x in lists])
+                wanted = np.zeros(len(data) + 1, bool)
+                wanted[codes] = True
+                hit = wanted[low]
                 doc, low, high, key = doc[hit], low[hit], high[hit], key[hit]
                 hot = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
-                raw, base = data.tobytes(), starts.tolist()
-                for j, a, b, k, spread in zip(doc.tolist(), low.tolist(), high.tolist(), key.tolist(), hot.tolist(), strict=True):
-                    u, i, s = uid[first + j], did[first + j], base[j]
-                    for p, q in [(x, x) for x in range(a, b + 1)] if spread else [(a, b)]:
-                        piece = raw[p : q + LENGTH]
-                        e = held.get(piece)
-                        if e is None:
-                            held[piece] = [i, None if spread else k, [(u, p - s)]]
-                        elif e[0] == i:
-                            e[2].append((u, p - s))
-                        else:
-                            n = len(piece) - LENGTH + 1
-                            if i > e[0]:
-                                found.append((u, p - s, p - s + n))
-                            else:
-                                found += [(v, x, x + n) for v, x in e[2]]
-                                e[0], e[2] = i, [(u, p - s)]
-        if found:
-            f = np.array(found, np.int64)
-            for u, got_ in by_uid(f[:, 0], f[:, 1:]):
-                yield packed([(int(u % buckets), u, got_, None, None, None, None, None)], SENT)
-        out: dict[int, list] = {}
-        if held:
-            spread_key = np.array([hash_bytes(p) if e[1] is None else e[1] for p, e in held.items()], U)
-            for i, (piece, e), k in zip(bucket_of(spread_key, buckets).tolist(), held.items(), spread_key.tolist(), strict=True):
-                out.setdefault(i, []).append((piece, k, e))
-        held.clear()
-        for i, entries in out.items():
-            sizes = np.array([len(p) for p, _, _ in entries], np.uint32)
-            places = np.array([x for _, _, e in entries for x in e[2]], np.int64).reshape(-1, 2)
-            counts = np.array([len(e[2]) for _, _, e in entries], np.uint32)
-            yield packed([(i, None, b"".join(p for p, _, _ in entries), sizes.tobytes(), np.array([k for _, k, _ in entries], U).tobytes(), np.array([e[0] for _, _, e in entries], np.int64).tobytes(), counts.tobytes(), places.tobytes())], SENT)
+                if hot.any():  # one segment for each start of an anchor that is very common
+                    n = np.where(hot, high - low + 1, 1)
+                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    doc, key, hot, high = (np.repeat(x, n) for x in (doc, key, hot, high))
+                    low = np.repeat(low, n) + step
+                    high = np.where(hot, low, high)
+                h = piece_hashes(data, low, high + LENGTH)
+                key = np.where(hot, h[0], key)
+                for c, x in zip(cols, (h[0], h[1], did[first + doc], uid[first + doc], low - starts[doc], high - low + 1, base + low, key), strict=True):
+                    c.append(x)
+                texts_held.append(data.tobytes())
+                base += len(data)
+        if not base:
+            return
+        h0, h1, did, uid, place, n, where, key = (np.concatenate(c) for c in cols)
+        whole = b"".join(texts_held)
+        del cols, texts_held
+        order = np.lexsort((did, h1, h0))
+        head = np.concatenate([[True], (h0[order][1:] != h0[order][:-1]) | (h1[order][1:] != h1[order][:-1])]) if len(order) else np.zeros(0, bool)
+        group = np.cumsum(head) - 1
+        lead = order[head]  # of each segment, an occurrence in its least document
+        least = did[lead]
+        own = did[order] == least[group]
+        late = order[~own]
+        for u, got in by_uid(uid[late], np.stack([place[late], place[late] + n[late]], axis=1)):
+            yield sent(int(u % buckets), u, got)
+        kept, group = order[own], group[own]  # occurrences in the least document, segment by segment
+        counts = np.bincount(group, minlength=len(lead))
+        begin = np.cumsum(counts) - counts
+        bucket = bucket_of(key[lead], buckets)
+        by_bucket = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        for i in range(buckets):
+            mine = by_bucket[edges[i] : edges[i + 1]]
+            if not len(mine):
+                continue
+            pieces = [whole[w : w + m + LENGTH - 1] for w, m in zip(where[lead[mine]].tolist(), n[lead[mine]].tolist(), strict=True)]
+            alike = sorted(range(len(pieces)), key=pieces.__getitem__)  # neighbours share much, which compresses well
+            pieces, mine = [pieces[j] for j in alike], mine[alike]
+            c = counts[mine]
+            places = kept[np.repeat(begin[mine] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
+            yield sent(i, None, squeeze(b"".join(pieces)), squeeze(np.array([len(p) for p in pieces], np.uint8)), key[lead[mine]], squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
 
     return run
 
 
-def hash_bytes(piece: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(piece)
-
-
 def second_answer(table: pa.Table) -> pa.Table:
     """Of one bucket: (uid, runs of starts that an earlier document has as well)."""
     rows: list[tuple] = []
     merged: dict[bytes, int] = {}
     keys: list[int] = []
     least: list[int] = []
-    where: list[tuple] = []  # of each occurrence: its piece, its document's id, uid, place
+    where: list[tuple] = []  # of each task's occurrences: piece, document's id, uid, place
     for r in table.to_pylist():
         if r["uid"] is not None:
             rows.append((r["uid"], r["a"]))
             continue
-        ids, key = np.frombuffer(r["d"], np.int64).tolist(), np.frombuffer(r["c"], U).tolist()
-        places, counts = np.frombuffer(r["f"], np.int64).reshape(-1, 2).tolist(), np.frombuffer(r["e"], np.uint32).tolist()
-        at = spot = 0
-        for size, k, i, n in zip(np.frombuffer(r["b"], np.uint32).tolist(), key, ids, counts, strict=True):
-            piece = r["a"][at : at + size]
-            at += size
-            m = merged.get(piece)
-            if m is None:
-                m = merged[piece] = len(keys)
+        whole = expand(r["a"])
+        ids, key = np.frombuffer(expand(r["d"]), np.int64).tolist(), np.frombuffer(r["c"], U).tolist()
+        counts = np.frombuffer(expand(r["e"]), np.uint32)
+        numbers, spot = [], 0
+        for size, k, i in zip(np.frombuffer(expand(r["b"]), np.uint8).tolist(), key, ids, strict=True):
+            piece = whole[spot : spot + size]
+            spot += size
+            m = merged.setdefault(piece, len(keys))
+            if m == len(keys):
                 keys.append(k)
                 least.append(i)
             elif i < least[m]:
                 least[m] = i
-            where += [(m, i, u, p) for u, p in places[spot : spot + n]]
-            spot += n
+            numbers.append(m)
+        where.append((np.repeat(np.array(numbers, np.int64), counts), np.repeat(np.array(ids, np.int64), counts), np.frombuffer(r["f"], np.int64), np.frombuffer(expand(r["g"]), np.int32).astype(np.int64)))
     if not keys:
         return pa.Table.from_batches([packed(rows, BACK)])
     pieces, low = list(merged), np.array(least, np.int64)
@@ -386,8 +451,12 @@ def second_answer(table: pa.Table) -> pa.Table:
         np.minimum.at(best, number, low[several[a:b]][part])
         spot = np.arange(len(part)) - np.repeat(np.cumsum(starts[several[a:b]]) - starts[several[a:b]], starts[several[a:b]]) + begin[several[a:b]][part]
         first_id[spot] = best[number]
-    w = np.array([x[0] for x in where], np.int64)
-    ids, uid, place = (np.array([x[i] for x in where], np.int64) for i in (1, 2, 3))
+    w, ids, uid, place = (np.concatenate([x[i] for x in where]) for i in range(4))
+    # an occurrence in the least document of a piece whose strings are in no other piece can't be covered
+    open_pieces = np.zeros(len(pieces), bool)
+    open_pieces[several] = True
+    live = open_pieces[w] | (ids > low[w])
+    w, ids, uid, place = w[live], ids[live], uid[live], place[live]
     n = starts[w]
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     hit = first_id[np.repeat(begin[w], n) + at] < np.repeat(ids, n)
@@ -450,11 +519,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         spread = common_anchors(docs.select("uid", "text_in"))
     docs = docs.repartition(parts, "uid")
     at = {"uid": 0, "id": 1, "text": 2}
-    shared = docs.mapInArrow(first_pass(parts, at), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
+    buckets = max(1, parts // 3)
+    shared = docs.mapInArrow(first_pass(buckets, at), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
     shared = shared.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     asked = docs.join(shared, F.col("uid") == F.col(uid_name))
     width = len(docs.columns)
-    found = asked.mapInArrow(second_pass(parts, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
+    found = asked.mapInArrow(second_pass(buckets, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
     found = found.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     fields = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
