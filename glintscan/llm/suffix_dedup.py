@@ -15,7 +15,7 @@
 The text is shuffled once; the three passes over it read the same exchange. A bucket holds at most one entry for each task and
 anchor (or segment), whatever the number of copies. An anchor that very many documents have with ever different
 neighbours would still fill a bucket: such anchors, found on a bounded sample, are spread by their whole
-strings instead. The sample decides where strings meet, never what is found.
+strings from the filter on. The sample decides where strings meet, never what is found.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ NO_ID = np.int64(2**63 - 1)
 #: Anchors in at least this share of SAMPLE documents are spread by their strings.
 SAMPLE, COMMON = 2000, 0.01
 CHUNK = 1 << 21
+#: Bytes of segments that one suffix array covers at most, but for a single anchor's.
+PORTION = 1 << 20
 U = np.uint64
 
 
@@ -225,7 +227,39 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys * U(0xD6E8FEB86659FD93)) >> U(33)).astype(np.int64) % buckets
 
 
-def first_pass(buckets: int, at: dict[str, int]):
+_CODES = np.random.default_rng(41).integers(0, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
+_BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
+
+
+def piece_hashes(data: np.ndarray, low: np.ndarray, stop: np.ndarray, words: int = 2) -> np.ndarray:
+    """128 bits for each piece data[low:stop], as two numbers: differences of running sums, brought to one power."""
+    out = np.empty((words, len(low)), U)
+    for k, (codes, base) in enumerate(zip(_CODES[:words], _BASES, strict=False)):
+        power = np.full(len(data) + 1, base, U)
+        power[0] = 1
+        np.cumprod(power, out=power)
+        total = np.zeros(len(data) + 1, U)
+        np.cumsum(codes[data] * power[:-1], out=total[1:])
+        out[k] = (total[stop] - total[low]) * power[len(data) - low]
+    return out
+
+
+def spread_common(data: np.ndarray, doc, low, high, key, common: np.ndarray):
+    """Segments, with those of common anchors parted into their strings: one for each start, with the string's hash as key."""
+    hot = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
+    if not hot.any():
+        return doc, low, high, key
+    n = np.where(hot, high - low + 1, 1)
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    doc, key, hot, high, low = (np.repeat(x, n) for x in (doc, key, hot, high, low))
+    low = low + step
+    high = np.where(hot, low, high)
+    key = key.copy()
+    key[hot] = piece_hashes(data, low[hot], low[hot] + LENGTH, 1)[0]
+    return doc, low, high, key
+
+
+def first_pass(buckets: int, at: dict[str, int], common: np.ndarray):
     """What a task knows of its anchors: rows for the buckets, and (uid set) the shared ones it has found itself."""
 
     def run(batches):
@@ -236,7 +270,8 @@ def first_pass(buckets: int, at: dict[str, int]):
             uids.append(batch.column(at["uid"]).to_numpy(zero_copy_only=False))
             ids.append(batch.column(at["id"]).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False))
             for first, data, starts, sizes in chunks(texts):
-                doc, low, _, _, key = segments(data, starts, sizes)
+                doc, low, high, _, key = segments(data, starts, sizes)
+                doc, low, _, key = spread_common(data, doc, low, high, key, common)
                 keys.append(key)
                 docs.append((doc + first + n).astype(np.int32))
                 places.append((low - starts[doc]).astype(np.int32))
@@ -284,10 +319,15 @@ def from_bits(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, np.uint32).astype(np.int64) | (np.frombuffer(high, np.uint16).astype(np.int64) << 32)
 
 
+def each_row(table: pa.Table):
+    for batch in table.to_batches(max_chunksize=1):
+        yield batch.to_pylist()[0]
+
+
 def first_answer(table: pa.Table) -> pa.Table:
     """Of one bucket: the places of anchors that more than one task has sent or that a task knows to be shared."""
     rows, keys, uids, places, tasks = [], [], [], [], []
-    for k, r in enumerate(table.to_pylist()):
+    for k, r in enumerate(each_row(table)):
         if r["uid"] is not None:
             rows.append((r["uid"], r["a"]))
             continue
@@ -310,23 +350,6 @@ def first_answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([packed(rows, BACK)])
 
 
-_CODES = np.random.default_rng(41).integers(0, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
-_BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
-
-
-def piece_hashes(data: np.ndarray, low: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """128 bits for each piece data[low:stop], as two numbers: differences of running sums, brought to one power."""
-    out = np.empty((2, len(low)), U)
-    for k, (codes, base) in enumerate(zip(_CODES, _BASES, strict=True)):
-        power = np.full(len(data) + 1, base, U)
-        power[0] = 1
-        np.cumprod(power, out=power)
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum(codes[data] * power[:-1], out=total[1:])
-        out[k] = (total[stop] - total[low]) * power[len(data) - low]
-    return out
-
-
 def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
     """Distinct segments of shared anchors for the buckets; starts that the task itself finds covered (uid set).
 
@@ -343,22 +366,15 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
             did = batch.column(at["id"]).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             got = batch.column(at["got"]).to_pylist()
             for first, data, starts, sizes in chunks(texts):
-                doc, low, high, anchor, key = segments(data, starts, sizes)
+                doc, low, high, _, key = segments(data, starts, sizes)
+                doc, low, high, key = spread_common(data, doc, low, high, key, common)
                 lists = [b"".join(got[first + j] or []) for j in range(len(sizes))]
                 codes = np.frombuffer(b"".join(lists), np.int32) + np.repeat(starts, [len(x) // 4 for x in lists])
                 wanted = np.zeros(len(data) + 1, bool)
                 wanted[codes] = True
                 hit = wanted[low]
                 doc, low, high, key = doc[hit], low[hit], high[hit], key[hit]
-                hot = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
-                if hot.any():  # one segment for each start of an anchor that is very common
-                    n = np.where(hot, high - low + 1, 1)
-                    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    doc, key, hot, high = (np.repeat(x, n) for x in (doc, key, hot, high))
-                    low = np.repeat(low, n) + step
-                    high = np.where(hot, low, high)
                 h = piece_hashes(data, low, high + LENGTH)
-                key = np.where(hot, h[0], key)
                 for c, x in zip(cols, (h[0], h[1], did[first + doc], uid[first + doc], low - starts[doc], high - low + 1, base + low, key), strict=True):
                     c.append(x)
                 texts_held.append(data.tobytes())
@@ -404,7 +420,7 @@ def second_answer(table: pa.Table) -> pa.Table:
     keys: list[int] = []
     least: list[int] = []
     where: list[tuple] = []  # of each task's occurrences: piece, document's id, uid, place
-    for r in table.to_pylist():
+    for r in each_row(table):
         if r["uid"] is not None:
             rows.append((r["uid"], r["a"]))
             continue
@@ -439,7 +455,7 @@ def second_answer(table: pa.Table) -> pa.Table:
     fresh = np.concatenate([[True], key[several][1:] != key[several][:-1]]) if len(several) else np.zeros(0, bool)
     cuts, last = [0], 0
     for j in np.flatnonzero(fresh).tolist():
-        if j and sizes[j - 1] - last > 1 << 22:
+        if j and sizes[j - 1] - last > PORTION:
             cuts.append(j)
             last = int(sizes[j - 1])
     for a, b in zip(cuts, [*cuts[1:], len(several)], strict=True):
@@ -520,11 +536,11 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     docs = docs.repartition(parts, "uid")
     at = {"uid": 0, "id": 1, "text": 2}
     buckets = max(1, parts // 3)
-    shared = docs.mapInArrow(first_pass(buckets, at), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
+    shared = docs.mapInArrow(first_pass(buckets, at, spread), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
     shared = shared.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     asked = docs.join(shared, F.col("uid") == F.col(uid_name))
     width = len(docs.columns)
-    found = asked.mapInArrow(second_pass(buckets, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
+    found = asked.mapInArrow(second_pass(parts, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
     found = found.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     fields = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
