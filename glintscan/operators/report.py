@@ -32,6 +32,32 @@ def plain_lines(found: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     return out.limit(0) if cfg.quiet else out
 
 
+def _block(x: dict | Column, kind: Column) -> Column:
+    """Location, token and context of a finding, as indented lines under its rule's name."""
+    return F.concat(F.lit("\n▸ "), x["detector"], F.lit("\n  Location: "), x["path"], F.lit(":"), x["line"].cast("string"), F.lit("\n  "), label(kind), F.lit(": "), x["token"], F.lit("\n"), F.when(x["snippet"] != "", F.concat(F.lit("  Context: "), x["snippet"], F.lit("\n"))).otherwise(""))
+
+
+def blocks(found: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
+    """A block of lines for each finding; none if quiet."""
+    fields = {c: F.col(c) for c in ("detector", "path", "line", "snippet")} | {"token": shown(F.col("token"), cfg)}
+    out = found.select("page_id", *ORDER, _block(fields, F.col("type")).alias("text"))
+    return out.limit(0) if cfg.quiet else out
+
+
+SECTIONS = {"secret": "SECRETS", "config": "CONFIGURATION", "endpoint": "ENDPOINTS", "generic": "GENERIC"}
+
+
+def block_report(summaries: DataFrame, groups: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
+    """The report in blocks: title, summary (unless quiet), and a ruled section for each type that has findings."""
+    titles = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
+    section = F.concat(F.lit("\n"), titles[F.col("type")], F.lit("\n" + "─" * 60 + "\n"), F.array_join(F.transform("items", lambda x: _block(x, F.col("type"))), ""), F.lit("\n"))
+    sections = groups.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("type_ord", section.alias("s")))), lambda x: x["s"]), "").alias("sections"))
+    head = summary_text(summaries).withColumnRenamed("text", "head")
+    nothing = "" if cfg.quiet else NOTHING + "\n"
+    body = F.concat(F.lit("Scan Results\n"), F.lit("") if cfg.quiet else F.concat("head", F.lit("\n")), F.coalesce("sections", F.lit(nothing)))
+    return head.join(sections, "page_id", "left").select("page_id", body.alias("text"))
+
+
 def counts_by_type(pages: DataFrame, found: DataFrame) -> DataFrame:
     """page_id, type, n for each of the four types, zeros kept."""
     have = found.groupBy("page_id", "type").agg(F.count("*").alias("n"))

@@ -255,6 +255,14 @@ def k_plain_lines(spark, sf_dir):
     return report.plain_lines(_scan(spark, sf_dir)[2]).select("page_id", "text")
 
 
+S_BLOCK = "chr(10) || '▸ ' || detector || chr(10) || '  Location: ' || path || ':' || line || chr(10) || '  ' || (CASE WHEN type = 'endpoint' THEN 'URL' ELSE 'Secret' END) || ': ' || token || chr(10) || '  Context: ' || decode(unhex(snippet_hex)) || chr(10)"
+
+
+@query(f"SELECT page_id, {S_BLOCK} AS text FROM ({s_first(s_raw(S_PLANTED))})")
+def k_blocks(spark, sf_dir):
+    return report.blocks(detect.scan_blobs(planted_blobs(spark, sf_dir))).select("page_id", "text")
+
+
 S_SUMMARY = f"""SELECT p.page_id, p.url, array_to_string({S_TECH}, ', ') AS technologies, coalesce(b.n, 0) AS js_blobs, coalesce(f.total, 0) AS total,
   coalesce(f.secret, 0) AS secret, coalesce(f.config, 0) AS config, coalesce(f.endpoint, 0) AS endpoint, coalesce(f.generic, 0) AS generic
 FROM ({S_SCRIPTED}) p
@@ -283,6 +291,12 @@ def k_plain_report(spark, sf_dir):
     return report.plain_report(summary, report.grouped(found))
 
 
+@query()
+def k_block_report(spark, sf_dir):
+    summary, found = _summary(spark, sf_dir)
+    return report.block_report(summary, report.grouped(found))
+
+
 @query()
 def k_json(spark, sf_dir):
     return report.json_report(*_summary(spark, sf_dir))

@@ -22,8 +22,9 @@ def scan_texts(texts: DataFrame, cfg: ScanConfig = ScanConfig(), id_col: str = "
 
 
 def scan_report(pages: DataFrame, resources: DataFrame | None = None, cfg: ScanConfig = ScanConfig()) -> dict[str, DataFrame]:
-    """findings, summary, summary_text, plain and json of every page."""
+    """findings, summary, summary_text, plain, blocks and json of every page."""
     found_blobs = B.blobs(pages, resources, cfg)
     found = detect.scan_blobs(found_blobs, cfg)
     summaries = report.summary(pages, B.blob_counts(pages, found_blobs), tech.fingerprint(pages), found)
-    return {"findings": found, "summary": summaries, "summary_text": report.summary_text(summaries), "plain": report.plain_report(summaries, report.grouped(found, cfg)), "json": report.json_report(summaries, found, cfg)}
+    groups = report.grouped(found, cfg)
+    return {"findings": found, "summary": summaries, "summary_text": report.summary_text(summaries), "plain": report.plain_report(summaries, groups), "blocks": report.block_report(summaries, groups, cfg), "json": report.json_report(summaries, found, cfg)}

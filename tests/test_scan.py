@@ -126,6 +126,8 @@ def test_reports(spark, tmp_path):
     data = {r.page_id: r.json for r in made["json"].collect()}
     assert "<" not in data[1] and json.loads(data[2]) == {"findings": None, "js_blobs": 0, "technologies": None, "url": URL}
     assert [f["line"] for f in json.loads(data[1])["findings"]] == [1] * 4
+    block = {r.page_id: r.text for r in made["blocks"].collect()}
+    assert "\nSECRETS\n" in block[1] and "  Location: " in block[1] and block[2].endswith(report.NOTHING + "\n")
     assert "Tech: HTML5\n" in {r.page_id: r.text for r in made["summary_text"].collect()}[1]
     assert report.plain_lines(made["findings"], ScanConfig(quiet=True)).count() == 0
     assert all("****" in r.text for r in report.plain_lines(made["findings"], ScanConfig(mask_tokens=True)).collect())
