@@ -232,7 +232,7 @@ _BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 
 
 def piece_hashes(data: np.ndarray, low: np.ndarray, stop: np.ndarray, words: int = 2) -> np.ndarray:
-    """128 bits for each piece data[low:stop], as two numbers: differences of running sums, brought to one power."""
+    """128 bits for each piece data[low:stop], as two numbers: differences of running sums, brought to power 0."""
     out = np.empty((words, len(low)), U)
     for k, (codes, base) in enumerate(zip(_CODES[:words], _BASES, strict=False)):
         power = np.full(len(data) + 1, base, U)
@@ -240,7 +240,10 @@ def piece_hashes(data: np.ndarray, low: np.ndarray, stop: np.ndarray, words: int
         np.cumprod(power, out=power)
         total = np.zeros(len(data) + 1, U)
         np.cumsum(codes[data] * power[:-1], out=total[1:])
-        out[k] = (total[stop] - total[low]) * power[len(data) - low]
+        back = np.full(len(data) + 1, pow(int(base), -1, 1 << 64), U)  # powers of the base's inverse
+        back[0] = 1
+        np.cumprod(back, out=back)
+        out[k] = (total[stop] - total[low]) * back[low]
     return out
 
 
