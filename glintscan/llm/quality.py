@@ -103,10 +103,12 @@ def train(texts: list[str], labels: list[int], hidden: int = 16, inner: int = 8,
     if not len(y) or y.min() == y.max():
         params[5][:] = 0
         return QualityModel(np.zeros(WIDTH), np.ones(WIDTH), params)
-    seen = Numbering()
-    numbers = [[seen[w] for w in (t or "").split()] for t in texts]
-    lengths = np.array([len(x) for x in numbers], np.int64)
-    x, n = passage_features(np.concatenate([np.array(v, np.int64) for v in numbers]), lengths, token_features(seen.take_fresh()))
+    made = []
+    for k in range(0, len(texts), 64):  # bounds the token matrix
+        seen = Numbering()
+        numbers = [np.array([seen[w] for w in (t or "").split()], np.int64) for t in texts[k : k + 64]]
+        made.append(passage_features(np.concatenate(numbers), np.array([len(v) for v in numbers], np.int64), token_features(seen.take_fresh())))
+    x, n = (np.concatenate(c) for c in zip(*made, strict=True))
     model = QualityModel(x.mean(axis=0), x.std(axis=0) + 0.05, params)
     starts = np.cumsum(n) - n
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
@@ -161,8 +163,8 @@ def score(df: DataFrame, model: QualityModel, text_col: str = "text", keep: list
             number = np.array(numbers, np.int64)
             made = np.zeros(len(texts))
             ends = np.cumsum(lengths)
-            for a in range(0, len(texts), 256):  # bounds the token matrix
-                b = min(a + 256, len(texts))
+            for a in range(0, len(texts), 64):  # bounds the token matrix
+                b = min(a + 64, len(texts))
                 low = int(ends[a] - lengths[a])
                 made[a:b] = model.score(*passage_features(number[low : int(ends[b - 1])], lengths[a:b], known.data))
             return [pa.array(made)]
