@@ -29,12 +29,15 @@ from pyspark.sql import types as T
 from glintscan.llm.common import ship
 
 LENGTH, GRAM = 50, 16
+SIDE = (LENGTH - GRAM) // 2
 NO_ID = np.int64(2**63 - 1)
 #: Anchors in at least this share of SAMPLE documents are spread by their strings.
 SAMPLE, COMMON = 2000, 0.01
 CHUNK = 1 << 21
 #: Bytes of segments that one suffix array covers at most, but for a single anchor's.
 PORTION = 1 << 20
+#: A bucket is worked off in so many parts, which bounds memory; its answers go out together, a row for each document.
+PARTS = 8
 U = np.uint64
 
 
@@ -61,16 +64,21 @@ def segments(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: in
         by = min(have, windows - have)
         packed = np.minimum(packed[:-by], packed[by:])
         have += by
-    anchor = (packed & U((1 << bits) - 1)).astype(np.int64)
-    usable = np.maximum(sizes - length + 1, 0)
-    doc = np.repeat(np.arange(len(sizes)), usable)
-    place = np.arange(int(usable.sum())) + np.repeat(starts - (np.cumsum(usable) - usable), usable)
-    if not len(place):
-        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, U)]
-    anchor = anchor[place]
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-    last = np.append(new[1:], len(place)) - 1
-    return [doc[new], place[new], place[last], anchor[new], h[anchor[new]]]
+    # places whose string lies in one document
+    edge = np.zeros(len(packed) + 1, np.int8)
+    fits = np.flatnonzero(sizes >= length)
+    np.add.at(edge, starts[fits], 1)
+    np.add.at(edge, starts[fits] + sizes[fits] - length + 1, -1)
+    valid = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    turn = packed[1:] != packed[:-1]
+    turn |= valid[1:] != valid[:-1]
+    # neighbouring documents of no more than the length in between can't be valid on both sides of an edge
+    turn[starts[fits][1:] - 1] = True
+    new = np.flatnonzero(np.concatenate([[True], turn]) & valid)
+    last = np.flatnonzero(np.concatenate([turn, [True]]) & valid)
+    anchor = (packed[new] & U((1 << bits) - 1)).astype(np.int64)
+    doc = np.searchsorted(starts, new, "right") - 1
+    return [doc, new, last, anchor, h[anchor]]
 
 
 def chunks(texts: list[bytes]):
@@ -191,15 +199,15 @@ def packed(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
 
 
 BLOBS = "abcdefg"
-SENT = [("bucket", pa.int32()), ("uid", pa.int64()), *[(c, pa.binary()) for c in BLOBS]]
-SENT_DDL = "bucket int, uid long, " + ", ".join(f"{c} binary" for c in BLOBS)
+SENT = [("bucket", pa.int32()), ("part", pa.int32()), ("uid", pa.int64()), *[(c, pa.binary()) for c in BLOBS]]
+SENT_DDL = "bucket int, part int, uid long, " + ", ".join(f"{c} binary" for c in BLOBS)
 BACK = [("uid", pa.int64()), ("got", pa.binary())]
 BACK_DDL = "uid long, got binary"
 
 
 def sent(bucket: int, uid: int | None, *blobs: bytes | np.ndarray) -> pa.RecordBatch:
     values = [b if isinstance(b, bytes) else np.ascontiguousarray(b).tobytes() for b in blobs]
-    return packed([(bucket, uid, *values, *[None] * (len(BLOBS) - len(values)))], SENT)
+    return packed([(bucket // PARTS, bucket % PARTS, uid, *values, *[None] * (len(BLOBS) - len(values)))], SENT)
 
 
 def squeeze(data: bytes | np.ndarray) -> bytes:
@@ -229,37 +237,42 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 _CODES = np.random.default_rng(41).integers(0, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
+_POWERS: dict = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of the base, from 0, kept from call to call."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(max(n, CHUNK + 1), base, U)
+        held[0] = 1
+        _POWERS[base] = np.cumprod(held, out=held)
+    return held
 
 
 def piece_hashes(data: np.ndarray, low: np.ndarray, stop: np.ndarray, words: int = 2) -> np.ndarray:
     """128 bits for each piece data[low:stop], as two numbers: differences of running sums, brought to power 0."""
     out = np.empty((words, len(low)), U)
     for k, (codes, base) in enumerate(zip(_CODES[:words], _BASES, strict=False)):
-        power = np.full(len(data) + 1, base, U)
-        power[0] = 1
-        np.cumprod(power, out=power)
         total = np.zeros(len(data) + 1, U)
-        np.cumsum(codes[data] * power[:-1], out=total[1:])
-        back = np.full(len(data) + 1, pow(int(base), -1, 1 << 64), U)  # powers of the base's inverse
-        back[0] = 1
-        np.cumprod(back, out=back)
-        out[k] = (total[stop] - total[low]) * back[low]
+        np.cumsum(codes[data] * powers(int(base), len(data))[: len(data)], out=total[1:])
+        out[k] = (total[stop] - total[low]) * powers(pow(int(base), -1, 1 << 64), len(data) + 1)[low]
     return out
 
 
-def spread_common(data: np.ndarray, doc, low, high, key, common: np.ndarray):
+def spread_common(data: np.ndarray, doc, low, high, key, common: np.ndarray, anchor):
     """Segments, with those of common anchors parted into their strings: one for each start, with the string's hash as key."""
     hot = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
     if not hot.any():
-        return doc, low, high, key
+        return doc, low, high, key, anchor
     n = np.where(hot, high - low + 1, 1)
     step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    doc, key, hot, high, low = (np.repeat(x, n) for x in (doc, key, hot, high, low))
+    doc, key, hot, high, low, anchor = (np.repeat(x, n) for x in (doc, key, hot, high, low, anchor))
     low = low + step
     high = np.where(hot, low, high)
     key = key.copy()
     key[hot] = piece_hashes(data, low[hot], low[hot] + LENGTH, 1)[0]
-    return doc, low, high, key
+    return doc, low, high, key, anchor
 
 
 def first_pass(buckets: int, at: dict[str, int], common: np.ndarray):
@@ -273,8 +286,8 @@ def first_pass(buckets: int, at: dict[str, int], common: np.ndarray):
             uids.append(batch.column(at["uid"]).to_numpy(zero_copy_only=False))
             ids.append(batch.column(at["id"]).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False))
             for first, data, starts, sizes in chunks(texts):
-                doc, low, high, _, key = segments(data, starts, sizes)
-                doc, low, _, key = spread_common(data, doc, low, high, key, common)
+                doc, low, high, anchor, key = segments(data, starts, sizes)
+                doc, low, _, key, _ = spread_common(data, doc, low, high, key, common, anchor)
                 keys.append(key)
                 docs.append((doc + first + n).astype(np.int32))
                 places.append((low - starts[doc]).astype(np.int32))
@@ -322,25 +335,34 @@ def from_bits(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, np.uint32).astype(np.int64) | (np.frombuffer(high, np.uint16).astype(np.int64) << 32)
 
 
-def each_row(table: pa.Table):
-    for batch in table.to_batches(max_chunksize=1):
-        yield batch.to_pylist()[0]
+def by_part(table: pa.Table):
+    """The rows of each part of a bucket (uid null), one row in memory at a time."""
+    part = table.column("part").to_numpy()
+    own = table.column("uid").is_null().to_numpy()
+    for k in range(PARTS):
+        if (found := np.flatnonzero((part == k) & own)).size:
+            yield (table.slice(int(i), 1).to_pylist()[0] for i in found)
+
+
+def own_answers(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(uid, values) that tasks had found themselves."""
+    rows = table.filter(table.column("uid").is_valid()).select(["uid", "a"])
+    lists = rows.column("a").to_pylist()
+    return np.repeat(rows.column("uid").to_numpy(), [len(x) // (4 * width) for x in lists]), np.frombuffer(b"".join(lists), np.int32).reshape(-1, width)
 
 
 def first_answer(table: pa.Table) -> pa.Table:
     """Of one bucket: the places of anchors that more than one task has sent or that a task knows to be shared."""
-    rows, keys, uids, places, tasks = [], [], [], [], []
-    for k, r in enumerate(each_row(table)):
-        if r["uid"] is not None:
-            rows.append((r["uid"], r["a"]))
-            continue
-        counts = np.frombuffer(expand(r["d"]), np.uint32)
-        own, known = from_bits(r["a"], r["b"]), from_bits(r["f"], r["g"])
-        keys += [own, known]
-        uids += [np.repeat(np.frombuffer(r["c"], np.int64), counts), np.zeros(len(known), np.int64)]
-        places += [np.cumsum(np.frombuffer(expand(r["e"]), np.int32), dtype=np.int32), np.zeros(len(known), np.int32)]
-        tasks += [np.full(len(own), k, np.int32), np.full(len(known), -1, np.int32)]
-    if keys:
+    found = [own_answers(table, 1)]
+    for rows in by_part(table):
+        keys, uids, places, tasks = [], [], [], []
+        for k, r in enumerate(rows):
+            counts = np.frombuffer(expand(r["d"]), np.uint32)
+            own, known = from_bits(r["a"], r["b"]), from_bits(r["f"], r["g"])
+            keys += [own, known]
+            uids += [np.repeat(np.frombuffer(r["c"], np.int64), counts), np.zeros(len(known), np.int64)]
+            places += [np.cumsum(np.frombuffer(expand(r["e"]), np.int32), dtype=np.int32), np.zeros(len(known), np.int32)]
+            tasks += [np.full(len(own), k, np.int32), np.full(len(known), -1, np.int32)]
         # within one task an anchor sent belongs to one document; task -1 stands for the knowledge that it is shared
         key, uid, place, task = (np.concatenate(x) for x in (keys, uids, places, tasks))
         del keys, uids, places, tasks
@@ -349,8 +371,9 @@ def first_answer(table: pa.Table) -> pa.Table:
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         shared = (np.maximum.reduceat(t, head) != np.minimum.reduceat(t, head)) | (t[head] == -1)
         hit = order[np.repeat(shared, np.diff(np.append(head, len(k)))) & (t >= 0)]
-        rows += by_uid(uid[hit], place[hit][:, None])
-    return pa.Table.from_batches([packed(rows, BACK)])
+        found.append((uid[hit], place[hit][:, None]))
+    uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.Table.from_batches([packed(by_uid(uid, values), BACK)])
 
 
 def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
@@ -362,29 +385,29 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
     def run(batches):
         texts_held: list[bytes] = []  # the task's text, from which segments are cut at the end
         base = 0
-        cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(9)]
         for batch in batches:
             texts = [b or b"" for b in batch.column(at["text"]).to_pylist()]
             uid = batch.column(at["uid"]).to_numpy(zero_copy_only=False)
             did = batch.column(at["id"]).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             got = batch.column(at["got"]).to_pylist()
             for first, data, starts, sizes in chunks(texts):
-                doc, low, high, _, key = segments(data, starts, sizes)
-                doc, low, high, key = spread_common(data, doc, low, high, key, common)
+                doc, low, high, anchor, key = segments(data, starts, sizes)
+                doc, low, high, key, anchor = spread_common(data, doc, low, high, key, common, anchor)
                 lists = [b"".join(got[first + j] or []) for j in range(len(sizes))]
                 codes = np.frombuffer(b"".join(lists), np.int32) + np.repeat(starts, [len(x) // 4 for x in lists])
                 wanted = np.zeros(len(data) + 1, bool)
                 wanted[codes] = True
                 hit = wanted[low]
-                doc, low, high, key = doc[hit], low[hit], high[hit], key[hit]
+                doc, low, high, key, anchor = doc[hit], low[hit], high[hit], key[hit], anchor[hit]
                 h = piece_hashes(data, low, high + LENGTH)
-                for c, x in zip(cols, (h[0], h[1], did[first + doc], uid[first + doc], low - starts[doc], high - low + 1, base + low, key), strict=True):
+                for c, x in zip(cols, (h[0], h[1], did[first + doc], uid[first + doc], low - starts[doc], high - low + 1, base + low, key, anchor - low), strict=True):
                     c.append(x)
                 texts_held.append(data.tobytes())
                 base += len(data)
         if not base:
             return
-        h0, h1, did, uid, place, n, where, key = (np.concatenate(c) for c in cols)
+        h0, h1, did, uid, place, n, where, key, anchor = (np.concatenate(c) for c in cols)
         whole = b"".join(texts_held)
         del cols, texts_held
         order = np.lexsort((did, h1, h0))
@@ -411,39 +434,41 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
             pieces, mine = [pieces[j] for j in alike], mine[alike]
             c = counts[mine]
             places = kept[np.repeat(begin[mine] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
-            yield sent(i, None, squeeze(b"".join(pieces)), squeeze(np.array([len(p) for p in pieces], np.uint8)), key[lead[mine]], squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
+            yield sent(i, None, squeeze(b"".join(pieces)), squeeze(np.stack([n[lead[mine]] + LENGTH - 1, anchor[lead[mine]]]).astype(np.uint8)), key[lead[mine]], squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
 
     return run
 
 
 def second_answer(table: pa.Table) -> pa.Table:
     """Of one bucket: (uid, runs of starts that an earlier document has as well)."""
-    rows: list[tuple] = []
+    found = [own_answers(table, 2)] + [covered(rows) for rows in by_part(table)]
+    uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.Table.from_batches([packed(by_uid(uid, values), BACK)])
+
+
+def covered(rows) -> tuple[np.ndarray, np.ndarray]:
     merged: dict[bytes, int] = {}
     keys: list[int] = []
     least: list[int] = []
+    anchors: list[int] = []
     where: list[tuple] = []  # of each task's occurrences: piece, document's id, uid, place
-    for r in each_row(table):
-        if r["uid"] is not None:
-            rows.append((r["uid"], r["a"]))
-            continue
-        whole = expand(r["a"])
+    for r in rows:
+        whole, lines = expand(r["a"]), np.frombuffer(expand(r["b"]), np.uint8).reshape(2, -1).tolist()
         ids, key = np.frombuffer(expand(r["d"]), np.int64).tolist(), np.frombuffer(r["c"], U).tolist()
         counts = np.frombuffer(expand(r["e"]), np.uint32)
         numbers, spot = [], 0
-        for size, k, i in zip(np.frombuffer(expand(r["b"]), np.uint8).tolist(), key, ids, strict=True):
+        for size, anchor, k, i in zip(*lines, key, ids, strict=True):
             piece = whole[spot : spot + size]
             spot += size
             m = merged.setdefault(piece, len(keys))
             if m == len(keys):
                 keys.append(k)
                 least.append(i)
+                anchors.append(anchor)
             elif i < least[m]:
                 least[m] = i
             numbers.append(m)
         where.append((np.repeat(np.array(numbers, np.int64), counts), np.repeat(np.array(ids, np.int64), counts), np.frombuffer(r["f"], np.int64), np.frombuffer(expand(r["g"]), np.int32).astype(np.int64)))
-    if not keys:
-        return pa.Table.from_batches([packed(rows, BACK)])
     pieces, low = list(merged), np.array(least, np.int64)
     starts = np.array([len(p) - LENGTH + 1 for p in pieces], np.int64)
     begin = np.cumsum(starts) - starts
@@ -453,7 +478,8 @@ def second_answer(table: pa.Table) -> pa.Table:
     same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
     same |= np.append(same[1:], False)
     several = order[same]  # pieces that share their anchor with another piece
-    # sorted bucket by bucket of anchors, in portions that bound the memory of one suffix array
+    several = several[alike([pieces[m] for m in several.tolist()], [anchors[m] for m in several.tolist()])]
+    # anchor by anchor, in portions that bound the memory of one suffix array
     sizes = np.cumsum(np.array([len(pieces[m]) for m in several.tolist()], np.int64))
     fresh = np.concatenate([[True], key[several][1:] != key[several][:-1]]) if len(several) else np.zeros(0, bool)
     cuts, last = [0], 0
@@ -462,13 +488,13 @@ def second_answer(table: pa.Table) -> pa.Table:
             cuts.append(j)
             last = int(sizes[j - 1])
     for a, b in zip(cuts, [*cuts[1:], len(several)], strict=True):
-        group = several[a:b].tolist()
-        if not group:
+        group = several[a:b]
+        if not len(group):
             continue
-        number, part = repeats([pieces[m] for m in group], starts[several[a:b]])
+        number, part = repeats([pieces[m] for m in group.tolist()], starts[group])
         best = np.full(int(number.max()) + 1, NO_ID, np.int64)
-        np.minimum.at(best, number, low[several[a:b]][part])
-        spot = np.arange(len(part)) - np.repeat(np.cumsum(starts[several[a:b]]) - starts[several[a:b]], starts[several[a:b]]) + begin[several[a:b]][part]
+        np.minimum.at(best, number, low[group][part])
+        spot = np.arange(len(part)) - np.repeat(np.cumsum(starts[group]) - starts[group], starts[group]) + begin[group][part]
         first_id[spot] = best[number]
     w, ids, uid, place = (np.concatenate([x[i] for x in where]) for i in range(4))
     # an occurrence in the least document of a piece whose strings are in no other piece can't be covered
@@ -481,11 +507,29 @@ def second_answer(table: pa.Table) -> pa.Table:
     hit = first_id[np.repeat(begin[w], n) + at] < np.repeat(ids, n)
     owner = np.repeat(np.arange(len(w)), n)
     # runs of covered starts
-    open_ = hit & ~np.concatenate([[False], hit[:-1] & (owner[1:] == owner[:-1])])
-    close = hit & ~np.append(hit[1:] & (owner[1:] == owner[:-1]), False)
+    open_ = hit & ~np.concatenate([[False], (hit[:-1] & (owner[1:] == owner[:-1]))])[: len(hit)]
+    close = hit & ~np.append(hit[1:] & (owner[1:] == owner[:-1]), False)[: len(hit)]
     o = owner[open_]
-    rows += by_uid(uid[o], np.stack([place[o] + at[open_], place[o] + at[close] + 1], axis=1))
-    return pa.Table.from_batches([packed(rows, BACK)])
+    return uid[o], np.stack([place[o] + at[open_], place[o] + at[close] + 1], axis=1).astype(np.int32)
+
+
+def alike(pieces: list[bytes], anchors: list[int]) -> np.ndarray:
+    """Which pieces can have a string in common with another one of the same anchor.
+
+    A string that starts at most SIDE bytes before its anchor holds the LENGTH - SIDE bytes from the anchor on, any other the SIDE + 1
+    bytes before the anchor and its gram. A piece alone with both contexts is alone with all its strings.
+    """
+    seen: dict[bytes, int] = {}
+    contexts = []
+    for p, a in zip(pieces, anchors, strict=True):
+        right = p[a : a + LENGTH - SIDE] if a + LENGTH - SIDE <= len(p) else None
+        left = p[a - SIDE - 1 : a + GRAM] if a > SIDE else None
+        contexts.append((right, left))
+        if right is not None:
+            seen[right] = seen.get(right, 0) + 1
+        if left is not None:
+            seen[left] = seen.get(left, 0) + 1
+    return np.array([(r is not None and seen[r] > 1) or (x is not None and seen[x] > 1) for r, x in contexts], bool)
 
 
 def cut(text: bytes, runs: np.ndarray, length: int = LENGTH) -> tuple[bytes, list[tuple[int, int]]]:
@@ -538,12 +582,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         spread = common_anchors(docs.select("uid", "text_in"))
     docs = docs.repartition(parts, "uid")
     at = {"uid": 0, "id": 1, "text": 2}
-    buckets = max(1, parts // 3)
+    buckets = PARTS * max(2, parts // PARTS)  # parts of buckets
     shared = docs.mapInArrow(first_pass(buckets, at, spread), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
     shared = shared.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     asked = docs.join(shared, F.col("uid") == F.col(uid_name))
     width = len(docs.columns)
-    found = asked.mapInArrow(second_pass(parts, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
+    found = asked.mapInArrow(second_pass(buckets, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
     found = found.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     fields = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
