@@ -128,11 +128,12 @@ def map_text(df: DataFrame, compute: Callable, fields: list[T.StructField], text
 
 
 def sums_by_row(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of `values`; a run of length 0 sums to 0."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
+    """Sums of consecutive runs of `values`, each from its own values alone; a run of length 0 sums to 0."""
+    out = np.zeros((len(lengths), *values.shape[1:]))
+    full = lengths > 0
+    if full.any():
+        out[full] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[full], axis=0, dtype=np.float64)
+    return out
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

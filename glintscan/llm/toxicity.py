@@ -139,6 +139,7 @@ def train(texts: list[str], labels: list[int], dim: int = 4, steps: int = 100, r
         for p_, g_, v, r in zip(params, (grad_emb + decay * emb, grad_out, grad_logit.sum(axis=0)), pace, (rate, 0.02, 0.3), strict=True):
             v *= 0.9
             v -= r * ease * g_
+            np.clip(v, -0.5, 0.5, out=v)  # a few documents alone must not make it diverge
             p_ += v
     return ToxicModel((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
