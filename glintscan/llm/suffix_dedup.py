@@ -37,7 +37,7 @@ CHUNK = 1 << 21
 #: Bytes of segments that one suffix array covers at most, but for a single anchor's.
 PORTION = 1 << 20
 #: A bucket is worked off in so many parts, which bounds memory; its answers go out together, a row for each document.
-PARTS = 8
+PARTS = 12
 U = np.uint64
 
 
@@ -582,12 +582,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         spread = common_anchors(docs.select("uid", "text_in"))
     docs = docs.repartition(parts, "uid")
     at = {"uid": 0, "id": 1, "text": 2}
-    buckets = PARTS * max(2, parts // PARTS)  # parts of buckets
-    shared = docs.mapInArrow(first_pass(buckets, at, spread), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
+    first, second = PARTS * max(2, parts // 16), PARTS * max(2, parts // 8)  # parts of buckets
+    shared = docs.mapInArrow(first_pass(first, at, spread), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
     shared = shared.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     asked = docs.join(shared, F.col("uid") == F.col(uid_name))
     width = len(docs.columns)
-    found = asked.mapInArrow(second_pass(buckets, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
+    found = asked.mapInArrow(second_pass(second, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
     found = found.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     fields = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
