@@ -30,6 +30,8 @@ from glintscan.llm.common import ship
 
 LENGTH, GRAM = 50, 16
 SIDE = (LENGTH - GRAM) // 2
+#: In place of its anchor: a string of a common anchor, which meets none but its equals.
+ALONE = 255
 NO_ID = np.int64(2**63 - 1)
 #: Anchors in at least this share of SAMPLE documents are spread by their strings.
 SAMPLE, COMMON = 2000, 0.01
@@ -201,6 +203,7 @@ def packed(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
 BLOBS = "abcdefg"
 SENT = [("bucket", pa.int32()), ("part", pa.int32()), ("uid", pa.int64()), *[(c, pa.binary()) for c in BLOBS]]
 SENT_DDL = "bucket int, part int, uid long, " + ", ".join(f"{c} binary" for c in BLOBS)
+CODEC = pa.Codec("zstd", compression_level=3)
 BACK = [("uid", pa.int64()), ("got", pa.binary())]
 BACK_DDL = "uid long, got binary"
 
@@ -213,11 +216,11 @@ def sent(bucket: int, uid: int | None, *blobs: bytes | np.ndarray) -> pa.RecordB
 def squeeze(data: bytes | np.ndarray) -> bytes:
     """Compressed, with its size in front."""
     raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
 
 
 def expand(blob: bytes) -> bytes:
-    return pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    return CODEC.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
 def by_uid(uid: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
@@ -270,6 +273,7 @@ def spread_common(data: np.ndarray, doc, low, high, key, common: np.ndarray, anc
     doc, key, hot, high, low, anchor = (np.repeat(x, n) for x in (doc, key, hot, high, low, anchor))
     low = low + step
     high = np.where(hot, low, high)
+    anchor = np.where(hot, low + ALONE, anchor)
     key = key.copy()
     key[hot] = piece_hashes(data, low[hot], low[hot] + LENGTH, 1)[0]
     return doc, low, high, key, anchor
@@ -434,7 +438,7 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
             pieces, mine = [pieces[j] for j in alike], mine[alike]
             c = counts[mine]
             places = kept[np.repeat(begin[mine] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
-            yield sent(i, None, squeeze(b"".join(pieces)), squeeze(np.stack([n[lead[mine]] + LENGTH - 1, anchor[lead[mine]]]).astype(np.uint8)), key[lead[mine]], squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
+            yield sent(i, None, squeeze(b"".join(pieces)), squeeze(np.stack([n[lead[mine]] + LENGTH - 1, anchor[lead[mine]]]).astype(np.uint8)), squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
 
     return run
 
@@ -453,9 +457,13 @@ def covered(rows) -> tuple[np.ndarray, np.ndarray]:
     anchors: list[int] = []
     where: list[tuple] = []  # of each task's occurrences: piece, document's id, uid, place
     for r in rows:
-        whole, lines = expand(r["a"]), np.frombuffer(expand(r["b"]), np.uint8).reshape(2, -1).tolist()
-        ids, key = np.frombuffer(expand(r["d"]), np.int64).tolist(), np.frombuffer(r["c"], U).tolist()
-        counts = np.frombuffer(expand(r["e"]), np.uint32)
+        whole, lines = expand(r["a"]), np.frombuffer(expand(r["b"]), np.uint8).reshape(2, -1)
+        size_of, anchor_of = lines.astype(np.int64)
+        alone = anchor_of == ALONE
+        grams = gram_hashes(np.frombuffer(whole, np.uint8))
+        key = np.where(alone, np.arange(len(alone), dtype=U), grams[np.cumsum(size_of) - size_of + np.where(alone, 0, anchor_of)]).tolist()
+        lines = lines.tolist()
+        ids, counts = np.frombuffer(expand(r["c"]), np.int64).tolist(), np.frombuffer(expand(r["d"]), np.uint32)
         numbers, spot = [], 0
         for size, anchor, k, i in zip(*lines, key, ids, strict=True):
             piece = whole[spot : spot + size]
@@ -468,7 +476,7 @@ def covered(rows) -> tuple[np.ndarray, np.ndarray]:
             elif i < least[m]:
                 least[m] = i
             numbers.append(m)
-        where.append((np.repeat(np.array(numbers, np.int64), counts), np.repeat(np.array(ids, np.int64), counts), np.frombuffer(r["f"], np.int64), np.frombuffer(expand(r["g"]), np.int32).astype(np.int64)))
+        where.append((np.repeat(np.array(numbers, np.int64), counts), np.repeat(np.array(ids, np.int64), counts), np.frombuffer(r["e"], np.int64), np.frombuffer(expand(r["f"]), np.int32).astype(np.int64)))
     pieces, low = list(merged), np.array(least, np.int64)
     starts = np.array([len(p) - LENGTH + 1 for p in pieces], np.int64)
     begin = np.cumsum(starts) - starts
@@ -477,6 +485,7 @@ def covered(rows) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     same = np.concatenate([[False], key[order][1:] == key[order][:-1]])
     same |= np.append(same[1:], False)
+    same &= np.array(anchors)[order] != ALONE
     several = order[same]  # pieces that share their anchor with another piece
     several = several[alike([pieces[m] for m in several.tolist()], [anchors[m] for m in several.tolist()])]
     # anchor by anchor, in portions that bound the memory of one suffix array
