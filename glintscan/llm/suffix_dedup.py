@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintscan.llm.common import ship
+from glintscan.llm.common import release, ship
 
 LENGTH, GRAM = 50, 16
 SIDE = (LENGTH - GRAM) // 2
@@ -40,6 +40,8 @@ CHUNK = 1 << 21
 PORTION = 1 << 20
 #: A bucket is worked off in so many parts, which bounds memory; its answers go out together, a row for each document.
 PARTS = 12
+#: A bucket serves so much text in the first and in the second pass: what it holds is bounded whatever the size of all.
+BUCKET_BYTES = (300 << 20, 150 << 20)
 U = np.uint64
 
 
@@ -357,6 +359,7 @@ def own_answers(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def first_answer(table: pa.Table) -> pa.Table:
     """Of one bucket: the places of anchors that more than one task has sent or that a task knows to be shared."""
+    release()
     found = [own_answers(table, 1)]
     for rows in by_part(table):
         keys, uids, places, tasks = [], [], [], []
@@ -377,6 +380,8 @@ def first_answer(table: pa.Table) -> pa.Table:
         hit = order[np.repeat(shared, np.diff(np.append(head, len(k)))) & (t >= 0)]
         found.append((uid[hit], place[hit][:, None]))
     uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    release()
     return pa.Table.from_batches([packed(by_uid(uid, values), BACK)])
 
 
@@ -445,8 +450,11 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
 
 def second_answer(table: pa.Table) -> pa.Table:
     """Of one bucket: (uid, runs of starts that an earlier document has as well)."""
+    release()
     found = [own_answers(table, 2)] + [covered(rows) for rows in by_part(table)]
     uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    release()
     return pa.Table.from_batches([packed(by_uid(uid, values), BACK)])
 
 
@@ -554,9 +562,8 @@ def cut(text: bytes, runs: np.ndarray, length: int = LENGTH) -> tuple[bytes, lis
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), spans
 
 
-def common_anchors(docs: DataFrame, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
-    """Anchors in at least `share` of about `sample` documents (drawn by their uid): a bounded hint for placing."""
-    n = docs.count()
+def common_anchors(docs: DataFrame, n: int, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
+    """Anchors in at least `share` of about `sample` of the n documents (drawn by their uid): a bounded hint for placing."""
     texts = [bytes(r[0]) for r in docs.filter(F.pmod(F.col("uid"), F.lit(max(1, n // sample))) == 0).select("text_in").toLocalIterator()] if n else []
     found = []
     for _, data, starts, sizes in chunks(texts):
@@ -587,11 +594,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     number = F.col(f"`{id_col}`").cast("long")
     own = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(keep) if c != text_col]
     docs = df.select(F.xxhash64(number, raw).alias("uid"), number.alias("id"), raw.alias("text_in"), F.col(f"`{text_col}`").isNull().alias("no_text"), *own)
+    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text_in")), F.lit(0)).alias("bytes")).collect()[0]
     if spread is None:
-        spread = common_anchors(docs.select("uid", "text_in"))
+        spread = common_anchors(docs.select("uid", "text_in"), size["n"])
     docs = docs.repartition(parts, "uid")
     at = {"uid": 0, "id": 1, "text": 2}
-    first, second = PARTS * max(2, parts // 16), PARTS * max(2, parts // 8)  # parts of buckets
+    first, second = (PARTS * max(2, -(-size["bytes"] // b)) for b in BUCKET_BYTES)  # parts of buckets
     shared = docs.mapInArrow(first_pass(first, at, spread), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
     shared = shared.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
     asked = docs.join(shared, F.col("uid") == F.col(uid_name))
