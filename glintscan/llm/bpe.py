@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm import common
-from glintscan.llm.common import Grown, Numbering, map_text, ship, worker_state
+from glintscan.llm.common import Grown, Numbering, map_text, release, ship, worker_state
 
 NO_RANK = np.int32(2**31 - 1)
 #: Upper lengths in bytes of the matrix buckets; longer pre-tokens merge through a heap, which gives the same ids.
@@ -289,5 +289,6 @@ def decode_ids(df: DataFrame, rank_file: bytes, pattern: str, ids_col: str = "id
                 data, at = bpe.decode(flat, offsets - offsets[0])
                 decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [decoded], names=[*keep, "decoded"])
+        release()
 
     return src.mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import tempfile
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 #: Rows of one Arrow batch are handed to numpy in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
 #: A worker forgets its table of distinct words beyond this many, which bounds its memory.
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 250_000
 
 _WORKER: dict = {}
 
@@ -42,14 +44,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def worker_state(key, build: Callable):
-    """One object per Python worker process and key, so that tasks in a reused worker share it."""
+    """One object per Python worker process, for tasks of the same kind in a reused worker to share; another kind drops it."""
     if key not in _WORKER:
-        if len(_WORKER) > 3:
-            _WORKER.clear()
+        _WORKER.clear()
+        release()
         _WORKER[key] = build()
     return _WORKER[key]
 
 
+def release() -> None:
+    """Gives freed memory back to the machine: a reused worker would hold on to its peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 class Numbering(dict):
     """Numbers distinct strings from 0 in order of their first sight; `fresh` holds those not yet processed."""
 
@@ -109,10 +121,10 @@ def map_text(df: DataFrame, compute: Callable, fields: list[T.StructField], text
     ship(df.sparkSession)
     new = {f.name.lower() for f in fields}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    hidden = "text_in"
-    while hidden in {c.lower() for c in keep}:
+    hidden = text_col if text_col in keep else "text_in"  # a text that is passed on is sent once
+    while hidden != text_col and hidden in {c.lower() for c in keep}:
         hidden += "_"
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias(hidden))
+    src = df.select(*[F.col(f"`{c}`") for c in keep], *([] if hidden == text_col else [F.col(f"`{text_col}`").alias(hidden)]))
     schema = T.StructType([src.schema[c] for c in keep] + fields)
     names = keep + [f.name for f in fields]
     kept = len(keep)
@@ -123,6 +135,7 @@ def map_text(df: DataFrame, compute: Callable, fields: list[T.StructField], text
             for part in slices(batch, hidden):
                 made = apply(part.column(hidden).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(kept)] + made, names=names)
+        release()
 
     return src.mapInArrow(run, schema)
 
