@@ -37,11 +37,11 @@ NO_ID = np.int64(2**63 - 1)
 SAMPLE, COMMON = 2000, 0.01
 CHUNK = 1 << 21
 #: Bytes of segments that one suffix array covers at most, but for a single anchor's.
-PORTION = 1 << 20
+PORTION = 1 << 19
 #: A bucket is worked off in so many parts, which bounds memory; its answers go out together, a row for each document.
 PARTS = 12
 #: A bucket serves so much text in the first and in the second pass: what it holds is bounded whatever the size of all.
-BUCKET_BYTES = (300 << 20, 150 << 20)
+BUCKET_BYTES = (200 << 20, 100 << 20)
 U = np.uint64
 
 
@@ -327,6 +327,8 @@ def first_pass(buckets: int, at: dict[str, int], common: np.ndarray):
             if len(mine) or len(own):
                 low, high = low_bits(key[mine])
                 yield sent(i, None, low, high, uid[doc[mine][runs]], squeeze(counts), squeeze(np.diff(place[mine], prepend=np.int32(0)).astype(np.int32)), *low_bits(own))
+        del uid, did, key, doc, place, order, k, d, uids, ids, keys, docs, places
+        release()
 
     return run
 
@@ -444,6 +446,8 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
             c = counts[mine]
             places = kept[np.repeat(begin[mine] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
             yield sent(i, None, squeeze(b"".join(pieces)), squeeze(np.stack([n[lead[mine]] + LENGTH - 1, anchor[lead[mine]]]).astype(np.uint8)), squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
+        del whole, h0, h1, did, uid, place, n, where, key, anchor, order, group, kept
+        release()
 
     return run
 
@@ -618,5 +622,6 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             columns = [pa.array([k for k, _ in made], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(texts, made, strict=True)], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for _, s in made], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
             text = pa.array([None if no else t.decode("utf-8", "replace") for t, no in zip(texts, batch.column(3).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([text if i is None else batch.column(i) for i in order] + columns, names=[*keep, *result])
+        release()
 
     return docs.join(found, F.col("uid") == F.col(uid_name), "left").mapInArrow(finish, schema)
