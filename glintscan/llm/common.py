@@ -53,7 +53,13 @@ def worker_state(key, build: Callable):
 
 
 def release() -> None:
-    """Gives freed memory back to the machine: a reused worker would hold on to its peak."""
+    """At the end of a task: drops the tables it has grown and gives freed memory back to the machine. A reused worker would
+    otherwise hold on to its peak, also while it waits."""
+    for key, held in list(_WORKER.items()):
+        if hasattr(held, "reset"):
+            held.reset()
+        else:
+            del _WORKER[key]
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

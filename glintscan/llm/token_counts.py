@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm.bpe import ByteBPE, tokenizer
-from glintscan.llm.common import ship, slices
+from glintscan.llm.common import release, ship, slices
 
 LEAF = 64
 #: The pattern looks at most this many characters past the end of a match (a contraction's letters, a blank's follower).
@@ -181,5 +181,6 @@ def count_with_edits(df: DataFrame, edits: Column, rank_file: bytes, pattern: st
                     rows.append((before, n, held.tree.total, held.encoded, held.text))
                 columns = [pa.array(list(c), kind) for c, (_, kind, _) in zip(zip(*rows, strict=True), FIELDS, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + columns, names=[*keep, *[f[0] for f in FIELDS]])
+        release()
 
     return src.mapInArrow(run, schema)
