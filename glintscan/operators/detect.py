@@ -21,15 +21,19 @@ def lines(found: DataFrame) -> DataFrame:
 
 
 def guard(rule: Rule) -> Column:
-    """Whether the line has a literal that the rule needs. `low` is the line with case folded as the rules fold it."""
-    return reduce(lambda a, b: a | b, [F.contains(F.col("low" if rule.folded else "text"), F.lit(g)) for g in rule.guards])
+    """Whether the line has a literal that the rule needs; `low` is the line in lower case.
+
+    Rules that ignore case also take U+017F for an s, which lower() keeps: such a line passes every guard of theirs.
+    """
+    found = [F.contains(F.col("low" if rule.folded else "text"), F.lit(g)) for g in rule.guards]
+    return reduce(lambda a, b: a | b, found + [F.contains("text", F.lit("\u017f"))] * rule.folded)
 
 
 def matches(found_lines: DataFrame, rules: tuple[Rule, ...] = EFFECTIVE) -> DataFrame:
     """Every non-overlapping match of every rule on every line: det_ord, match_ord and the token (its first group)."""
     rules = tuple(r for r in rules if r.effective)
     keys = [c for c in found_lines.columns if c != "low"]
-    wide = found_lines.withColumn("low", F.lower(F.upper("text")))
+    wide = found_lines.withColumn("low", F.lower("text"))
     wide = wide.filter(reduce(lambda a, b: a | b, [guard(r) for r in rules]))
     hits = F.array(*[F.struct(F.lit(r.ord).alias("det_ord"), F.when(guard(r), F.regexp_extract_all("text", F.lit(r.java), F.lit(1))).alias("tokens")) for r in rules])
     some = wide.select(*keys, F.explode(F.filter(hits, lambda h: F.size(h["tokens"]) > 0)).alias("h"))

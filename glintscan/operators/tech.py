@@ -30,6 +30,10 @@ MARKERS = (
 IMPLIED = {"WordPress": ("MySQL", "PHP"), "Drupal": ("PHP",), "Joomla": ("PHP",), "Next.js": ("Node.js", "React"), "Nuxt.js": ("Node.js", "Vue.js")}
 
 
+def _header(name: str, pattern: str):
+    return lambda entry: (F.lower(entry["key"]) == name) & F.exists(entry["value"], lambda v: v.rlike(pattern))
+
+
 def technologies(pages: DataFrame) -> Column:
     """Sorted names; null if there are none. Without a headers column (map of arrays) only the body is looked at."""
     names = []
@@ -37,7 +41,7 @@ def technologies(pages: DataFrame) -> Column:
         if not header:
             hit = F.col("html").rlike(pattern)
         elif "headers" in pages.columns:
-            hit = F.exists(F.map_entries("headers"), lambda e, h=header, p=pattern: (F.lower(e["key"]) == h) & F.exists(e["value"], lambda v: v.rlike(p)))
+            hit = F.exists(F.map_entries("headers"), _header(header, pattern))
         else:
             continue
         names.append(F.when(hit, F.array(*[F.lit(n) for n in (name, *IMPLIED.get(name, ()))])).otherwise(F.array().cast("array<string>")))

@@ -55,7 +55,9 @@ def test_external_scripts(spark):
 @pytest.mark.parametrize("ref", ["//o.example/x", "/x", "x", "../x", "../../../x", "?z", "#f", "https://o.example/a/../b", "./", "..", "x/./y/../z", "", "a//b", "x?y=/../z"])
 @pytest.mark.parametrize("base", ["https://h.example/a/b/c?q#top", "http://h.example", "http://h.example/a/"])
 def test_resolution(spark, base, ref):
-    want = urljoin(base, ref)
+    want = {"https://o.example/a/../b": "https://o.example/b"}.get(ref, urljoin(base, ref))
+    if ref == "a//b":  # an empty segment stays
+        want = urljoin(base, "a/!/b").replace("!/", "/")
     if ref == "":
         want = base.partition("#")[0]
     if ref == "?z" and base == "http://h.example":
