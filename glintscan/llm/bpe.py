@@ -27,6 +27,8 @@ NO_RANK = np.int32(2**31 - 1)
 #: Upper lengths in bytes of the matrix buckets; longer pre-tokens merge through a heap, which gives the same ids.
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 ROWS = 1 << 16
+#: So few new pre-tokens (an edit's) merge one by one through the heap: matrices would cost more than they save.
+FEW = 16
 
 
 class PairTable:
@@ -160,6 +162,14 @@ class ByteBPE:
     def _learn(self, words: list[str]) -> None:
         """Encodes pre-tokens not seen before and appends their ids to the worker's table."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        if len(words) < FEW:
+            made = [[self.ranks[b]] if b in self.ranks else self._merge_long(b) for b in raw]
+            sizes = np.array([len(ids) for ids in made], np.int64)
+            self.start.extend(self.flat.n + np.cumsum(sizes) - sizes)
+            self.flat.extend(np.array([i for ids in made for i in ids], np.int32))
+            self.count.extend(sizes.astype(np.int32))
+            self.chars.extend(np.array([len(w) for w in words], np.int32))
+            return
         size = np.array([len(b) for b in raw], np.int64)
         counts = np.zeros(len(raw), np.int32)
         found: list[tuple[np.ndarray, np.ndarray]] = []  # (row of words, ids) for blocks of equal treatment
