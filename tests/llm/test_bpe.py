@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glintscan.llm import bpe, token_counts
+from glintscan.llm import bpe as bpe_module
 
 RANKS = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
 BPE = bpe.ByteBPE(RANKS, P.PATTERN)
@@ -36,7 +37,10 @@ def test_long_pretokens_merge_as_rows_do():
     rng = random.Random(4)
     for n in (2, 5, 40, 256, 300):
         piece = "".join(rng.choice("abehinorst") for _ in range(n))
-        assert BPE._merge_long(piece.encode()) == BPE.encode([piece])[0].tolist()
+        rows = [piece] + [f"{piece}{k}z" for k in range(20)]  # enough for matrices
+        bpe = bpe_module.ByteBPE(RANKS, P.PATTERN)
+        ids, offsets = bpe.encode(rows)
+        assert BPE._merge_long(piece.encode()) == ids[: offsets[1]].tolist() == THEIRS.encode_ordinary(piece)
 
 
 def test_documents(spark):
