@@ -1,12 +1,14 @@
 """Quality: attention-based multiple-instance learning over the passages of a document.
 
-A document is a bag of passages of at most PASSAGE tokens. Each passage is encoded from the shapes of its tokens and
+A document is a bag of passages of at most PASSAGE tokens. A run without blanks of over LONGEST characters is as many
+tokens as it needs, so that every character reaches a passage. Each passage is encoded from the shapes of its tokens and
 from how they repeat; gated attention, learned from document labels alone, weighs the encodings; a logistic unit
 scores the weighted sum. All of it is trained in numpy by Adam over a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -20,6 +22,9 @@ from glintscan.llm.common import Grown, Numbering, map_text, sums_by_row, worker
 from glintscan.llm.toxicity import labelled_sample, passages
 
 PASSAGE = 40
+LONGEST = 64
+#: A token of a long run; the :// that its end would part stays whole.
+PIECE = re.compile(r".{1,%d}(?:(?<=:)//|(?<=:/)/)?" % LONGEST, re.DOTALL)
 SHAPES = 16
 BASE = 14
 LAGS = 12
@@ -27,6 +32,14 @@ LAGS = 12
 WIDTH = BASE + SHAPES + LAGS + 2
 
 
+def tokens(text: str) -> list[str]:
+    """The text's runs without blanks, long ones in consecutive pieces."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    return [piece for w in words for piece in ([w] if len(w) <= LONGEST else PIECE.findall(w))]
+
+
 def token_features(words: list[str]) -> np.ndarray:
     """Length, character classes, ending and hashed shape of each distinct token."""
     out = np.zeros((len(words), BASE + SHAPES), np.float32)
@@ -34,7 +47,7 @@ def token_features(words: list[str]) -> np.ndarray:
         n = len(w)
         alpha = digit = upper = 0
         shape, last = [], ""
-        for c in w if n <= 64 else w[:48] + w[-16:]:
+        for c in w:
             if c.isalpha():
                 alpha += 1
                 s = "X" if c.isupper() else "x"
@@ -47,9 +60,8 @@ def token_features(words: list[str]) -> np.ndarray:
             if s != last:
                 shape.append(s)
                 last = s
-        seen = min(n, 64)
         end = w[-1]
-        out[k, :BASE] = (min(n, 40) / 10, alpha / seen, digit / seen, 1 - (alpha + digit) / seen, w[0].isupper(), upper == alpha and alpha > 1, alpha + digit == 0, end in ".!?", end in ",;:", not (end.isalnum() or end in ".!?,;:"), "@" in w or "://" in w, n <= 2, n > 14, alpha == seen)
+        out[k, :BASE] = (n / 10, alpha / n, digit / n, 1 - (alpha + digit) / n, w[0].isupper(), upper == alpha and alpha > 1, alpha + digit == 0, end in ".!?", end in ",;:", not (end.isalnum() or end in ".!?,;:"), "@" in w or "://" in w, n <= 2, n > 14, alpha == n)
         out[k, BASE + zlib.crc32("".join(shape).encode("utf-8", "surrogatepass")) % SHAPES] = 1
     return out
 
@@ -106,7 +118,7 @@ def train(texts: list[str], labels: list[int], hidden: int = 16, inner: int = 8,
     made = []
     for k in range(0, len(texts), 64):  # bounds the token matrix
         seen = Numbering()
-        numbers = [np.array([seen[w] for w in (t or "").split()], np.int64) for t in texts[k : k + 64]]
+        numbers = [np.array([seen[w] for w in tokens(t or "")], np.int64) for t in texts[k : k + 64]]
         made.append(passage_features(np.concatenate(numbers), np.array([len(v) for v in numbers], np.int64), token_features(seen.take_fresh())))
     x, n = (np.concatenate(c) for c in zip(*made, strict=True))
     model = QualityModel(x.mean(axis=0), x.std(axis=0) + 0.05, params)
@@ -156,7 +168,7 @@ def score(df: DataFrame, model: QualityModel, text_col: str = "text", keep: list
             for k, text in enumerate(texts):
                 if text:
                     before = len(numbers)
-                    numbers.extend(map(seen.__getitem__, text.split()))
+                    numbers.extend(map(seen.__getitem__, tokens(text)))
                     lengths[k] = len(numbers) - before
             if seen.fresh:
                 known.extend(token_features(seen.take_fresh()))

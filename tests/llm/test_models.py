@@ -102,3 +102,17 @@ def test_quality_of_held_out_documents(spark):
     out = queries.op9_quality(spark, SF).join(labels, "doc_id").filter("held_out")
     n, right = out.agg(F.count("*"), F.count_if(F.col("quality") == F.col("predicted"))).collect()[0]
     assert n > 50 and right >= 0.95 * n
+
+
+def test_quality_reads_the_middle_of_long_runs(spark):
+    def run(good, n):
+        return "文章" * n + ("清楚明白" if good else "0#|9") * n + "文章" * n
+
+    texts, labels = [run(k % 2, 50 + k) for k in range(40)], [k % 2 for k in range(40)]
+    model = quality.train(texts, labels, steps=80)
+    df = spark.createDataFrame([(0, run(0, 300)), (1, run(1, 300))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(df, model).collect()}
+    assert got[1] > 0.5 > got[0]
+    for k in range(70):  # wherever the cuts fall, no character and no :// is lost
+        w = "a" * k + "://" * 60
+        assert "".join(quality.tokens(w)) == w and sum(p.count("://") for p in quality.tokens(w)) == 60
