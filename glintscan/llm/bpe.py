@@ -159,10 +159,10 @@ class ByteBPE:
                 heapq.heappush(heap, (r, p, stop))
         return [ids[i] for i in range(n) if end[i]]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes pre-tokens not seen before and appends their ids to the worker's table."""
+    def _learn(self, words: list[str], edit: bool = False) -> None:
+        """Encodes pre-tokens not seen before and appends their ids to the worker's table; the few of an edit one by one."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        if len(words) < FEW:
+        if edit and len(words) < FEW:
             made = [[self.ranks[b]] if b in self.ranks else self._merge_long(b) for b in raw]
             sizes = np.array([len(ids) for ids in made], np.int64)
             self.start.extend(self.flat.n + np.cumsum(sizes) - sizes)
@@ -209,10 +209,10 @@ class ByteBPE:
         return self.pattern.findall(text)
 
     def counts(self, words: list[str]) -> list[int]:
-        """Tokens of each pre-token."""
+        """Tokens of each pre-token of an edited place."""
         numbers = [self.seen[w] for w in words]
         if self.seen.fresh:
-            self._learn(self.seen.take_fresh())
+            self._learn(self.seen.take_fresh(), edit=True)
         return self.count.data[numbers].tolist() if numbers else []
 
     def number(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -43,6 +43,13 @@ def test_long_pretokens_merge_as_rows_do():
         assert BPE._merge_long(piece.encode()) == ids[: offsets[1]].tolist() == THEIRS.encode_ordinary(piece)
 
 
+def test_few_new_pretokens_of_a_text_go_through_matrices(monkeypatch):
+    bpe = bpe_module.ByteBPE(RANKS, P.PATTERN)
+    monkeypatch.setattr(bpe, "_merge_long", None)
+    ids, offsets = bpe.encode(["qzxvunheardof qqzzword"])
+    assert split(ids, offsets) == [THEIRS.encode_ordinary("qzxvunheardof qqzzword")]
+
+
 def test_documents(spark):
     rows = [(1, "Hello  world", 5), (1, "Hello  world", 5), (None, None, 6), (2, "", 7), (3, "x" * 40_000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids int")
