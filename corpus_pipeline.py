@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glintscan.llm import bpe, decontam, jaccard, langid, suffix_dedup
@@ -27,13 +27,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs)
 
 
+def whole_characters(text: Column, spans: Column) -> Column:
+    """The text without the given spans of bytes, each widened to whole characters."""
+    raw = text.cast("binary")
+
+    def inside(place: Column) -> Column:  # a byte that no character starts with
+        return F.hex(F.substring(raw, place + 1, F.lit(1))).between("80", "BF")
+
+    def edge(place: Column, step: int) -> Column:
+        near = [place + step * k for k in range(4)]
+        return F.when(~inside(near[0]), near[0]).when(~inside(near[1]), near[1]).when(~inside(near[2]), near[2]).otherwise(near[3])
+
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: edge(s["stop"], 1)))
+    ends = F.concat(F.transform(spans, lambda s: edge(s["start"], -1)), F.array(F.octet_length(text)))
+    return F.array_join(F.zip_with(begins, ends, lambda a, b: F.substring(raw, a + 1, F.greatest(b - a, F.lit(0))).cast("string")), "")
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document has as well; documents of which nothing is left go.
 
-    A character that a cut has broken is dropped, with every U+FFFD of a text that was cut. n_chars follows the text.
+    A character that a cut has broken is dropped, and nothing else. n_chars follows the text.
     """
     cut = suffix_dedup.remove_repeats(docs)
-    kept = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    kept = whole_characters(F.col("text"), F.col("spans"))
     changed = cut.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(kept)).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
     return changed.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 

@@ -16,3 +16,23 @@ def test_stages_on_whole_documents(spark, tmp_path):
     total = lambda d: sum(len(r.text) for r in d.collect())
     assert total(seen[3]) < total(seen[2])
     assert corpus_pipeline.run(spark, SF).count() == counts[5]
+
+
+def test_cuts_drop_only_the_characters_they_break(spark):
+    same = "é" + "a repeated passage of more than fifty bytes, met twice" + "ê"  # é and ê share their first byte, è and ê too
+    rows = [(1, same, 9), (2, "\ufffdown start \ufffd" + same[:-1] + "è end\ufffd", 9), (3, "not cut \ufffd", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    text = "\ufffdown start \ufffd end\ufffd"
+    assert got == {1: (same, 9), 2: (text, len(text)), 3: ("not cut \ufffd", 9)}
+
+
+def test_spans_are_widened_to_whole_characters(spark):
+    text = "a漢😀\ufffdé"
+    raw = text.encode()
+    cuts = [(a, b) for a in range(len(raw)) for b in range(a + 1, len(raw) + 1)]
+    rows = [(text, [(a, b)]) for a, b in cuts] + [(text, [(0, 2), (3, 6)])]
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start int, stop int>>")
+    at = [len(text[:k].encode()) for k in range(len(text) + 1)]
+    want = ["".join(c for c, s, e in zip(text, at, at[1:]) if e <= a or s >= b) for a, b in cuts] + [text[3:]]
+    assert [r.t for r in df.select(corpus_pipeline.whole_characters(df.text, df.spans).alias("t")).collect()] == want
