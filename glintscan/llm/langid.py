@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +26,10 @@ from glintscan.llm.common import Grown, Numbering, map_text, sums_by_row, worker
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: A run of letters is scored in blocks of this many characters, so that one lattice stays small.
-BLOCK = 32
+#: Longer words are summed in logarithms, so that no length underflows.
+SHORT = 32
+#: Characters of a batch of long words; one word may have more.
+CELLS = 1 << 15
 UNKNOWN = "und"
 
 
@@ -73,10 +76,93 @@ def expected(ids: np.ndarray, prob: np.ndarray, counts: np.ndarray, out: np.ndar
                 out[:, k] += np.bincount(p + 1, gain[:, k], len(out) + 1)[1:]
 
 
-def blocks(word: str) -> list[str]:
-    """Lower-cased letters of a word as lattice strings; the first carries the word-start mark."""
-    word = START + "".join(c for c in word.lower() if c.isalpha())
-    return [word[i : i + BLOCK] for i in range(0, len(word), BLOCK)] if len(word) > 1 else []
+def marked(word: str) -> str:
+    """Lower-cased letters of a word behind the word-start mark; empty without a letter."""
+    word = "".join(c for c in word.lower() if c.isalpha())
+    return word and START + word
+
+
+def batches(words: list[str]) -> Iterator[list[str]]:
+    """Words of up to SHORT characters in batches of one length; longer ones in batches of similar lengths."""
+    by_size: dict[int, list[str]] = {}
+    for word in words:
+        by_size.setdefault(min(len(word), SHORT + 1), []).append(word)
+    for size, group in by_size.items():
+        if size <= SHORT:
+            yield from (group[k : k + 4096] for k in range(0, len(group), 4096))
+            continue
+        group.sort(key=len)
+        batch: list[str] = []
+        for word in group:
+            if batch and (len(batch) + 1) * len(word) > CELLS:
+                yield batch
+                batch = []
+            batch.append(word)
+        yield batch
+
+
+def endings(words: list[str], low: int, high: int, piece_ids: dict[str, int], longest: int, unknown: int) -> np.ndarray:
+    """ids[w, end - low - 1, length - 1]: the piece that ends there, or -1, for the ends in (low, high]; words may be shorter."""
+    out = np.full((len(words), high - low, longest), -1, np.int32)
+    get = piece_ids.get
+    for w, word in enumerate(words):
+        for end in range(low + 1, min(high, len(word)) + 1):
+            for length in range(1, min(longest, end) + 1):
+                p = get(word[end - length : end])
+                if p is not None:
+                    out[w, end - low - 1, length - 1] = p
+    out[:, :, 0][out[:, :, 0] < 0] = unknown
+    return out
+
+
+def advance(ids: np.ndarray, prob: np.ndarray, window: np.ndarray) -> Iterator[np.ndarray]:
+    """Logs of alpha at end after end. window[w, length - 1, language] holds those before, the nearest first."""
+    for k in range(ids.shape[1]):
+        steps = prob[ids[:, k]] * np.exp(window - window[:, :1])
+        now = window[:, 0] + np.log(steps.sum(axis=1))
+        window = np.concatenate([now[:, None], window[:, :-1]], axis=1)
+        yield now
+
+
+def opening(n: int, longest: int, languages: int) -> np.ndarray:
+    """The window at a word's start."""
+    window = np.full((n, longest, languages), -np.inf)
+    window[:, 0] = 0
+    return window
+
+
+def log_forward(words: list[str], piece_ids: dict[str, int], longest: int, unknown: int, prob: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations of long words; of alpha only the last `longest` values are held."""
+    sizes = np.array([len(w) for w in words])
+    out = np.zeros((len(words), prob.shape[1]))
+    held = [opening(len(words), longest, prob.shape[1])[:, k] for k in range(longest)]
+    step = max(1, CELLS // len(words))
+    for low in range(0, int(sizes.max()), step):
+        high = min(low + step, int(sizes.max()))
+        ids = endings(words, low, high, piece_ids, longest, unknown)
+        for end, now in enumerate(advance(ids, prob, np.stack(held, axis=1)), low + 1):
+            held = [now, *held[:-1]]
+            out[sizes == end] = now[sizes == end]
+    return out
+
+
+def log_expected(ids: np.ndarray, sizes: np.ndarray, prob: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+    """As `expected`, for long words and the ids of `endings`: backwards, the chance that a piece ends at each place."""
+    n, size, longest = ids.shape
+    alpha = np.full((n, longest + size, out.shape[1]), -np.inf)  # from `longest` - 1 places before the start
+    alpha[:, longest - 1] = 0
+    for end, now in enumerate(advance(ids, prob, opening(n, longest, out.shape[1])), longest):
+        alpha[:, end] = now
+    ends = np.zeros_like(alpha)
+    ends[np.arange(n), longest - 1 + sizes] = counts
+    for end in range(size, 0, -1):
+        at = longest - 1 + end
+        before = slice(at - longest, at)
+        p = ids[:, end - 1, ::-1]  # by start, as alpha
+        gain = ends[:, at, None] * prob[p] * np.exp(alpha[:, before] - alpha[:, at, None])
+        ends[:, before] += gain
+        for k in range(out.shape[1]):
+            out[:, k] += np.bincount(p.ravel() + 1, gain[:, :, k].ravel(), len(out) + 1)[1:]
 
 
 @dataclass
@@ -90,40 +176,50 @@ class LanguageModel:
     def word_scores(self, piece_ids: dict[str, int], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word under each language, and whether it has a letter."""
         scores, letters = np.zeros((len(words), len(self.languages))), np.zeros(len(words), bool)
-        by_size: dict[int, list[tuple[int, str]]] = {}
+        places: dict[str, list[int]] = {}
         for i, word in enumerate(words):
-            for part in blocks(word):
+            if lower := marked(word):
                 letters[i] = True
-                by_size.setdefault(len(part), []).append((i, part))
-        for rows in by_size.values():
-            for k in range(0, len(rows), 4096):
-                at = np.array([i for i, _ in rows[k : k + 4096]])
-                ids = lattice([p for _, p in rows[k : k + 4096]], piece_ids, self.longest, len(self.pieces))
-                np.add.at(scores, at, np.log(np.maximum(forward(ids, self.prob)[:, -1], 1e-300)))
+                places.setdefault(lower, []).append(i)
+        for batch in batches(list(places)):
+            if len(batch[0]) > SHORT:
+                made = log_forward(batch, piece_ids, self.longest, len(self.pieces), self.prob)
+            else:
+                ids = lattice(batch, piece_ids, self.longest, len(self.pieces))
+                made = np.log(np.maximum(forward(ids, self.prob)[:, -1], 1e-300))
+            for word, row in zip(batch, made, strict=True):
+                scores[places[word]] = row
         return scores, letters
 
 
-def train(counts: dict[str, Counter], pieces: list[str], rounds: int = 3, longest: int = 12) -> LanguageModel:
+def train(counts: dict[str, Counter], pieces: list[str], rounds: int = 3) -> LanguageModel:
     """Learns piece probabilities from word counts by language. Languages are sorted; ties go to the first."""
     languages = sorted(counts)
-    pieces = [p for p in pieces if p == START or p.removeprefix(START).isalpha() and len(p) <= longest and p == p.lower()]
+    pieces = [p for p in pieces if p == START or p.removeprefix(START).isalpha() and p == p.lower()]
+    longest = max(map(len, pieces), default=1)
     piece_ids = {p: i for i, p in enumerate(pieces)}
     size = len(pieces)
     prob = np.full((size + 2, len(languages)), 1.0 / (size + 1))
     prob[-1] = 0
-    by_block: dict[str, np.ndarray] = {}
+    seen: dict[str, np.ndarray] = {}
     for k, lang in enumerate(languages):
         for word, n in counts[lang].items():
-            for part in blocks(word):
-                by_block.setdefault(part, np.zeros(len(languages)))[k] += n
-    by_size: dict[int, list[str]] = {}
-    for part in by_block:
-        by_size.setdefault(len(part), []).append(part)
-    lattices = [(ps[k : k + 4096], lattice(ps[k : k + 4096], piece_ids, longest, size)) for ps in by_size.values() for k in range(0, len(ps), 4096)]
+            if lower := marked(word):
+                seen.setdefault(lower, np.zeros(len(languages)))[k] += n
+    lattices = []
+    for batch in batches(list(seen)):
+        if len(batch[0]) > SHORT:
+            lattices.append((batch, endings(batch, 0, len(batch[-1]), piece_ids, longest, size)))
+        else:
+            lattices.append((batch, lattice(batch, piece_ids, longest, size)))
     for _ in range(rounds):
         total = np.zeros((size + 1, len(languages)))
-        for parts, ids in lattices:
-            expected(ids, prob, np.array([by_block[p] for p in parts]), total)
+        for batch, ids in lattices:
+            times = np.array([seen[w] for w in batch])
+            if len(batch[0]) > SHORT:
+                log_expected(ids, np.array([len(w) for w in batch]), prob, times, total)
+            else:
+                expected(ids, prob, times, total)
         total += 0.05
         prob[:-1] = total / total.sum(axis=0)
     return LanguageModel(languages, pieces, prob, longest)

@@ -34,6 +34,25 @@ def test_forward_sums_every_segmentation():
             assert abs(alpha[w, -1, k] - total(word, k)) < 1e-12
 
 
+def test_long_words_and_long_pieces_are_summed_whole(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "ba", "abbaabbaabbaabba"]
+    counts = {"x": Counter({"abba" * 30: 2, "ab" * 40: 1, "ab": 3}), "y": Counter({"b" * 50: 2, "ba" * 20: 3})}
+    model = langid.train(counts, pieces)
+    assert model.pieces == pieces
+    ids = {p: i for i, p in enumerate(pieces)}
+    words = ["abba" * 30, "b" * 33 + "?a", "abb" * 11, "ab" * 40, "ab"]
+    scores, _ = model.word_scores(ids, words)
+    for word, row in zip(words, scores):
+        alpha = langid.forward(langid.lattice([langid.marked(word)], ids, model.longest, len(pieces)), model.prob)[0, -1]
+        assert np.abs(row - np.log(alpha)).max() < 1e-9
+    monkeypatch.setattr(langid, "CELLS", 50)  # one batch a word, several steps
+    assert np.abs(model.word_scores(ids, words)[0] - scores).max() < 1e-9
+    monkeypatch.setattr(langid, "SHORT", 200)  # the short words' way of learning
+    assert np.abs(langid.train(counts, pieces).prob - model.prob).max() < 1e-9
+    long = model.word_scores(ids, ["abba" * 5000])[0]
+    assert np.isfinite(long).all() and long[0, 0] > long[0, 1]
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = queries.op8_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
