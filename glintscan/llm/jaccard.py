@@ -1,9 +1,9 @@
-"""N-gram Jaccard self-join through a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard self-join through MinHash banding at the depth to which an LSH forest would descend, with exact verification.
 
-Each distinct text has a signature of TREES x depth minimum hashes over its word shingles; a tree is the trie of its
-sorted part of the signatures. The matched prefix starts at full depth and is shortened level by level until a pair
-at the threshold is missed with a chance of at most 1 - TARGET_RECALL. Texts that share a prefix in some tree are
-candidates. Candidates are put into clusters (components over prefixes), a cluster into blocks, and each pair of
+Each distinct text has TREES keys, each of them the hash of `depth` minimum hashes over its word shingles. The depth is
+fixed before any data is read: from DEPTH it is shortened until a pair at the threshold is missed with a chance of at most
+1 - TARGET_RECALL. Texts that share a key are candidates, the same pairs as share a prefix of that length in a tree of a
+forest. Candidates are put into clusters (components over prefixes), a cluster into blocks, and each pair of
 blocks is verified in one task from the texts' whole shingle sets: only sums of links and one edge for
 each text leave it, never the pairs.
 """
