@@ -2,7 +2,8 @@
 
 Documents with equal texts are linked. Every linked document starts in a shard of its own hash; in each round the documents
 of a group vote with their shards, a group larger than a shard for as many shards as it needs, and its members move towards
-the winners. A shard takes at most as many as its quota leaves: where more ask, a share of the groups that ask is let in.
+the winners. A shard takes at most as many as its quota leaves: where more ask, a share of the groups that ask is let in,
+and those refused ask for another shard with room, until no group moves.
 At the end rows over quota are released, and the unlinked and released rows fill every shard to its exact count. Links
 go through the group's counts, never through pairs of its members.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from glintscan.llm.common import checkpoint
 
 SHARDS, ROUNDS = 40, 3
+#: So many rounds without a move end the propagation: in one alone the draws may refuse all.
+IDLE = 3
 #: Rows of a ranking bucket: places are counted bucket by bucket, so that no task ranks a whole shard.
 BUCKET_ROWS = 20_000
 
@@ -40,28 +43,53 @@ def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[str], n
 
 
 def propagate(linked: DataFrame, room: list[int], rounds: int) -> DataFrame:
-    """Rows (uid, group, total, shard) after the given number of rounds."""
+    """Rows (uid, group, total, shard) after that number of rounds and as many more as it takes until no group moves.
+
+    A group that is still in several shards after the first round asks for one with room for all of it, drawn anew each
+    round. After `rounds` rounds a shard lets in only what fits beside all its rows, so that it can't grow over its room.
+    """
     shards, most = len(room), max(1, max(room))
     roomy = [True] * shards
-    for turn in range(rounds):
+    linked = linked.withColumn("moved", F.lit(0))
+    turn = idle = 0
+    while True:
+        held, moved = [0] * shards, 0
+        for r in linked.groupBy("shard").agg(F.count("*").alias("n"), F.sum("moved").alias("moved")).collect():  # a row a shard
+            held[r["shard"]] = r["n"]
+            moved += r["moved"]
+        idle = 0 if moved else idle + 1
+        if turn >= rounds and idle == IDLE:
+            return linked.drop("moved")
+        left = [c - h for c, h in zip(room, held, strict=True)]
         votes = linked.groupBy("group", "total", "shard").agg(F.count("*").alias("votes"))
-        seats = (F.ceil(F.col("total") / most) + F.when(F.col("total") > most, turn).otherwise(0)).cast("int")
+        seats = (F.ceil(F.col("total") / most) + F.when(F.col("total") > most, min(turn, rounds - 1)).otherwise(0)).cast("int")
         # the group's shards by votes (ties: by hash); at most `shards` entries a group
         listed = votes.groupBy("group", "total").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", F.xxhash64("group", "shard").alias("tie"), "shard")), asc=False), F.lit(1), F.lit(shards)).alias("v"))
-        homes = listed.select("group", F.transform(F.slice("v", F.lit(1), F.least(seats, F.size("v"))), lambda x: x["shard"]).alias("homes"))
-        open_ = F.filter("homes", lambda h: at(roomy, h))
+        voted = F.transform(F.slice("v", F.lit(1), F.least(seats, F.size("v"))), lambda x: x["shard"])
+        if turn:
+            fits = F.filter(F.array(*[F.lit(k) for k in range(shards)]), lambda k: at(left, k) >= F.col("total"))
+            drawn = F.slice(fits, F.pmod(F.xxhash64("group", F.lit(turn)), F.greatest(F.size(fits), F.lit(1))).cast("int") + 1, F.lit(1))
+            voted = F.when((F.col("total") <= most) & (F.size("v") > 1), drawn).otherwise(voted)
+        homes = listed.select("group", voted.alias("homes"))
+        open_ = F.when(F.col("total") > most, F.filter("homes", lambda h: at(roomy, h))).otherwise(F.col("homes"))
         to = F.get(open_, F.pmod(F.xxhash64("uid", F.lit(turn)), F.greatest(F.size(open_), F.lit(1))).cast("int"))
         asked = linked.join(homes, "group").withColumn("to", F.when(F.array_contains("homes", F.col("shard")), F.col("shard")).otherwise(F.coalesce(to, "shard")))
         asked = checkpoint(asked.select("uid", "group", "total", "shard", "to"))
         stay, come = [0] * shards, [0] * shards
         for r in asked.groupBy("to", (F.col("to") == F.col("shard")).alias("stays")).agg(F.count("*").alias("n")).collect():  # two rows a shard
             (stay if r["stays"] else come)[r["to"]] += r["n"]
-        quota = [min(1.0, max(0, c - s) / n) if n else 1.0 for c, s, n in zip(room, stay, come, strict=True)]
+        if turn >= rounds and not any(come):
+            return linked.drop("moved")
+        if turn < rounds:
+            quota = [min(1.0, max(0, c - s) / n) if n else 1.0 for c, s, n in zip(room, stay, come, strict=True)]
+        else:  # half the share where not all fit, since it holds on average only; the rest ask again
+            quota = [1.0 if n <= max(0, f) else max(0, f) / n / 2 for f, n in zip(left, come, strict=True)]
         roomy = [q >= 1 for q in quota]
         # rows of a group are let in together: the draw is the group's, or the row's if the group is larger than a shard
-        draw = F.pmod(F.when(F.col("total") > most, F.xxhash64("uid", F.lit(9))).otherwise(F.xxhash64("group", F.lit(9))), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        linked = asked.withColumn("shard", F.when(draw < at(quota, F.col("to")), F.col("to")).otherwise(F.col("shard"))).drop("to")
-    return linked
+        draw = F.pmod(F.when(F.col("total") > most, F.xxhash64("uid", F.lit(9 + turn))).otherwise(F.xxhash64("group", F.lit(turn), F.lit(9))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        enters = (F.col("to") != F.col("shard")) & (draw < at(quota, F.col("to")))
+        linked = asked.select("uid", "group", "total", F.when(enters, F.col("to")).otherwise(F.col("shard")).alias("shard"), enters.cast("int").alias("moved"))
+        turn += 1
 
 
 def assign(df: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

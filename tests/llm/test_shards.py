@@ -35,6 +35,20 @@ def test_law_and_groups(spark, hot, monkeypatch):
         assert len({r.shard for r in out if r.doc_id is not None and r.doc_id >= 2000}) <= 5
 
 
+def test_refused_groups_find_another_shard(spark):
+    rows = [(k, "hot") for k in range(1000)] + [(1000 + k, f"pair {k % 800}") for k in range(1600)] + [(3000 + k, f"alone {k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = shards.assign(df, 20).collect()
+    check(rows, out, 20)
+    groups = defaultdict(set)
+    for r in out:
+        if 1000 <= r.doc_id < 2600:
+            groups[(r.doc_id - 1000) % 800].add(r.shard)
+    split = sum(len(v) > 1 for v in groups.values())
+    print("split pairs", split)
+    assert split <= 8
+
+
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, "same")] * 100, "doc_id long, text string")
     check([(1, "same")] * 100, shards.assign(df, 40).collect(), 40)
