@@ -1,21 +1,24 @@
 """Suffix-array deduplication: bytes covered by a long string that also starts in an earlier document are removed.
 
-1. Anchors. The 50-byte string at each place has an anchor: of its 16-byte grams the one of least hash (leftmost of
+0. Equal texts. Each distinct text is worked on once, for the least id that has it; a copy under a greater id loses all its
+   bytes (if it has 50), and rows of one id and text share the result.
+1. Anchors. The 50-byte string at each place has an anchor: of its grams of 16 to 32 bytes the one of least hash (leftmost of
    equals). The anchor depends on the string alone, so equal strings have equal anchors at equal offsets, and
    neighbouring strings with the same anchor form one segment (their starts, and 49 bytes more).
-2. Filter. Anchors that occur in one document only can't take part in a repeat. Each task sends an anchor once to the
-   bucket of its hash; what it has itself seen in two documents needs no answer. Buckets answer with the rest that
-   is shared.
+2. Filter. Anchors that occur in one text only can't take part in a repeat. Each task sends an anchor once to the
+   bucket of its hash; what it has itself seen in two texts needs no answer. Buckets answer with the rest that
+   is shared, and count the texts of every anchor: one of more than HOT_TEXTS texts would fill a bucket, whatever
+   their number. Strings of such anchors take themselves as anchors and go through the filter once more.
 3. Suffix array. The distinct segments of shared anchors go to the bucket of their anchor, each with the least
    document that has it. In a bucket the suffixes are put in order by the difference-cover algorithm modulo 3: sampled
    triples are sorted and named, the names are sorted by recursion, the other suffixes are merged in. Adjacent suffixes
    whose first 50 bytes are equal belong together; the least document of such a run decides for all its members.
-4. The starts found go back to their documents, which drop the bytes that they cover.
+4. The starts found go back to their texts, which drop the bytes that they cover.
 
-The text is shuffled once; the three passes over it read the same exchange. A bucket holds at most one entry for each task and
-anchor (or segment), whatever the number of copies. An anchor that very many documents have with ever different
-neighbours would still fill a bucket: such anchors, found on a bounded sample, are spread by their whole
-strings from the filter on. The sample decides where strings meet, never what is found.
+The text is shuffled once; the passes over it read the same exchange. A bucket holds at most one entry for each task and
+anchor (or segment), whatever the number of copies, and at most HOT_TEXTS different segments of an anchor. Which anchors have
+more is told by a bit for each hash, in a set of bounded size: two anchors may share a bit, which only sends the other
+one's strings the longer way.
 """
 
 from __future__ import annotations
@@ -26,39 +29,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintscan.llm.common import release, ship
+from glintscan.llm.common import checkpoint, release, ship
 
-LENGTH, GRAM = 50, 16
-SIDE = (LENGTH - GRAM) // 2
-#: In place of its anchor: a string of a common anchor, which meets none but its equals.
+LENGTH = 50
+#: In place of its anchor: a string of a hot anchor, which meets none but its equals.
 ALONE = 255
 NO_ID = np.int64(2**63 - 1)
-#: Anchors in at least this share of SAMPLE documents are spread by their strings.
-SAMPLE, COMMON = 2000, 0.01
+#: Texts that an anchor may have before its strings go alone.
+HOT_TEXTS = 8192
+#: Bits that tell hot anchors, of each bucket and in all (32 MB).
+HOT_BITS = (1 << 16, 1 << 28)
 CHUNK = 1 << 21
 #: Bytes of segments that one suffix array covers at most, but for a single anchor's.
 PORTION = 1 << 19
-#: A bucket is worked off in so many parts, which bounds memory; its answers go out together, a row for each document.
-PARTS = 12
+#: Bytes of text whose anchors a task of the first pass holds at a time.
+FLUSH = 48 << 20
+#: A bucket is worked off in so many parts, which bounds memory; its answers go out together, a row for each text.
+PARTS = 6
 #: A bucket serves so much text in the first and in the second pass: what it holds is bounded whatever the size of all.
-BUCKET_BYTES = (200 << 20, 100 << 20)
+BUCKET_BYTES = (100 << 20, 50 << 20)
+#: Rows of a text beyond which its copies are answered where they are read: at least so many, and at least such a share of all.
+MANY, SHARE = 1000, 10_000
 U = np.uint64
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Of the 16 bytes from each place on."""
+def gram_size(size: int) -> int:
+    """Bytes of a gram for so many bytes of text: longer in larger corpora, where short ones are shared by chance."""
+    return 16 if size < 1 << 33 else 24 if size < 1 << 41 else 32
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Of the `gram` bytes (a multiple of 8) from each place on: runs of 1, 2, 4, 8 bytes, then eights in a row."""
     h = (data.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)
-    for step, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9), (4, 0x27D4EB2F165667C5), (8, 0x9FB21C651E98DF25)):
+    for step, odd in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9), (4, 0x27D4EB2F165667C5)):
         if len(h) <= step:
             return np.zeros(0, U)
         h = h[:-step] * U(odd) + (h[step:] ^ (h[step:] >> U(31)))
+    eight = h ^ (h >> U(31))
+    for step in range(8, gram, 8):
+        if len(eight) <= step:
+            return np.zeros(0, U)
+        h = h[: len(eight) - step] * U(0x9FB21C651E98DF25) + eight[step:]
     return (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
 
 
-def segments(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int = LENGTH):
+def segments(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gram: int, length: int = LENGTH):
     """(document, first start, last start, anchor, key) of every segment; at most CHUNK * 2 bytes or one document at a time."""
-    h = gram_hashes(data)
-    windows = length - GRAM + 1
+    h = gram_hashes(data, gram)
+    windows = length - gram + 1
     if len(h) < windows:
         return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, U)]
     bits = max(1, int(len(h)).bit_length())
@@ -202,15 +220,21 @@ def packed(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
 
 
-BLOBS = "abcdefg"
-SENT = [("bucket", pa.int32()), ("part", pa.int32()), ("uid", pa.int64()), *[(c, pa.binary()) for c in BLOBS]]
-SENT_DDL = "bucket int, part int, uid long, " + ", ".join(f"{c} binary" for c in BLOBS)
+BLOBS = "abcdefgh"
+SENT = [("bucket", pa.int32()), ("part", pa.int32()), ("uid", pa.binary()), *[(c, pa.binary()) for c in BLOBS]]
+SENT_DDL = "bucket int, part int, uid binary, " + ", ".join(f"{c} binary" for c in BLOBS)
 CODEC = pa.Codec("zstd", compression_level=3)
-BACK = [("uid", pa.int64()), ("got", pa.binary())]
-BACK_DDL = "uid long, got binary"
+#: Answers: for a text (uid) what was got, or (uid null) the bits of the hot anchors of a part of a bucket.
+BACK = [("uid", pa.binary()), ("got", pa.binary()), ("slot", pa.int32())]
+BACK_DDL = "uid binary, got binary, slot int"
+
+
+def uid_array(uids) -> np.ndarray:
+    """Keys of 16 bytes as pairs of numbers."""
+    return np.frombuffer(b"".join(uids), np.int64).reshape(-1, 2)
 
 
-def sent(bucket: int, uid: int | None, *blobs: bytes | np.ndarray) -> pa.RecordBatch:
+def sent(bucket: int, uid: bytes | None, *blobs: bytes | np.ndarray) -> pa.RecordBatch:
     values = [b if isinstance(b, bytes) else np.ascontiguousarray(b).tobytes() for b in blobs]
     return packed([(bucket // PARTS, bucket % PARTS, uid, *values, *[None] * (len(BLOBS) - len(values)))], SENT)
 
@@ -225,15 +249,15 @@ def expand(blob: bytes) -> bytes:
     return CODEC.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
-def by_uid(uid: np.ndarray, values: np.ndarray) -> list[tuple[int, bytes]]:
+def by_uid(uid: np.ndarray, values: np.ndarray) -> list[tuple[bytes, bytes]]:
     """(uid, its rows of int32 values) for answers."""
     if not len(uid):
         return []
-    order = np.argsort(uid, kind="stable")
+    order = np.lexsort((uid[:, 1], uid[:, 0]))
     uid, values = uid[order], np.ascontiguousarray(values[order].astype(np.int32))
-    cut = np.flatnonzero(np.concatenate([[True], uid[1:] != uid[:-1]]))
+    cut = np.flatnonzero(np.concatenate([[True], (uid[1:] != uid[:-1]).any(axis=1)]))
     ends = np.append(cut[1:], len(uid))
-    return [(u, values[a:b].tobytes()) for u, a, b in zip(uid[cut].tolist(), cut.tolist(), ends.tolist(), strict=True)]
+    return [(u.tobytes(), values[a:b].tobytes()) for u, a, b in zip(uid[cut], cut.tolist(), ends.tolist(), strict=True)]
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -265,69 +289,110 @@ def piece_hashes(data: np.ndarray, low: np.ndarray, stop: np.ndarray, words: int
     return out
 
 
-def spread_common(data: np.ndarray, doc, low, high, key, common: np.ndarray, anchor):
-    """Segments, with those of common anchors parted into their strings: one for each start, with the string's hash as key."""
-    hot = np.isin(key, common) if len(common) else np.zeros(len(key), bool)
-    if not hot.any():
-        return doc, low, high, key, anchor
-    n = np.where(hot, high - low + 1, 1)
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    doc, key, hot, high, low, anchor = (np.repeat(x, n) for x in (doc, key, hot, high, low, anchor))
-    low = low + step
-    high = np.where(hot, low, high)
-    anchor = np.where(hot, low + ALONE, anchor)
-    key = key.copy()
-    key[hot] = piece_hashes(data, low[hot], low[hot] + LENGTH, 1)[0]
-    return doc, low, high, key, anchor
+class HotAnchors:
+    """Which anchors have too many texts: bits by the part of a bucket that counted them and by the rest of the hash."""
 
+    def __init__(self, parts: int):
+        self.parts, self.each = parts, max(8, min(HOT_BITS[0], HOT_BITS[1] // parts) // 8 * 8)
+        self.bits: np.ndarray | None = None
 
-def first_pass(buckets: int, at: dict[str, int], common: np.ndarray):
-    """What a task knows of its anchors: rows for the buckets, and (uid set) the shared ones it has found itself."""
+    def place(self, low: np.ndarray) -> np.ndarray:
+        """Of 48 bits of a key, within its part."""
+        return ((low.astype(U) * U(0xA24BAED4963EE407)) >> U(20)).astype(np.int64) % self.each
 
-    def run(batches):
-        uids, ids, keys, docs, places = [], [], [], [], []
-        n = 0
-        for batch in batches:
-            texts = [b or b"" for b in batch.column(at["text"]).to_pylist()]
-            uids.append(batch.column(at["uid"]).to_numpy(zero_copy_only=False))
-            ids.append(batch.column(at["id"]).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False))
-            for first, data, starts, sizes in chunks(texts):
-                doc, low, high, anchor, key = segments(data, starts, sizes)
-                doc, low, _, key, _ = spread_common(data, doc, low, high, key, common, anchor)
-                keys.append(key)
-                docs.append((doc + first + n).astype(np.int32))
-                places.append((low - starts[doc]).astype(np.int32))
-            n += len(texts)
-        if not n:
-            return
-        uid, did = np.concatenate(uids), np.concatenate(ids).astype(np.int64)
+    def marks(self, low: np.ndarray) -> bytes:
+        bits = np.zeros(self.each, bool)
+        bits[self.place(low)] = True
+        return squeeze(np.packbits(bits))
+
+    def add(self, part: int, marks: bytes) -> None:
+        if self.bits is None:
+            self.bits = np.zeros(self.parts * self.each // 8, np.uint8)
+        begin = part * self.each // 8
+        self.bits[begin : begin + self.each // 8] |= np.frombuffer(expand(marks), np.uint8)
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.zeros(len(key), bool)
+        at = bucket_of(key, self.parts) * self.each + self.place(key & U((1 << 48) - 1))
+        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def parted(data: np.ndarray, doc, low, high, anchor, key, hot: np.ndarray):
+    """The hot segments' strings: one segment for each start, with the string's hash as key."""
+    n = (high - low + 1)[hot]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    doc, low = np.repeat(doc[hot], n), np.repeat(low[hot], n) + step
+    return doc, low, low, low + ALONE, piece_hashes(data, low, low + LENGTH, 1)[0]
+
+
+def with_parted(data: np.ndarray, found, hot: HotAnchors):
+    """Segments, with those of hot anchors replaced by their strings, in document order."""
+    mask = hot.has(found[4])
+    if not mask.any():
+        return found
+    both = [np.concatenate([x[~mask], y]) for x, y in zip(found, parted(data, *found, mask), strict=True)]
+    order = np.argsort(both[1], kind="stable")
+    return [x[order] for x in both]
+
+
+def first_pass(buckets: int, gram: int, hot: HotAnchors | None = None):
+    """From rows (key, text): what each FLUSH bytes of a task's texts know of their anchors, as rows for the buckets and (uid set)
+    the shared ones found at once. With `hot`, of the strings of these anchors instead."""
+
+    def anchors(texts: list[bytes], uid: np.ndarray):
+        keys, docs, places = [], [], []
+        for first, data, starts, sizes in chunks(texts):
+            found = segments(data, starts, sizes, gram)
+            if hot is not None:
+                found = parted(data, *found, hot.has(found[4]))
+            doc, low, _, _, key = found
+            keys.append(key)
+            docs.append((doc + first).astype(np.int32))
+            places.append((low - starts[doc]).astype(np.int32))
         key, doc, place = (np.concatenate(x) for x in (keys, docs, places))
-        order = np.argsort(key, kind="stable")
-        k, d = key[order], did[doc[order]]
+        order = np.argsort(key, kind="stable")  # documents stay in order
+        k, d = key[order], doc[order]
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         many = np.zeros(len(k), bool)
-        known = np.zeros(0, U)
+        known, known_texts = np.zeros(0, U), np.zeros(0, np.uint32)
         if len(k):
-            several = np.maximum.reduceat(d, head) != np.minimum.reduceat(d, head)
+            fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]).astype(np.int64)
+            texts_of = np.add.reduceat(fresh, head)
+            several = texts_of > 1
             many = np.repeat(several, np.diff(np.append(head, len(k))))
-            known = k[head[several]]
+            known, known_texts = k[head[several]], texts_of[several].astype(np.uint32)
         shared = np.zeros(len(key), bool)
         shared[order[many]] = True
         for u, got in by_uid(uid[doc[shared]], place[shared][:, None]):
-            yield sent(int(u % buckets), u, got)
+            yield sent(int.from_bytes(u[:6], "little") % buckets, u, got)
         key, doc, place = key[~shared], doc[~shared], place[~shared]
         b, kb = bucket_of(key, buckets), bucket_of(known, buckets)
-        order = np.argsort(b, kind="stable")
-        edges = np.searchsorted(b[order], np.arange(buckets + 1))
+        order, by_known = np.argsort(b, kind="stable"), np.argsort(kb, kind="stable")
+        edges, known_edges = (np.searchsorted(x, np.arange(buckets + 1)) for x in (b[order], kb[by_known]))
         for i in range(buckets):
             mine = order[edges[i] : edges[i + 1]]  # still in document order
             runs = np.flatnonzero(np.concatenate([[True], np.diff(doc[mine]) != 0])) if len(mine) else np.zeros(0, np.int64)
             counts = np.diff(np.append(runs, len(mine))).astype(np.uint32)
-            own = known[kb == i]
+            own = by_known[known_edges[i] : known_edges[i + 1]]
             if len(mine) or len(own):
                 low, high = low_bits(key[mine])
-                yield sent(i, None, low, high, uid[doc[mine][runs]], squeeze(counts), squeeze(np.diff(place[mine], prepend=np.int32(0)).astype(np.int32)), *low_bits(own))
-        del uid, did, key, doc, place, order, k, d, uids, ids, keys, docs, places
+                yield sent(i, None, low, high, uid[doc[mine][runs]], squeeze(counts), squeeze(np.diff(place[mine], prepend=np.int32(0)).astype(np.int32)), *low_bits(known[own]), squeeze(known_texts[own]))
+
+    def run(batches):
+        held: dict[bytes, bytes] = {}  # copies within the task are taken once
+        size = 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key not in held:
+                    held[key] = text
+                    size += len(text)
+            if size > FLUSH:
+                yield from anchors(list(held.values()), uid_array(held))
+                held, size = {}, 0
+        if held:
+            yield from anchors(list(held.values()), uid_array(held))
+        del held
         release()
 
     return run
@@ -344,50 +409,64 @@ def from_bits(low: bytes, high: bytes) -> np.ndarray:
 
 
 def by_part(table: pa.Table):
-    """The rows of each part of a bucket (uid null), one row in memory at a time."""
+    """(part, its rows) of a bucket (uid null), one row in memory at a time."""
     part = table.column("part").to_numpy()
     own = table.column("uid").is_null().to_numpy()
     for k in range(PARTS):
         if (found := np.flatnonzero((part == k) & own)).size:
-            yield (table.slice(int(i), 1).to_pylist()[0] for i in found)
+            yield k, (table.slice(int(i), 1).to_pylist()[0] for i in found)
 
 
 def own_answers(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(uid, values) that tasks had found themselves."""
     rows = table.filter(table.column("uid").is_valid()).select(["uid", "a"])
     lists = rows.column("a").to_pylist()
-    return np.repeat(rows.column("uid").to_numpy(), [len(x) // (4 * width) for x in lists]), np.frombuffer(b"".join(lists), np.int32).reshape(-1, width)
-
-
-def first_answer(table: pa.Table) -> pa.Table:
-    """Of one bucket: the places of anchors that more than one task has sent or that a task knows to be shared."""
-    release()
-    found = [own_answers(table, 1)]
-    for rows in by_part(table):
-        keys, uids, places, tasks = [], [], [], []
-        for k, r in enumerate(rows):
-            counts = np.frombuffer(expand(r["d"]), np.uint32)
-            own, known = from_bits(r["a"], r["b"]), from_bits(r["f"], r["g"])
-            keys += [own, known]
-            uids += [np.repeat(np.frombuffer(r["c"], np.int64), counts), np.zeros(len(known), np.int64)]
-            places += [np.cumsum(np.frombuffer(expand(r["e"]), np.int32), dtype=np.int32), np.zeros(len(known), np.int32)]
-            tasks += [np.full(len(own), k, np.int32), np.full(len(known), -1, np.int32)]
-        # within one task an anchor sent belongs to one document; task -1 stands for the knowledge that it is shared
-        key, uid, place, task = (np.concatenate(x) for x in (keys, uids, places, tasks))
-        del keys, uids, places, tasks
-        order = np.argsort(key)
-        k, t = key[order], task[order]
-        head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        shared = (np.maximum.reduceat(t, head) != np.minimum.reduceat(t, head)) | (t[head] == -1)
-        hit = order[np.repeat(shared, np.diff(np.append(head, len(k)))) & (t >= 0)]
-        found.append((uid[hit], place[hit][:, None]))
-    uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
-    del found
-    release()
-    return pa.Table.from_batches([packed(by_uid(uid, values), BACK)])
-
-
-def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
+    return np.repeat(uid_array(rows.column("uid").to_pylist()), [len(x) // (4 * width) for x in lists], axis=0), np.frombuffer(b"".join(lists), np.int32).reshape(-1, width)
+
+
+def first_answer(hot: HotAnchors):
+    """Of one bucket: the places of anchors that more than one task has sent or that a task knows to be shared, and which
+    anchors are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        found = [own_answers(table, 1)]
+        marks = []
+        bucket = table.column("bucket")[0].as_py()
+        for part, rows in by_part(table):
+            keys, uids, places, senders, texts = [], [], [], [], []
+            for r in rows:
+                counts = np.frombuffer(expand(r["d"]), np.uint32)
+                own, known = from_bits(r["a"], r["b"]), from_bits(r["f"], r["g"])
+                keys += [own, known]
+                uids += [np.repeat(np.frombuffer(r["c"], np.int64).reshape(-1, 2), counts, axis=0), np.zeros((len(known), 2), np.int64)]
+                places += [np.cumsum(np.frombuffer(expand(r["e"]), np.int32), dtype=np.int32), np.zeros(len(known), np.int32)]
+                senders += [np.ones(len(own), bool), np.zeros(len(known), bool)]  # False: only known to be shared
+                texts += [np.ones(len(own), np.uint32), np.frombuffer(expand(r["h"]), np.uint32)]
+            # a text may have come from several tasks
+            key, uid, place, sender, texts_of = (np.concatenate(x) for x in (keys, uids, places, senders, texts))
+            del keys, uids, places, senders, texts
+            if not len(key):
+                continue
+            order = np.argsort(key)
+            k, own, u = key[order], sender[order], uid[order]
+            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            other = np.concatenate([[False], (u[1:] != u[:-1]).any(axis=1) & (k[1:] == k[:-1])])
+            shared = np.logical_or.reduceat(other | ~own, head)
+            hit = order[np.repeat(shared, np.diff(np.append(head, len(k)))) & own]
+            found.append((uid[hit], place[hit][:, None]))
+            full = np.add.reduceat(texts_of[order].astype(np.int64), head) > HOT_TEXTS
+            if full.any():
+                marks.append((None, hot.marks(k[head[full]]), bucket * PARTS + part))
+        uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        release()
+        return pa.Table.from_batches([packed([(u, got, None) for u, got in by_uid(uid, values)] + marks, BACK)])
+
+    return run
+
+
+def second_pass(buckets: int, at: dict[str, int], gram: int, hot: HotAnchors):
     """Distinct segments of shared anchors for the buckets; starts that the task itself finds covered (uid set).
 
     Copies within the task are told by 128-bit hashes; buckets compare the bytes.
@@ -399,12 +478,11 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
         cols: list[list[np.ndarray]] = [[] for _ in range(9)]
         for batch in batches:
             texts = [b or b"" for b in batch.column(at["text"]).to_pylist()]
-            uid = batch.column(at["uid"]).to_numpy(zero_copy_only=False)
-            did = batch.column(at["id"]).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
+            uid = uid_array(batch.column(at["key"]).to_pylist())
+            did = batch.column(at["id"]).to_numpy(zero_copy_only=False)
             got = batch.column(at["got"]).to_pylist()
             for first, data, starts, sizes in chunks(texts):
-                doc, low, high, anchor, key = segments(data, starts, sizes)
-                doc, low, high, key, anchor = spread_common(data, doc, low, high, key, common, anchor)
+                doc, low, high, anchor, key = with_parted(data, segments(data, starts, sizes, gram), hot)
                 lists = [b"".join(got[first + j] or []) for j in range(len(sizes))]
                 codes = np.frombuffer(b"".join(lists), np.int32) + np.repeat(starts, [len(x) // 4 for x in lists])
                 wanted = np.zeros(len(data) + 1, bool)
@@ -429,7 +507,7 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
         own = did[order] == least[group]
         late = order[~own]
         for u, got in by_uid(uid[late], np.stack([place[late], place[late] + n[late]], axis=1)):
-            yield sent(int(u % buckets), u, got)
+            yield sent(int.from_bytes(u[:6], "little") % buckets, u, got)
         kept, group = order[own], group[own]  # occurrences in the least document, segment by segment
         counts = np.bincount(group, minlength=len(lead))
         begin = np.cumsum(counts) - counts
@@ -452,17 +530,21 @@ def second_pass(buckets: int, at: dict[str, int], common: np.ndarray):
     return run
 
 
-def second_answer(table: pa.Table) -> pa.Table:
+def second_answer(gram: int):
     """Of one bucket: (uid, runs of starts that an earlier document has as well)."""
-    release()
-    found = [own_answers(table, 2)] + [covered(rows) for rows in by_part(table)]
-    uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
-    del found
-    release()
-    return pa.Table.from_batches([packed(by_uid(uid, values), BACK)])
 
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        found = [own_answers(table, 2)] + [covered(rows, gram) for _, rows in by_part(table)]
+        uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        release()
+        return pa.Table.from_batches([packed([(u, got, None) for u, got in by_uid(uid, values)], BACK)])
 
-def covered(rows) -> tuple[np.ndarray, np.ndarray]:
+    return run
+
+
+def covered(rows, gram: int) -> tuple[np.ndarray, np.ndarray]:
     merged: dict[bytes, int] = {}
     keys: list[int] = []
     least: list[int] = []
@@ -472,7 +554,7 @@ def covered(rows) -> tuple[np.ndarray, np.ndarray]:
         whole, lines = expand(r["a"]), np.frombuffer(expand(r["b"]), np.uint8).reshape(2, -1)
         size_of, anchor_of = lines.astype(np.int64)
         alone = anchor_of == ALONE
-        grams = gram_hashes(np.frombuffer(whole, np.uint8))
+        grams = gram_hashes(np.frombuffer(whole, np.uint8), gram)
         key = np.where(alone, np.arange(len(alone), dtype=U), grams[np.cumsum(size_of) - size_of + np.where(alone, 0, anchor_of)]).tolist()
         lines = lines.tolist()
         ids, counts = np.frombuffer(expand(r["c"]), np.int64).tolist(), np.frombuffer(expand(r["d"]), np.uint32)
@@ -488,7 +570,7 @@ def covered(rows) -> tuple[np.ndarray, np.ndarray]:
             elif i < least[m]:
                 least[m] = i
             numbers.append(m)
-        where.append((np.repeat(np.array(numbers, np.int64), counts), np.repeat(np.array(ids, np.int64), counts), np.frombuffer(r["e"], np.int64), np.frombuffer(expand(r["f"]), np.int32).astype(np.int64)))
+        where.append((np.repeat(np.array(numbers, np.int64), counts), np.repeat(np.array(ids, np.int64), counts), np.frombuffer(r["e"], np.int64).reshape(-1, 2), np.frombuffer(expand(r["f"]), np.int32).astype(np.int64)))
     pieces, low = list(merged), np.array(least, np.int64)
     starts = np.array([len(p) - LENGTH + 1 for p in pieces], np.int64)
     begin = np.cumsum(starts) - starts
@@ -499,7 +581,7 @@ def covered(rows) -> tuple[np.ndarray, np.ndarray]:
     same |= np.append(same[1:], False)
     same &= np.array(anchors)[order] != ALONE
     several = order[same]  # pieces that share their anchor with another piece
-    several = several[alike([pieces[m] for m in several.tolist()], [anchors[m] for m in several.tolist()])]
+    several = several[alike([pieces[m] for m in several.tolist()], [anchors[m] for m in several.tolist()], gram)]
     # anchor by anchor, in portions that bound the memory of one suffix array
     sizes = np.cumsum(np.array([len(pieces[m]) for m in several.tolist()], np.int64))
     fresh = np.concatenate([[True], key[several][1:] != key[several][:-1]]) if len(several) else np.zeros(0, bool)
@@ -534,17 +616,18 @@ def covered(rows) -> tuple[np.ndarray, np.ndarray]:
     return uid[o], np.stack([place[o] + at[open_], place[o] + at[close] + 1], axis=1).astype(np.int32)
 
 
-def alike(pieces: list[bytes], anchors: list[int]) -> np.ndarray:
+def alike(pieces: list[bytes], anchors: list[int], gram: int) -> np.ndarray:
     """Which pieces can have a string in common with another one of the same anchor.
 
-    A string that starts at most SIDE bytes before its anchor holds the LENGTH - SIDE bytes from the anchor on, any other the SIDE + 1
-    bytes before the anchor and its gram. A piece alone with both contexts is alone with all its strings.
+    A string that starts at most `side` bytes before its anchor holds the LENGTH - side bytes from the anchor on, any other the
+    side + 1 bytes before the anchor and its gram. A piece alone with both contexts is alone with all its strings.
     """
+    side = (LENGTH - gram) // 2
     seen: dict[bytes, int] = {}
     contexts = []
     for p, a in zip(pieces, anchors, strict=True):
-        right = p[a : a + LENGTH - SIDE] if a + LENGTH - SIDE <= len(p) else None
-        left = p[a - SIDE - 1 : a + GRAM] if a > SIDE else None
+        right = p[a : a + LENGTH - side] if a + LENGTH - side <= len(p) else None
+        left = p[a - side - 1 : a + gram] if a > side else None
         contexts.append((right, left))
         if right is not None:
             seen[right] = seen.get(right, 0) + 1
@@ -566,62 +649,74 @@ def cut(text: bytes, runs: np.ndarray, length: int = LENGTH) -> tuple[bytes, lis
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), spans
 
 
-def common_anchors(docs: DataFrame, n: int, sample: int = SAMPLE, share: float = COMMON) -> np.ndarray:
-    """Anchors in at least `share` of about `sample` of the n documents (drawn by their uid): a bounded hint for placing."""
-    texts = [bytes(r[0]) for r in docs.filter(F.pmod(F.col("uid"), F.lit(max(1, n // sample))) == 0).select("text_in").toLocalIterator()] if n else []
-    found = []
-    for _, data, starts, sizes in chunks(texts):
-        doc, _, _, _, key = segments(data, starts, sizes)
-        pair = np.unique(np.stack([doc.astype(U), key]), axis=1)
-        found.append(pair[1])
-    if not found:
-        return np.zeros(0, U)
-    keys, counts = np.unique(np.concatenate(found), return_counts=True)
-    return keys[counts >= max(20, share * len(texts))]
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
+ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def repeated_places(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Rows (uid, got) with runs of covered starts, several a text. `docs` are rows (key, text) as they lie, `texts` the distinct
+    ones (key, id, text), of so many bytes."""
+    gram = gram_size(size)
+    first, second = (PARTS * max(2, -(-size // b)) for b in BUCKET_BYTES)  # parts of buckets
+    hot = HotAnchors(first)
+    shared = checkpoint(docs.mapInArrow(first_pass(first, gram), SENT_DDL).groupBy("bucket").applyInArrow(first_answer(hot), BACK_DDL))
+    for r in shared.filter(F.col("uid").isNull()).select("slot", "got").toLocalIterator():  # HOT_BITS[1] bits at most
+        hot.add(r["slot"], bytes(r["got"]))
+    shared = shared.filter(F.col("uid").isNotNull())
+    if hot.bits is not None:
+        alone = docs.mapInArrow(first_pass(first, gram, hot), SENT_DDL).groupBy("bucket").applyInArrow(first_answer(HotAnchors(first)), BACK_DDL)
+        shared = shared.unionByName(alone.filter(F.col("uid").isNotNull()))
+    shared = shared.groupBy("uid").agg(F.collect_list("got").alias("got"))
+    asked = texts.join(shared, F.col("key") == F.col("uid")).select("key", "id", "text", "got")
+    return asked.mapInArrow(second_pass(second, {"key": 0, "id": 1, "text": 2, "got": 3}, gram, hot), SENT_DDL).groupBy("bucket").applyInArrow(second_answer(gram), BACK_DDL).select("uid", "got")
 
 
-def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", spread: np.ndarray | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Appends `kept binary`, `n_bytes long`, `n_removed long` and `spans array<struct<start int, stop int>>` to every row.
 
     A byte is removed if a string of 50 bytes that covers it also starts in a row with a smaller id. The text is taken
-    as UTF-8 bytes, so a cut may fall inside a character; null counts as empty. A null id is greater than all others and
-    equal to itself. Rows of one id, repeated rows among them, never remove each other's bytes. Result columns replace
-    input columns of the same name; an empty table stays empty.
+    as UTF-8 bytes, so a cut may fall inside a character; null counts as empty. A null id counts as the greatest 64-bit
+    number. Rows of one id, repeated rows among them, never remove each other's bytes. Result columns replace
+    input columns of the same name; an empty table stays empty. Texts are equal if their MD5 is.
     """
     spark = df.sparkSession
     ship(spark)
     result = ["kept", "n_bytes", "n_removed", "spans"]
     keep = [c for c in df.columns if c.lower() not in result]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    uid_name = "found_uid"  # other columns of df are renamed below
     raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
-    number = F.col(f"`{id_col}`").cast("long")
+    number = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(int(NO_ID)))
     own = [F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(keep) if c != text_col]
-    docs = df.select(F.xxhash64(number, raw).alias("uid"), number.alias("id"), raw.alias("text_in"), F.col(f"`{text_col}`").isNull().alias("no_text"), *own)
-    size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text_in")), F.lit(0)).alias("bytes")).collect()[0]
-    if spread is None:
-        spread = common_anchors(docs.select("uid", "text_in"), size["n"])
-    docs = docs.repartition(parts, "uid")
-    at = {"uid": 0, "id": 1, "text": 2}
-    first, second = (PARTS * max(2, -(-size["bytes"] // b)) for b in BUCKET_BYTES)  # parts of buckets
-    shared = docs.mapInArrow(first_pass(first, at, spread), SENT_DDL).groupBy("bucket").applyInArrow(first_answer, BACK_DDL)
-    shared = shared.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
-    asked = docs.join(shared, F.col("uid") == F.col(uid_name))
-    width = len(docs.columns)
-    found = asked.mapInArrow(second_pass(second, at | {"got": width + 1}, spread), SENT_DDL).groupBy("bucket").applyInArrow(second_answer, BACK_DDL)
-    found = found.groupBy("uid").agg(F.collect_list("got").alias("got")).withColumnRenamed("uid", uid_name)
-    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-    fields = [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
-    order = [4 + [c for c in keep if c != text_col].index(c) if c != text_col else None for c in keep]
-    schema = T.StructType([df.schema[c] if c != text_col else T.StructField(c, T.StringType(), True) for c in keep] + fields)
+    base = df.select(F.unhex(F.md5(raw)).alias("key"), number.alias("id"), raw.alias("text"), F.col(f"`{text_col}`").isNull().alias("no_text"), *own)
+
+    copies = checkpoint(base.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max(F.octet_length("text")).cast("long").alias("size")))
+    size = copies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).collect()[0]
+    many = copies.filter(F.col("n") > max(MANY, size["rows"] // SHARE)).select(F.col("key").alias("many_key"), F.col("least").alias("many_least"))  # fewer than SHARE rows
+    base = base.join(F.broadcast(many), F.col("key") == F.col("many_key"), "left")
+    far = F.col("many_least").isNotNull() & (F.col("id") != F.col("many_least"))  # answered without a shuffle
+
+    docs = base.filter(~far)
+    texts = docs.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    found = repeated_places(docs.select("key", "text"), texts, size["bytes"]).groupBy("uid").agg(F.collect_list("got").alias("got"))
+    columns = ["id", "no_text", *[f"own_{i}" for i, c in enumerate(keep) if c != text_col]]
+    rows = docs.select(F.col("key").alias("row_key"), *columns)
+    near = texts.select("key", F.col("id").alias("least"), "text").join(found, F.col("key") == F.col("uid"), "left").join(rows, F.col("key") == F.col("row_key"))
+    near = near.select("text", "got", "least", *columns)
+    copied = base.filter(far).select("text", F.lit(None).cast("array<binary>").alias("got"), F.col("many_least").alias("least"), *columns)
+    places = [columns.index(f"own_{i}") + 3 if c != text_col else None for i, c in enumerate(keep)]
+    schema = T.StructType([df.schema[c] if c != text_col else T.StructField(c, T.StringType(), True) for c in keep] + [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPAN)])
 
     def finish(batches):
         for batch in batches:
-            texts, got = [b or b"" for b in batch.column(2).to_pylist()], batch.column(width + 1).to_pylist()
-            made = [cut(t, np.frombuffer(b"".join(g or []), np.int32).reshape(-1, 2).astype(np.int64)) for t, g in zip(texts, got, strict=True)]
-            columns = [pa.array([k for k, _ in made], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(texts, made, strict=True)], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for _, s in made], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
-            text = pa.array([None if no else t.decode("utf-8", "replace") for t, no in zip(texts, batch.column(3).to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([text if i is None else batch.column(i) for i in order] + columns, names=[*keep, *result])
+            texts, got = [b or b"" for b in batch.column(0).to_pylist()], batch.column(1).to_pylist()
+            made = []
+            for t, g, least, i in zip(texts, got, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if i == least:
+                    made.append(cut(t, np.frombuffer(b"".join(g or []), np.int32).reshape(-1, 2).astype(np.int64)))
+                else:
+                    made.append((b"", [(0, len(t))]) if len(t) >= LENGTH else (t, []))
+            columns = [pa.array([k for k, _ in made], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(texts, made, strict=True)], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for _, s in made], ARROW_SPAN)]
+            text = pa.array([None if no else t.decode("utf-8", "replace") for t, no in zip(texts, batch.column(4).to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([text if i is None else batch.column(i) for i in places] + columns, names=[*keep, *result])
         release()
 
-    return docs.join(found, F.col("uid") == F.col(uid_name), "left").mapInArrow(finish, schema)
+    return near.unionByName(copied).mapInArrow(finish, schema)

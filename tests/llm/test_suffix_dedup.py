@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from glintscan.llm import queries
 from glintscan.llm import suffix_dedup as S
 
 SF = "/root/testdata/sf0.001"
@@ -46,15 +47,45 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("spread", ["none", "all"])
-def test_against_brute_force(spark, seed, spread):
+@pytest.mark.parametrize("way", ["plain", "hot", "small"])
+def test_against_brute_force(spark, monkeypatch, seed, way):
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "u") for i, t in rows], "doc_id long, text string, uid string").repartition(3)
-    hint = np.zeros(0, np.uint64)
-    if spread == "all":
-        data = [(t or "").encode() for _, t in rows]
-        hint = np.unique(np.concatenate([S.segments(d, s, z)[4] for _, d, s, z in S.chunks(data)]))[::2]
-    assert found(df, spread=hint) == brute(rows)
+    if way == "hot":  # anchors of more than four texts go string by string
+        monkeypatch.setattr(S, "HOT_TEXTS", 4)
+    if way == "small":  # longer grams, several flushes of a task, many copies answered where they are read
+        monkeypatch.setattr(S, "gram_size", lambda size: 24 + 8 * (seed % 2))
+        monkeypatch.setattr(S, "FLUSH", 300)
+        monkeypatch.setattr(S, "MANY", 1)
+    assert found(df) == brute(rows)
+
+
+def test_many_repeated_rows(spark):
+    text = "one sentence of more than fifty bytes that is here again and again. " * 20
+    df = spark.range(20_000).selectExpr("2L AS doc_id", f"'{text}' AS text").union(spark.createDataFrame([(1, text), (3, "new " + text)], "doc_id long, text string"))
+    got = {(r.doc_id, r.n_removed, r.n_spans): r.n for r in S.remove_repeats(df).selectExpr("doc_id", "n_removed", "size(spans) AS n_spans").groupBy("doc_id", "n_removed", "n_spans").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert got == {(1, 0, 0): 1, (2, len(text), 1): 20_000, (3, len(text) + 1, 1): 1}  # the blank before is in the first as well
+
+
+def test_query(spark):
+    import hashlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted((i, n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, _, kept, n, gone, spans in brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]))
+    assert sorted(map(tuple, queries.op4_suffix_dedup(spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == want
+
+
+def test_hot_anchors_are_told_by_bits():
+    rng = np.random.default_rng(9)
+    keys = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    hot = S.HotAnchors(24)
+    assert not hot.has(keys).any()
+    part = S.bucket_of(keys[:50], 24)
+    for p in range(24):
+        if (part == p).any():
+            low, high = S.low_bits(keys[:50][part == p])
+            hot.add(p, hot.marks(S.from_bits(low.tobytes(), high.tobytes())))
+    assert hot.has(keys[:50]).all() and hot.has(keys[50:]).mean() < 0.01
 
 
 def test_documents(spark):
