@@ -44,10 +44,11 @@ CHUNK = 1 << 21
 PORTION = 1 << 19
 #: Bytes of text whose anchors a task of the first pass holds at a time.
 FLUSH = 48 << 20
-#: A bucket is worked off in so many parts, which bounds memory; its answers go out together, a row for each text.
-PARTS = 6
+#: A bucket is worked off in so many parts in the first and in the second pass, which bounds memory; its answers go out together, a row
+#: for each text.
+PARTS = (12, 6)
 #: A bucket serves so much text in the first and in the second pass: what it holds is bounded whatever the size of all.
-BUCKET_BYTES = (100 << 20, 50 << 20)
+BUCKET_BYTES = (200 << 20, 50 << 20)
 #: Rows of a text beyond which its copies are answered where they are read: at least so many, and at least such a share of all.
 MANY, SHARE = 1000, 10_000
 U = np.uint64
@@ -234,9 +235,9 @@ def uid_array(uids) -> np.ndarray:
     return np.frombuffer(b"".join(uids), np.int64).reshape(-1, 2)
 
 
-def sent(bucket: int, uid: bytes | None, *blobs: bytes | np.ndarray) -> pa.RecordBatch:
+def sent(bucket: int, parts: int, uid: bytes | None, *blobs: bytes | np.ndarray) -> pa.RecordBatch:
     values = [b if isinstance(b, bytes) else np.ascontiguousarray(b).tobytes() for b in blobs]
-    return packed([(bucket // PARTS, bucket % PARTS, uid, *values, *[None] * (len(BLOBS) - len(values)))], SENT)
+    return packed([(bucket // parts, bucket % parts, uid, *values, *[None] * (len(BLOBS) - len(values)))], SENT)
 
 
 def squeeze(data: bytes | np.ndarray) -> bytes:
@@ -365,7 +366,7 @@ def first_pass(buckets: int, gram: int, hot: HotAnchors | None = None):
         shared = np.zeros(len(key), bool)
         shared[order[many]] = True
         for u, got in by_uid(uid[doc[shared]], place[shared][:, None]):
-            yield sent(int.from_bytes(u[:6], "little") % buckets, u, got)
+            yield sent(int.from_bytes(u[:6], "little") % buckets, PARTS[0], u, got)
         key, doc, place = key[~shared], doc[~shared], place[~shared]
         b, kb = bucket_of(key, buckets), bucket_of(known, buckets)
         order, by_known = np.argsort(b, kind="stable"), np.argsort(kb, kind="stable")
@@ -377,7 +378,7 @@ def first_pass(buckets: int, gram: int, hot: HotAnchors | None = None):
             own = by_known[known_edges[i] : known_edges[i + 1]]
             if len(mine) or len(own):
                 low, high = low_bits(key[mine])
-                yield sent(i, None, low, high, uid[doc[mine][runs]], squeeze(counts), squeeze(np.diff(place[mine], prepend=np.int32(0)).astype(np.int32)), *low_bits(known[own]), squeeze(known_texts[own]))
+                yield sent(i, PARTS[0], None, low, high, uid[doc[mine][runs]], squeeze(counts), squeeze(np.diff(place[mine], prepend=np.int32(0)).astype(np.int32)), *low_bits(known[own]), squeeze(known_texts[own]))
 
     def run(batches):
         held: dict[bytes, bytes] = {}  # copies within the task are taken once
@@ -412,7 +413,7 @@ def by_part(table: pa.Table):
     """(part, its rows) of a bucket (uid null), one row in memory at a time."""
     part = table.column("part").to_numpy()
     own = table.column("uid").is_null().to_numpy()
-    for k in range(PARTS):
+    for k in range(max(PARTS)):
         if (found := np.flatnonzero((part == k) & own)).size:
             yield k, (table.slice(int(i), 1).to_pylist()[0] for i in found)
 
@@ -457,7 +458,7 @@ def first_answer(hot: HotAnchors):
             found.append((uid[hit], place[hit][:, None]))
             full = np.add.reduceat(texts_of[order].astype(np.int64), head) > HOT_TEXTS
             if full.any():
-                marks.append((None, hot.marks(k[head[full]]), bucket * PARTS + part))
+                marks.append((None, hot.marks(k[head[full]]), bucket * PARTS[0] + part))
         uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
         del found
         release()
@@ -507,7 +508,7 @@ def second_pass(buckets: int, at: dict[str, int], gram: int, hot: HotAnchors):
         own = did[order] == least[group]
         late = order[~own]
         for u, got in by_uid(uid[late], np.stack([place[late], place[late] + n[late]], axis=1)):
-            yield sent(int.from_bytes(u[:6], "little") % buckets, u, got)
+            yield sent(int.from_bytes(u[:6], "little") % buckets, PARTS[1], u, got)
         kept, group = order[own], group[own]  # occurrences in the least document, segment by segment
         counts = np.bincount(group, minlength=len(lead))
         begin = np.cumsum(counts) - counts
@@ -523,7 +524,7 @@ def second_pass(buckets: int, at: dict[str, int], gram: int, hot: HotAnchors):
             pieces, mine = [pieces[j] for j in alike], mine[alike]
             c = counts[mine]
             places = kept[np.repeat(begin[mine] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
-            yield sent(i, None, squeeze(b"".join(pieces)), squeeze(np.stack([n[lead[mine]] + LENGTH - 1, anchor[lead[mine]]]).astype(np.uint8)), squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
+            yield sent(i, PARTS[1], None, squeeze(b"".join(pieces)), squeeze(np.stack([n[lead[mine]] + LENGTH - 1, anchor[lead[mine]]]).astype(np.uint8)), squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
         del whole, h0, h1, did, uid, place, n, where, key, anchor, order, group, kept
         release()
 
@@ -657,7 +658,7 @@ def repeated_places(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Rows (uid, got) with runs of covered starts, several a text. `docs` are rows (key, text) as they lie, `texts` the distinct
     ones (key, id, text), of so many bytes."""
     gram = gram_size(size)
-    first, second = (PARTS * max(2, -(-size // b)) for b in BUCKET_BYTES)  # parts of buckets
+    first, second = (n * max(2, -(-size // b)) for n, b in zip(PARTS, BUCKET_BYTES, strict=True))  # parts of buckets
     hot = HotAnchors(first)
     shared = checkpoint(docs.mapInArrow(first_pass(first, gram), SENT_DDL).groupBy("bucket").applyInArrow(first_answer(hot), BACK_DDL))
     for r in shared.filter(F.col("uid").isNull()).select("slot", "got").toLocalIterator():  # HOT_BITS[1] bits at most
