@@ -6,6 +6,7 @@ import ctypes
 import gc
 import io
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -103,7 +104,7 @@ class Grown:
         self.n = need
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about SLICE_BYTES of the given string or binary column (one row at least)."""
     if batch.num_rows == 0:
         return
@@ -158,14 +159,27 @@ def sums_by_row(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the session's shared folder.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset (as in tests) one under /tmp is set.
+    The folder is that of `shared_folder`.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/glintscan")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a session in one process (as in tests) gets a folder of its own; on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints", "glintscan")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or a longer one that no column of df has."""
     taken = {c.lower() for c in df.columns}

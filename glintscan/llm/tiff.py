@@ -16,25 +16,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintscan.llm.common import ship, slices
+from glintscan.llm.common import free_name, ship, slices
 
 # Fixed values of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+FILL_ORDER, SAMPLE_FORMAT = 266, 339
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_FORMAT = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 LINE = 64
+#: Bytes of samples that the pages of one file may have in all: they travel as binary values, which can't hold 2 GB.
+MOST = 1 << 30
+#: Bytes of samples that go out in one batch (one page at least).
+OUT = 32 << 20
 
 
 class BadFile(ValueError):
     pass
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = MOST) -> bytes:
+    """At least `most` bytes, if the data has as many."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         i += 1
         if n < 128:
@@ -63,9 +69,10 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, that widen one code early."""
+def lzw_decode(data: bytes, most: int = MOST) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, that widen one code early; at least `most` bytes, if there are as many."""
     out: list[bytes] = []
+    size = 0
     table: list[bytes] = []
     last, width, have, bits = b"", 9, 0, 0
     for byte in data:
@@ -90,7 +97,10 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise BadFile("LZW code out of range")
         out.append(entry)
-        if last:
+        size += len(entry)
+        if size >= most:
+            break
+        if last and len(table) < 4096:
             table.append(last + entry[:1])
         last = entry
         width = min(12, max(9, (len(table) + 1).bit_length()))
@@ -136,7 +146,12 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {RAW: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+def inflate(data: bytes, most: int = MOST) -> bytes:
+    """At most `most` bytes of deflated data, so that a few bytes can't claim a whole machine."""
+    return zlib.decompressobj().decompress(data, most) if most else b""
+
+
+DECODERS = {RAW: lambda data, most: data[:most], PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate}
 ENCODERS = {RAW: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1)}
 
 
@@ -209,34 +224,59 @@ def directories(data: bytes) -> tuple[str, list[dict[int, list[int]]]]:
     return order, found
 
 
-def decode_page(data: bytes, order: str, tags: dict[int, list[int]]) -> np.ndarray:
-    """The samples of one page, (rows, columns, samples)."""
-    rows, columns = tags[HEIGHT][0], tags[WIDTH][0]
-    samples = tags.get(SAMPLES, [1])[0]
+def one(tags: dict[int, list[int]], tag: int, default: int | None = None) -> int:
+    """The single value of a tag."""
+    values = tags.get(tag) or ([] if default is None else [default])
+    if not values:
+        raise BadFile(f"tag {tag} is missing")
+    return values[0]
+
+
+def decode_page(data: bytes, order: str, tags: dict[int, list[int]], most: int = MOST) -> np.ndarray:
+    """The samples of one page, (rows, columns, samples), of at most `most` bytes. Memory is only taken for data that is there."""
+    rows, columns, samples = one(tags, HEIGHT), one(tags, WIDTH), one(tags, SAMPLES, 1)
     bits = tags.get(BITS, [1])
     if set(bits) not in ({8}, {16}):
-        raise BadFile(f"{bits} bits a sample are not handled")
+        raise BadFile(f"{bits[:4]} bits a sample are not handled")
     kind = np.dtype("u1" if bits[0] == 8 else order + "u2")
-    method = tags.get(COMPRESSION, [RAW])[0]
+    method, predictor, planes = one(tags, COMPRESSION, RAW), one(tags, PREDICTOR, 1), one(tags, PLANAR, 1)
     if method not in DECODERS:
         raise BadFile(f"compression {method} is not handled")
-    planar = samples if tags.get(PLANAR, [1])[0] == 2 else 1
-    deep = samples // planar
+    if predictor not in (1, 2):
+        raise BadFile(f"predictor {predictor} is not handled")
+    if one(tags, FILL_ORDER, 1) != 1:
+        raise BadFile("bits in reverse order are not handled")
+    if set(tags.get(SAMPLE_FORMAT, [1])) - {1, 4}:
+        raise BadFile("samples that are not unsigned numbers are not handled")
     tiled = TILE_OFFSETS in tags
-    wide = tags[TILE_WIDTH][0] if tiled else columns
-    high = tags[TILE_HEIGHT][0] if tiled else min(rows, tags.get(ROWS_PER_STRIP, [rows])[0])
-    offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_COUNTS])
+    wide = one(tags, TILE_WIDTH) if tiled else columns
+    high = one(tags, TILE_HEIGHT) if tiled else min(rows, one(tags, ROWS_PER_STRIP, rows))
+    if min(rows, columns, samples, wide, high) < 1 or planes not in (1, 2):
+        raise BadFile("a size of a page is less than 1")
+    if rows * columns * samples * kind.itemsize > most or wide * high * samples * kind.itemsize > most:
+        raise BadFile("the page is larger than is handled")
+    planar = samples if planes == 2 else 1
+    deep = samples // planar
+    offsets, counts = (tags.get(t, []) for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
     across, down = -(-columns // wide), -(-rows // high)
-    if len(offsets) != across * down * planar:
+    if len(offsets) != across * down * planar or len(counts) != len(offsets):
         raise BadFile("wrong number of strips or tiles")
-    page = np.zeros((rows, columns, samples), kind.newbyteorder("="))
+    blocks = []
     for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
+        top = k % (across * down) // across * high
+        tall = high if tiled else min(high, rows - top)
+        need = tall * wide * deep * kind.itemsize
+        raw = DECODERS[method](data[at : at + size], need)
+        if len(raw) < need:
+            raise BadFile("a strip or tile is too short")
+        blocks.append(raw[:need])
+    page = np.zeros((rows, columns, samples), kind.newbyteorder("="))
+    for k, raw in enumerate(blocks):
         plane, rest = divmod(k, across * down)
         top, left = rest // across * high, rest % across * wide
         tall = high if tiled else min(high, rows - top)
-        raw = DECODERS[method](data[at : at + size])
-        block = np.frombuffer(raw, kind, tall * wide * deep).reshape(tall, wide, deep).astype(kind.newbyteorder("="))
-        if tags.get(PREDICTOR, [1])[0] == 2:
+        block = np.frombuffer(raw, kind).reshape(tall, wide, deep).astype(kind.newbyteorder("="))
+        if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=block.dtype)
         h, w = min(tall, rows - top), min(wide, columns - left)
         page[top : top + h, left : left + w, plane * deep : plane * deep + deep] = block[:h, :w]
@@ -257,7 +297,8 @@ def features(page: np.ndarray) -> str:
     cells = np.add.reduceat(np.add.reduceat(grey, np.minimum(down, rows - 1), axis=0), np.minimum(across, columns - 1), axis=1)
     counts = np.diff(np.append(down, rows)).clip(1)[:, None] * np.diff(np.append(across, columns)).clip(1)[None, :]
     mask = int("".join("1" if x else "0" for x in (cells * n > total * counts).ravel()), 2)
-    return f"{columns}x{rows}:mean={1000 * total // n}:max={int(grey.max())}:distinct={np.count_nonzero(np.bincount(grey.ravel()))}:cells={mask:016x}"
+    distinct = np.count_nonzero(np.bincount(grey.ravel())) if grey.max() < 1 << 16 else len(np.unique(grey))
+    return f"{columns}x{rows}:mean={1000 * total // n}:max={int(grey.max())}:distinct={distinct}:cells={mask:016x}"
 
 
 def store_payloads(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -269,13 +310,13 @@ def store_payloads(df: DataFrame, text_col: str = "text", keep: list[str] | None
     """
     ship(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("n_bytes", "media")]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias("text_in_"))
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary").alias(free_name(df, "text_in")))
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text_in_"):
-                texts = [b or b"" for b in part.column("text_in_").to_pylist()]
+            for part in slices(batch, len(keep)):
+                texts = [b or b"" for b in part.column(len(keep)).to_pylist()]
                 files = []
                 for b in texts:
                     payload = b.ljust(max(LINE, -(-len(b) // LINE) * LINE), b"\0")
@@ -293,36 +334,53 @@ ARROW = {"IntegerType": pa.int32(), "BinaryType": pa.binary(), "StringType": pa.
 def read_pages(df: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
     """One row for each page of each file, in directory order from page 0, with its samples in native order.
 
-    A file that is null, broken or of a kind not handled gives a single row with a null page and an error; a file
-    without a directory gives the error `no page`. Repeated files repeat; clashing input columns are replaced.
+    A file that is null, broken or of a kind not handled (see `decode_page`) gives a single row with a null page and an error,
+    as does one whose pages have over MOST bytes of samples; a file without a directory gives the error `no page`.
+    Repeated files repeat; clashing input columns are replaced; an empty table stays empty.
     """
     ship(df.sparkSession)
     new = {n for n, _ in PAGE_FIELDS}
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media_col}`").alias("media_in_"))
+    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media_col}`").alias(free_name(df, "media_in")))
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(n, t) for n, t in PAGE_FIELDS])
 
+    def batch_of(part, at, rows):
+        columns = [pa.array(list(c), ARROW[type(t).__name__]) for c, (_, t) in zip(zip(*rows, strict=True), PAGE_FIELDS, strict=True)]
+        kept = part.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(keep))] + columns, names=[*keep, *[n for n, _ in PAGE_FIELDS]])
+
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "media_in_"):
-                at, rows = [], []
-                for i, data in enumerate(part.column("media_in_").to_pylist()):
-                    try:
-                        if data is None:
-                            raise BadFile("null")
-                        order, pages = directories(data)
-                        made = []
-                        for k, tags in enumerate(pages):
-                            p = decode_page(data, order, tags)
-                            made.append((k, p.shape[1], p.shape[0], p.shape[2], p.dtype.itemsize * 8, tags.get(COMPRESSION, [RAW])[0], p.tobytes(), features(p), None))
-                        if not made:
-                            raise BadFile("no page")
-                    except (BadFile, KeyError, IndexError, ValueError, OverflowError, struct.error, zlib.error) as e:
-                        made = [(*[None] * 8, str(e) or type(e).__name__)]
+            for part in slices(batch, len(keep)):
+                at, rows, held = [], [], 0
+                for i, data in enumerate(part.column(len(keep)).to_pylist()):
+                    made = page_rows(data)
+                    size = sum(len(r[6] or b"") for r in made)
+                    if rows and held + size > OUT:
+                        yield batch_of(part, at, rows)
+                        at, rows, held = [], [], 0
                     at += [i] * len(made)
                     rows += made
-                columns = [pa.array(list(c), ARROW[type(t).__name__]) for c, (_, t) in zip(zip(*rows, strict=True), PAGE_FIELDS, strict=True)]
-                kept = part.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(keep))] + columns, names=[*keep, *[n for n, _ in PAGE_FIELDS]])
+                    held += size
+                if rows:
+                    yield batch_of(part, at, rows)
 
     return src.mapInArrow(run, schema)
+
+
+def page_rows(data: bytes | None) -> list[tuple]:
+    """The values of PAGE_FIELDS for every page of a file; one row with an error if it can't be read."""
+    try:
+        if data is None:
+            raise BadFile("null")
+        order, pages = directories(data)
+        made, left = [], MOST
+        for k, tags in enumerate(pages):
+            p = decode_page(data, order, tags, left)
+            left -= p.nbytes
+            made.append((k, p.shape[1], p.shape[0], p.shape[2], p.dtype.itemsize * 8, one(tags, COMPRESSION, RAW), p.tobytes(), features(p), None))
+        if not made:
+            raise BadFile("no page")
+        return made
+    except (ValueError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
+        return [(*[None] * 8, str(e) or type(e).__name__)]
