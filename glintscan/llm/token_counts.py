@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm.bpe import ByteBPE, tokenizer
-from glintscan.llm.common import release, ship, slices
+from glintscan.llm.common import free_name, release, ship, slices
 
 LEAF = 64
 #: The pattern looks at most this many characters past the end of a match (a contraction's letters, a blank's follower).
@@ -42,6 +42,10 @@ class TokenTree:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
         self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
 
+    def runs(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of all pre-tokens."""
+        return [c for x in self.leaves for c in x[0]], [t for x in self.leaves for t in x[1]]
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -146,41 +150,52 @@ class EditedText:
 
 
 EDIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("new", T.StringType())]))
-FIELDS = [("n_tokens", pa.int64(), T.LongType()), ("n_pretokens", pa.int64(), T.LongType()), ("edited_tokens", pa.int64(), T.LongType()), ("n_encoded", pa.int64(), T.LongType()), ("edited_text", pa.string(), T.StringType())]
+FIELDS = [("n_tokens", pa.int64(), T.LongType()), ("n_pretokens", pa.int64(), T.LongType()), ("edited_tokens", pa.int64(), T.LongType()), ("n_encoded", pa.int64(), T.LongType()), ("n_built", pa.int64(), T.LongType()), ("edited_text", pa.string(), T.StringType())]
+#: The leaves of the tree after the edits: characters and tokens of every pre-token.
+LEAVES = [("leaf_chars", pa.list_(pa.int32()), T.ArrayType(T.IntegerType())), ("leaf_tokens", pa.list_(pa.int32()), T.ArrayType(T.IntegerType()))]
 
 
-def count_with_edits(df: DataFrame, edits: Column, rank_file: bytes, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def count_with_edits(df: DataFrame, edits: Column, rank_file: bytes, pattern: str, text_col: str = "text", keep: list[str] | None = None, leaves: tuple[Column, Column] | None = None, keep_leaves: bool = False) -> DataFrame:
     """Appends the counts of the whole text before and after its edits, applied in order.
 
     `edits` is an array of (start, stop, new), in characters of the text as the edits before left it. Appended:
-    n_tokens, n_pretokens, edited_tokens, n_encoded (pre-tokens encoded for the edits) and edited_text. A null
-    text counts as empty; null edits are none; a null start, stop or new counts as 0, start or "". Rows
-    repeat as given; clashing input columns are replaced.
+    n_tokens, n_pretokens, edited_tokens, n_encoded (pre-tokens encoded for the edits), n_built (those encoded for the tree)
+    and edited_text; with `keep_leaves` also leaf_chars and leaf_tokens, the tree's leaves after the edits. Given
+    as `leaves` together with the edited text, they stand for the tree in a later call, which then encodes nothing but its
+    own edits; null leaves, or leaves that don't cover the text, are built anew. A null text counts as empty; null
+    edits are none; a null start, stop or new counts as 0, start or "". Rows repeat as given; clashing input columns are
+    replaced; an empty table stays empty.
     """
     ship(df.sparkSession)
-    new = {f[0] for f in FIELDS}
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text_in_"), F.coalesce(edits.cast(EDIT), F.array().cast(EDIT)).alias("edits_in_"))
-    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(n, t) for n, _, t in FIELDS])
+    fields = FIELDS + LEAVES * keep_leaves
+    names = [f[0] for f in fields]
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+    kept = len(keep)  # the columns behind are read by their places, whatever their names
+    none = F.lit(None).cast("array<int>")
+    inner = [F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(edits.cast(EDIT), F.array().cast(EDIT)), *[c.cast("array<int>") for c in leaves or (none, none)]]
+    src = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(free_name(df, f"in_{i}")) for i, c in enumerate(inner)])
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(n, t) for n, _, t in fields])
 
     def run(batches):
         bpe = tokenizer(rank_file, pattern)
         for batch in batches:
-            for part in slices(batch, "text_in_"):
-                texts = part.column("text_in_").to_pylist()
-                number, lengths = bpe.number(texts)
-                chars, tokens, ends = bpe.chars.data[number], bpe.count.data[number], np.cumsum(lengths)
+            for part in slices(batch, kept):
+                texts, todo, chars, tokens = (part.column(kept + i).to_pylist() for i in range(4))
+                held = [c is not None and t is not None and len(c) == len(t) and None not in c and None not in t and sum(c) == len(x) for x, c, t in zip(texts, chars, tokens, strict=True)]
+                number, lengths = bpe.number(["" if h else x for x, h in zip(texts, held, strict=True)])
+                all_chars, all_tokens, ends = bpe.chars.data[number], bpe.count.data[number], np.cumsum(lengths)
                 rows = []
-                for text, n, end, todo in zip(texts, lengths.tolist(), ends.tolist(), part.column("edits_in_").to_pylist(), strict=True):
-                    held = EditedText(bpe, text, TokenTree(chars[end - n : end], tokens[end - n : end]))
-                    before = held.tree.total
-                    for e in todo:
+                for k, (text, n, end) in enumerate(zip(texts, lengths.tolist(), ends.tolist(), strict=True)):
+                    c, t = (np.array(x[k], np.int64) for x in (chars, tokens)) if held[k] else (x[end - n : end] for x in (all_chars, all_tokens))
+                    edited = EditedText(bpe, text, TokenTree(c, t))
+                    before = edited.tree.total
+                    for e in todo[k]:
                         if e is not None:
                             start = e["start"] or 0
-                            held.edit(start, start if e["stop"] is None else e["stop"], e["new"] or "")
-                    rows.append((before, n, held.tree.total, held.encoded, held.text))
-                columns = [pa.array(list(c), kind) for c, (_, kind, _) in zip(zip(*rows, strict=True), FIELDS, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + columns, names=[*keep, *[f[0] for f in FIELDS]])
+                            edited.edit(start, start if e["stop"] is None else e["stop"], e["new"] or "")
+                    rows.append((before, len(c), edited.tree.total, edited.encoded, n, edited.text, *(edited.tree.runs() if keep_leaves else ())))
+                columns = [pa.array(list(c), kind) for c, (_, kind, _) in zip(zip(*rows, strict=True), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(kept)] + columns, names=[*keep, *names])
         release()
 
     return src.mapInArrow(run, schema)
