@@ -3,7 +3,8 @@
 The distinct pre-tokens of a batch become rows of padded matrices, one matrix for each bucket of lengths.
 In every round each row merges its leftmost pair of least rank; the pair's rank comes from an open-addressing
 hash table over (left id, right id); the row is then compacted by one place. Rows without a pair that can
-merge leave the matrix. Pre-tokens repeat, so each worker keeps the ids of those it has seen (bounded by
+merge leave the matrix. Rows of long pre-tokens merge all places of that pair in one round, from the left up to the first that makes a
+pair of lesser rank, since the next rounds would do nothing else. Pre-tokens repeat, so each worker keeps the ids of those it has seen (bounded by
 common.TABLE_LIMIT); whole texts are gathered from them.
 """
 
@@ -21,14 +22,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm import common
-from glintscan.llm.common import Grown, Numbering, map_text, release, ship, worker_state
+from glintscan.llm.common import Grown, Numbering, free_name, map_text, release, ship, worker_state
 
 NO_RANK = np.int32(2**31 - 1)
-#: Upper lengths in bytes of the matrix buckets; longer pre-tokens merge through a heap, which gives the same ids.
-BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
+#: Upper lengths in bytes of the matrix buckets; from the last on they double.
+BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64)
+#: Rows of this length merge all places of their pair at once.
+LONG = 64
 ROWS = 1 << 16
-#: So few new pre-tokens (an edit's) merge one by one through the heap: matrices would cost more than they save.
+#: So few new pre-tokens of an edit merge one by one through a heap: matrices would cost more than they save.
 FEW = 16
+#: Bytes that one decoded batch holds at most (one row at least).
+DECODED = 32 << 20
 
 
 class PairTable:
@@ -135,8 +140,61 @@ class ByteBPE:
             rank[each, left] = np.where(at > 0, self.pairs.find(ids[each, left], best), rank[each, left])
         return done, final
 
-    def _merge_long(self, piece: bytes) -> list[int]:
-        """The same merges for one long pre-token: a linked list and a heap of (rank, place)."""
+    def _merge_long_rows(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `_merge_rows`, with all places of a row's pair in one round."""
+        done, final = ids.copy(), lengths.copy()
+        rows, lengths = np.arange(len(ids)), lengths.copy()
+        column = np.arange(ids.shape[1], dtype=np.int32)
+        rank = np.full(ids.shape, NO_RANK, np.int32)
+        rank[:, :-1] = self.pairs.find(ids[:, :-1], ids[:, 1:])
+        rank[column[None, :] >= (lengths - 1)[:, None]] = NO_RANK
+        while True:
+            best = rank.min(axis=1)
+            live = best != NO_RANK
+            if not live.all():
+                out = ~live
+                done[rows[out], : ids.shape[1]] = ids[out]
+                final[rows[out]] = lengths[out]
+                rows, ids, rank, lengths, best = rows[live], ids[live], rank[live], lengths[live], best[live]
+            if not len(rows):
+                return done, final
+            column = column[: ids.shape[1]]
+            hit = rank == best[:, None]
+            # of neighbouring places every other one from the left
+            before = np.maximum.accumulate(np.where(hit, np.int32(-1), column[None, :]), axis=1)
+            hit &= (column[None, :] - before) % 2 == 1
+            # up to the first place whose new id makes a pair of lesser rank, which would be next
+            r, c = np.nonzero(hit)
+            left = np.where((c > 1) & hit[r, c - 2], best[r], ids[r, c - 1])
+            right = ids[r, np.minimum(c + 2, ids.shape[1] - 1)]
+            early = (c > 0) & (self.pairs.find(left, best[r]) < best[r])
+            early |= (c + 2 < lengths[r]) & (self.pairs.find(best[r], right) < best[r])
+            if early.any():
+                stop = np.full(len(rows), ids.shape[1])
+                np.minimum.at(stop, r[early], c[early])
+                hit &= column[None, :] <= stop[:, None]
+            ids = np.where(hit, best[:, None], ids)
+            keep = column[None, :] < lengths[:, None]
+            keep[:, 1:] &= ~hit[:, :-1]
+            lengths = keep.sum(axis=1)
+            column = column[: int(lengths.max())]
+            inside = column[None, :] < lengths[:, None]
+            compact = [np.zeros(inside.shape, x.dtype) for x in (ids, rank, hit)]
+            for new, old in zip(compact, (ids, rank, hit), strict=True):
+                new[inside] = old[keep]
+            ids, rank, hit = compact
+            # the pairs on either side of a new id are looked up anew
+            look = hit.copy()
+            look[:, :-1] |= hit[:, 1:]
+            rank[~inside] = NO_RANK
+            r, c = np.nonzero(look & inside)
+            edge = c + 1 >= lengths[r]
+            rank[r[edge], c[edge]] = NO_RANK
+            r, c = r[~edge], c[~edge]
+            rank[r, c] = self.pairs.find(ids[r, c], ids[r, c + 1])
+
+    def _merge_one(self, piece: bytes) -> list[int]:
+        """The same merges for one pre-token of an edit: a linked list and a heap of (rank, place)."""
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -163,7 +221,7 @@ class ByteBPE:
         """Encodes pre-tokens not seen before and appends their ids to the worker's table; the few of an edit one by one."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         if edit and len(words) < FEW:
-            made = [[self.ranks[b]] if b in self.ranks else self._merge_long(b) for b in raw]
+            made = [[self.ranks[b]] if b in self.ranks else self._merge_one(b) for b in raw]
             sizes = np.array([len(ids) for ids in made], np.int64)
             self.start.extend(self.flat.n + np.cumsum(sizes) - sizes)
             self.flat.extend(np.array([i for ids in made for i in ids], np.int32))
@@ -177,23 +235,20 @@ class ByteBPE:
         known = np.flatnonzero(whole >= 0)
         counts[known] = 1
         found.append((known, whole[known].astype(np.int32)))
-        low = 0
-        for high in BUCKETS:
+        low, longest = 0, int(size[whole < 0].max(initial=0))
+        for high in [*BUCKETS, *(BUCKETS[-1] << k for k in range(1, longest.bit_length()))]:
             rows = np.flatnonzero((whole < 0) & (size > low) & (size <= high))
             low = high
             step = max(1, ROWS * 8 // high)
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
                 lens = size[part]
-                matrix = np.zeros((len(part), high), np.uint8)
-                matrix[np.arange(high)[None, :] < lens[:, None]] = np.frombuffer(b"".join([raw[i] for i in part.tolist()]), np.uint8)
-                ids, final = self._merge_rows(self.byte_ids[matrix], lens)
+                column = np.arange(int(lens.max()))[None, :]
+                matrix = np.zeros((len(part), column.shape[1]), np.uint8)
+                matrix[column < lens[:, None]] = np.frombuffer(b"".join([raw[i] for i in part.tolist()]), np.uint8)
+                ids, final = (self._merge_long_rows if high > LONG else self._merge_rows)(self.byte_ids[matrix], lens)
                 counts[part] = final
-                found.append((part, ids[np.arange(ids.shape[1])[None, :] < final[:, None]]))
-        for i in np.flatnonzero((whole < 0) & (size > low)).tolist():
-            ids = self._merge_long(raw[i])
-            counts[i] = len(ids)
-            found.append((np.array([i]), np.array(ids, np.int32)))
+                found.append((part, ids[column < final[:, None]]))
         start = np.zeros(len(raw), np.int64)
         base = self.flat.n
         for rows, ids in found:
@@ -284,21 +339,25 @@ def decode_ids(df: DataFrame, rank_file: bytes, pattern: str, ids_col: str = "id
     """Appends `decoded binary`: the bytes that the ids stand for. A null or empty array gives empty bytes."""
     ship(df.sparkSession)
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != "decoded"]
-    ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>")).alias("ids_in_")
+    ids = F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<int>")).alias(free_name(df, "ids_in"))
     src = df.select(*[F.col(f"`{c}`") for c in keep], ids)
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType(), True)])
 
     def run(batches):
         bpe = tokenizer(rank_file, pattern)
+        longest = int(bpe.token_len.max())
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                column = part.column(len(keep))
-                offsets = np.asarray(column.offsets)[: part.num_rows + 1].astype(np.int64)
-                flat = np.asarray(column.values)[offsets[0] : offsets[-1]]
-                data, at = bpe.decode(flat, offsets - offsets[0])
-                decoded = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [decoded], names=[*keep, "decoded"])
+            k = 0
+            while k < batch.num_rows:
+                column = batch.column(len(keep)).slice(k)
+                offsets = np.asarray(column.offsets)[: len(column) + 1].astype(np.int64)
+                # so many rows as surely fit
+                n = min(512, max(1, int(np.searchsorted(offsets - offsets[0], DECODED // longest, "right")) - 1))
+                flat = np.asarray(column.values)[offsets[0] : offsets[n]]
+                data, at = bpe.decode(flat, offsets[: n + 1] - offsets[0])
+                decoded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(k, n) for i in range(len(keep))] + [decoded], names=[*keep, "decoded"])
+                k += n
         release()
 
     return src.mapInArrow(run, schema)
