@@ -14,10 +14,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintscan.llm.common import free_name
+from glintscan.llm.common import checkpoint, free_name
 
 #: Words of a window, and of the K-grams that fingerprints are made of.
 WINDOW, GRAM = 13, 8
+#: Rows of met texts and of their hits that are sent to all tasks; beyond, texts are shuffled by their digest.
+BROADCAST_ROWS = 100_000
 #: Everything in ASCII but digits and letters parts words; a character beyond ASCII belongs to one.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -61,17 +63,32 @@ def fingerprints(words: Column, width: int) -> Column:
     return out
 
 
-def met_spans(width: int):
-    """From words: the windows whose print is in the column `met`, as (at, print, span)."""
+def all_fingerprints(widths: list[int]):
+    """From words: (width, print) of the distinct prints of every width."""
+
+    def one(words, width):
+        return F.transform(F.array_distinct(fingerprints(words, width)), lambda p: F.struct(F.lit(width).alias("width"), p.alias("print")))
+
+    return lambda words: F.concat(*[one(words, w) for w in widths])
+
+
+def spans(width: int, chosen=None):
+    """From words: the windows of that width as (width, at, print, span); with `chosen`, those whose print it accepts."""
 
     def of(words):
         placed = let(fingerprints(words, width), lambda prints: F.transform(prints, lambda p, i: F.struct(i.alias("at"), p.alias("print"))))
-        hits = F.filter(placed, lambda x: F.array_contains(F.col("met"), x["print"]))
-        return F.transform(hits, lambda x: F.struct(x["at"].alias("at"), x["print"].alias("print"), F.concat_ws(" ", F.slice(words, x["at"] + 1, F.lit(width))).alias("span")))
+        placed = F.filter(placed, chosen) if chosen else placed
+        return F.transform(placed, lambda x: F.struct(F.lit(width).alias("width"), x["at"].alias("at"), x["print"].alias("print"), F.concat_ws(" ", F.slice(words, x["at"] + 1, F.lit(width))).alias("span")))
 
     return of
 
 
+def join_small(large: DataFrame, small: DataFrame, key: str, how: str) -> DataFrame:
+    """Joins by the key; `small` is written first and sent to all tasks if it has at most BROADCAST_ROWS rows."""
+    small = checkpoint(small)
+    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, key, how)
+
+
 def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Appends to every row of `docs`: n_words, n_hit, hit_items (sorted distinct item ids as text) and contaminated.
 
@@ -87,35 +104,30 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     tests = tests.withColumn("n", F.size("words")).filter(F.col("n") > 0).withColumn("width", F.least(F.col("n"), F.lit(WINDOW)))
     widths = sorted(r["width"] for r in tests.select("width").distinct().collect())  # 13 rows at most
 
-    # copies are extended once: everything goes by a digest of the text
+    # everything goes by a digest of the text
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = free_name(docs, "key_")
     keyed = docs.withColumn(key, F.sha2(text, 256)).withColumn("n_words", F.size(words_of(text)).cast("long"))
-    base = docs.select(F.sha2(text, 256).alias("key_"), text.alias("text_"))
-
-    found = None
-    for width in widths:
-        one = tests.filter(F.col("width") == width)
-        spans_of = lambda words, prints: F.zip_with(prints, F.transform(prints, lambda _, i: F.concat_ws(" ", F.slice(words, i + 1, F.lit(width)))), lambda p, s: F.struct(p.alias("print"), s.alias("span")))
-        windows = one.select("item", F.inline_outer(let(fingerprints(F.col("words"), width), lambda prints: spans_of(F.col("words"), prints)))).distinct()
-        wanted = windows.select("print").distinct()
-        # outer generators: an inner one would have its array computed a second time, as a filter on its size
-        printed = base.select("key_", F.explode_outer(F.array_distinct(fingerprints(words_of(F.col("text_")), width))).alias("print"))
-        met = printed.join(wanted, "print", "left_semi").groupBy("key_").agg(F.collect_set("print").alias("met"))  # at most the prints of one text
-        # extend: only the windows of a text that were met, and those word by word
-        # copies are put together before the join, task by task, so that a much copied text doesn't fill one
-        texts = base.groupBy("key_").agg(F.first("text_").alias("text_")).join(met, "key_")
-
-        spans = texts.select("key_", F.inline_outer(let(words_of(F.col("text_")), met_spans(width))))
-        hits = spans.join(windows, ["print", "span"]).select("key_", "at", F.lit(width).alias("width"), "item")
-        found = hits if found is None else found.unionByName(hits)
-
-    if found is None:
+    if not widths:
         return keyed.drop(key).withColumn("n_hit", F.lit(0).cast("long")).withColumn("hit_items", F.array().cast("array<string>")).withColumn("contaminated", F.lit(False))
-    per_text = found.groupBy("key_").agg(F.array_sort(F.collect_set(F.struct("at", "width"))).alias("runs"), F.array_sort(F.collect_set("item")).alias("hit_items"))
+
+    # outer generators: an inner one would have its array computed a second time, as a filter on its size
+    windows = F.when(F.col("width") == widths[0], let(F.col("words"), spans(widths[0])))
+    for w in widths[1:]:
+        windows = windows.when(F.col("width") == w, let(F.col("words"), spans(w)))
+    windows = tests.select("item", F.inline_outer(windows.alias("w"))).select("item", "width", "print", "span").distinct()
+    base = docs.select(F.sha2(text, 256).alias("key_"), text.alias("text_"))
+    printed = base.select("key_", F.inline_outer(let(words_of(F.col("text_")), all_fingerprints(widths))))
+    met = printed.join(windows.select("width", "print").distinct(), ["width", "print"], "left_semi").groupBy("key_").agg(F.collect_set(F.struct("width", "print")).alias("met"))  # at most the prints of one text
+    # extend: only the texts that were met, copies put together, and of them only the windows that were met, word by word
+    texts = join_small(base, met, "key_", "inner").groupBy("key_").agg(F.first("text_").alias("text_"), F.first("met").alias("met"))
+    chosen = lambda w: lambda x: F.exists("met", lambda m: (m["width"] == w) & (m["print"] == x["print"]))
+    found = texts.select("key_", F.inline_outer(let(words_of(F.col("text_")), lambda words: F.concat(*[spans(w, chosen(w))(words) for w in widths]))))
+    hits = found.join(windows, ["width", "print", "span"]).select("key_", "at", "width", "item")
+    per_text = hits.groupBy("key_").agg(F.array_sort(F.collect_set(F.struct("at", "width"))).alias("runs"), F.array_sort(F.collect_set("item")).alias("hit_items"))
     # the union of the sorted runs: what each adds beyond the furthest end so far
     union = F.aggregate("runs", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")), lambda acc, r: F.struct(F.greatest(acc["end"], r["at"] + r["width"]).alias("end"), (acc["hit"] + F.greatest(F.lit(0), r["at"] + r["width"] - F.greatest(acc["end"], r["at"]))).alias("hit")), lambda acc: acc["hit"])
-    per_text = per_text.select("key_", union.cast("long").alias("n_hit"), "hit_items")
-    out = keyed.join(per_text.withColumnRenamed("key_", key), key, "left").drop(key)
+    per_text = per_text.select(F.col("key_").alias(key), union.cast("long").alias("n_hit"), "hit_items")
+    out = join_small(keyed, per_text, key, "left").drop(key)
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("hit_items", F.coalesce("hit_items", F.array().cast("array<string>")))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(20) * F.col("n_hit") >= F.col("n_words")))

@@ -29,8 +29,10 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed", range(4))
+def test_against_brute_force(spark, seed, monkeypatch):
+    if seed == 3:
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
     rng = random.Random(seed)
     vocabulary = ["the", "The", "été", "x1", "b", "ß", "no", "Ärger"]
     some = lambda n: rng.choice([" ", ", ", "\n"]).join(rng.choice(vocabulary) for _ in range(n))
@@ -48,3 +50,10 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert decontam.mark(docs.limit(0), items).count() == 0
     assert [(r.n_words, r.n_hit) for r in decontam.mark(docs, items.limit(0)).collect()] == [(2, 0)]
+
+
+def test_very_long_texts(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, "x " * 100_000 + item + " y" * 100_000), (2, item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontam.mark(docs, items).collect()) == [(1, 200_040, 40, False), (2, 40, 40, True)]
