@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +80,39 @@ def resolve_url(base: Column, ref: Column) -> Column:
     out = F.when(scheme != "", with_scheme).when(host != "", with_host).when(path.startswith("/"), rooted).when(path != "", relative).otherwise(same)
     colon = (scheme == "") & (host == "") & path.rlike("^[^/]*:")
     return F.when(~bad(base) & ~bad(ref) & ~colon, F.concat(out, mark))
+
+
+#: Code points that a numeric reference to 128..159 stands for (Windows-1252).
+_WINDOWS = {str(n): bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a numeric reference; what is none becomes U+FFFD."""
+    bad = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    windows = F.element_at(F.from_json(F.lit(json.dumps(_WINDOWS)), "map<string,string>"), number.cast("string"))
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(number).cast("long")), 8, "0")), "UTF-32")
+    return F.when(bad, char).otherwise(F.coalesce(windows, char))
+
+
+def unescape_attribute(value: Column) -> Column:
+    """Character references of an attribute's value undone as HTML5 does: numeric ones, and named ones with a semicolon or,
+    if neither a letter, a digit nor an equals sign follows, those of old names without one."""
+    names = F.from_json(F.lit(json.dumps(dict(html.entities.html5))), "map<string,string>")
+
+    def piece(p: Column) -> Column:
+        number = F.regexp_extract(p, r"^(#[xX][0-9a-fA-F]+;?|#[0-9]+;?)", 1)
+        digits = F.regexp_extract(number, r"([0-9a-fA-F]+)", 1)
+        point = F.when(F.length(digits) > 9, F.lit(0)).when(number.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*;|[A-Za-z][A-Za-z0-9]*(?![=;A-Za-z0-9]))", 1)
+        found = F.when(name != "", F.element_at(names, name))
+        rest = lambda m: F.substring(p, F.length(m) + 1, F.length(p))
+        return F.when(number != "", F.concat(_code_point(point), rest(number))).when(found.isNotNull(), F.concat(found, rest(name))).otherwise(F.concat(F.lit("&"), p))
+
+    parts = F.split(value, "&")
+    tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), piece)
+    return F.when(F.contains(value, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))).otherwise(value)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintscan.config import ScanConfig
+from glintscan.config import ScanConfig, shared_folder
 from glintscan.functions.catalog import EFFECTIVE, ENTROPY_NAME, ENTROPY_ORD, RULES, TYPES
 from glintscan.functions.text import entropy_tokens, shannon_entropy
 from glintscan.operators import blobs as B
 from glintscan.operators import detect, report, tech
 from glintscan.plans import planted
-from glintscan.plans.scan import scan_pages, scan_texts
+from glintscan.plans.scan import findings, scan_pages, scan_texts, scanned
+from glintscan.streaming.scan import findings_stream, page_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,6 +123,15 @@ S_TECH = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN regexp_matc
 # ---- HTML and blobs ----
 
 
+#: Scripts whose addresses are written with character references, and resolved in several ways.
+S_REFERENCED = "SELECT page_id, 'https://h.example/a/b.html?q=1' AS url, '<script src=' || chr(34) || (CASE page_id % 8 WHEN 0 THEN '&#x2F;js&#47;n&#46;js?a&amp;b' WHEN 1 THEN '..&sol;x&period;js' WHEN 2 THEN '//o.example/&eacute;.js' WHEN 3 THEN '?x=1&ampy=2' WHEN 4 THEN '#&#128;' WHEN 5 THEN './y/../z.js&copy' WHEN 6 THEN 'https://o.example/&#x1F600;' ELSE '&notin;&nosuch;&#0;' END) || chr(34) || '></script>' AS html FROM pages"
+
+
+@query("""SELECT page_id, 0 AS tag_ord, CASE page_id % 8 WHEN 0 THEN 'https://h.example/js/n.js?a&b' WHEN 1 THEN 'https://h.example/x.js' WHEN 2 THEN 'https://o.example/é.js' WHEN 3 THEN 'https://h.example/a/b.html?x=1&ampy=2' WHEN 4 THEN 'https://h.example/a/b.html?q=1#€' WHEN 5 THEN 'https://h.example/a/z.js©' WHEN 6 THEN 'https://o.example/😀' ELSE 'https://h.example/a/∉&nosuch;�' END AS script_url FROM pages""")
+def h_character_references(spark, sf_dir):
+    return B.external_scripts(run_sql(spark, sf_dir, S_REFERENCED))
+
+
 @query(f"SELECT page_id, blob_ord::INT AS blob_ord, source, path, body FROM ({s_blobs(S_PAGES)})")
 def h_blobs(spark, sf_dir):
     return B.blobs(table(spark, sf_dir, "pages"))
@@ -205,8 +216,17 @@ def e_entropy(spark, sf_dir):
 @query(f"SELECT {S_OUT} FROM (SELECT *, {S_SNIPPET} AS snippet_hex FROM ({s_raw(S_DOCUMENTS, (), True).replace('MATERIALIZED', '')}))")
 def e_findings(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(0).alias("blob_ord"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("body"))
-    found = detect.named(detect.entropy_matches(detect.lines(docs), ENTROPY))
-    return found.withColumn("snippet_hex", F.hex(detect.snippet_bytes(F.col("text"), F.col("token")))).select(*OUT)
+    return detect.raw_findings(detect.lines(docs), ENTROPY, ()).select(*OUT)
+
+
+#: Documents with a line of 20 to 27 different characters more: those of at least 23 have over 4.5 bits a byte.
+S_DEFAULT = "SELECT doc_id AS page_id, 0 AS blob_ord, 'doc:' || doc_id AS path, text || chr(10) || 'x, ' || substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST(1 + doc_id % 9 AS INT), CAST(20 + doc_id % 8 AS INT)) AS body FROM documents"
+
+
+@query(f"SELECT {S_OUT} FROM (SELECT *, {S_SNIPPET} AS snippet_hex FROM ({s_raw(S_DEFAULT, (), True).replace('MATERIALIZED', '').replace('>= 3.5', '>= 4.5')}))")
+def e_default_threshold(spark, sf_dir):
+    docs = spark.sql(S_DEFAULT.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return detect.raw_findings(detect.lines(docs), ScanConfig(include_entropy=True), ()).select(*OUT)
 
 
 @query(f"SELECT {S_OUT} FROM (SELECT *, {S_SNIPPET} AS snippet_hex FROM ({s_raw(s_blobs(S_SCRIPTED))}))")
@@ -233,8 +253,9 @@ def scan_documents(spark, sf_dir):
 
 
 def _scan(spark, sf_dir):
-    pages, resources = planted_pages(spark, sf_dir), planted_resources(spark, sf_dir)
-    return pages, B.blobs(pages, resources), scan_pages(pages, resources)
+    pages = planted_pages(spark, sf_dir)
+    scan = scanned(pages, planted_resources(spark, sf_dir))
+    return pages, scan, findings(scan)
 
 
 @query(f"SELECT p.page_id, t.type, count(f.token) AS n FROM pages p CROSS JOIN (SELECT unnest(['secret', 'config', 'endpoint', 'generic']) AS type) t LEFT JOIN ({S_SCAN}) f ON f.page_id = p.page_id AND f.type = t.type GROUP BY ALL")
@@ -271,8 +292,8 @@ LEFT JOIN (SELECT page_id, count(*) AS total, count(*) FILTER (type = 'secret')
 
 
 def _summary(spark, sf_dir):
-    pages, found_blobs, found = _scan(spark, sf_dir)
-    return report.summary(pages, B.blob_counts(pages, found_blobs), tech.fingerprint(pages), found), found
+    pages, scan, found = _scan(spark, sf_dir)
+    return report.summary(pages, scan), found
 
 
 @query(S_SUMMARY)
@@ -280,28 +301,96 @@ def k_summary(spark, sf_dir):
     return _summary(spark, sf_dir)[0].withColumn("technologies", F.coalesce(F.array_join("technologies", ", "), F.lit("")))
 
 
-@query(f"SELECT page_id, 'URL: ' || url || chr(10) || (CASE WHEN technologies <> '' THEN 'Tech: ' || technologies || chr(10) ELSE '' END) || 'JS Blobs: ' || js_blobs || chr(10) || 'Total Findings: ' || total || chr(10) || chr(10) || 'By Type:' || chr(10) || '  Secrets:       ' || secret || chr(10) || '  Configuration: ' || config || chr(10) || '  Endpoints:     ' || endpoint || chr(10) || '  Generic:       ' || generic || chr(10) AS text FROM ({S_SUMMARY})")
+S_SUMMARY_TEXT = "'URL: ' || url || chr(10) || (CASE WHEN technologies <> '' THEN 'Tech: ' || technologies || chr(10) ELSE '' END) || 'JS Blobs: ' || js_blobs || chr(10) || 'Total Findings: ' || total || chr(10) || chr(10) || 'By Type:' || chr(10) || '  Secrets:       ' || secret || chr(10) || '  Configuration: ' || config || chr(10) || '  Endpoints:     ' || endpoint || chr(10) || '  Generic:       ' || generic || chr(10)"
+
+
+@query(f"SELECT page_id, {S_SUMMARY_TEXT} AS text FROM ({S_SUMMARY})")
 def k_summary_text(spark, sf_dir):
     return report.summary_text(_summary(spark, sf_dir)[0])
 
 
-@query()
+S_TEXT = "decode(unhex(snippet_hex))"  # the planted text is cut at whole characters
+S_LABEL = "(CASE WHEN type = 'endpoint' THEN 'URL' ELSE 'Secret' END)"
+
+
+def s_report(entry: str, section: str, head: str, nothing: str) -> str:
+    """A report of each page: `head`, then the sections of its types, each made of its entries."""
+    entries = f"SELECT page_id, type, count(*) AS n, string_agg({entry}, '' ORDER BY blob_ord, line, det_ord, match_ord) AS items FROM ({S_SCAN}) GROUP BY page_id, type"
+    sections = f"SELECT page_id, string_agg({section}, '' ORDER BY array_position(['secret', 'config', 'endpoint', 'generic'], type)) AS sections FROM ({entries}) GROUP BY page_id"
+    return f"SELECT s.page_id, {head} || coalesce(x.sections, {nothing}) AS text FROM ({S_SUMMARY}) s LEFT JOIN ({sections}) x ON x.page_id = s.page_id"
+
+
+S_PLAIN = f"chr(10) || '[' || detector || '] ' || path || ':' || line || chr(10) || {S_LABEL} || ': ' || token || chr(10) || 'Context: ' || {S_TEXT} || chr(10)"
+S_PLAIN_SECTION = "chr(10) || upper(type) || ' (' || n || ')' || chr(10) || repeat('-', 40) || chr(10) || items"
+S_PLAIN_HEAD = "'Scanned: ' || url || chr(10) || 'Technologies: ' || technologies || chr(10) || 'JS Blobs: ' || js_blobs || chr(10) || 'Findings: ' || total || chr(10) || chr(10)"
+S_NOTHING = f"{lit(report.NOTHING)} || chr(10)"
+
+
+@query(s_report(S_PLAIN, S_PLAIN_SECTION, S_PLAIN_HEAD, S_NOTHING))
 def k_plain_report(spark, sf_dir):
     summary, found = _summary(spark, sf_dir)
     return report.plain_report(summary, report.grouped(found))
 
 
-@query()
+@query(s_report(S_PLAIN, S_PLAIN_SECTION, "''", "''"))
+def k_quiet_report(spark, sf_dir):
+    summary, found = _summary(spark, sf_dir)
+    return report.plain_report(summary, report.grouped(found), ScanConfig(quiet=True))
+
+
+S_TITLES = "CASE type WHEN 'secret' THEN 'SECRETS' WHEN 'config' THEN 'CONFIGURATION' WHEN 'endpoint' THEN 'ENDPOINTS' ELSE 'GENERIC' END"
+S_BLOCK_HEAD = f"'Scan Results' || chr(10) || ({S_SUMMARY_TEXT}) || chr(10)"
+
+
+@query(s_report(S_BLOCK, f"chr(10) || {S_TITLES} || chr(10) || repeat('─', 60) || chr(10) || items || chr(10)", S_BLOCK_HEAD, S_NOTHING))
 def k_block_report(spark, sf_dir):
     summary, found = _summary(spark, sf_dir)
     return report.block_report(summary, report.grouped(found))
 
 
-@query()
+def s_json(text: str) -> str:
+    out = f"CAST(to_json({text}) AS VARCHAR)"
+    for char, code in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
+        out = f"replace({out}, '{char}', '{code}')"
+    return out
+
+
+S_FIELDS = " || ',' || chr(10) || ".join(f"""'      "{c}": ' || {'line' if c == 'line' else s_json(S_TEXT if c == 'snippet' else c)}""" for c in ("detector", "type", "path", "line", "snippet", "token"))
+S_ITEMS = f"SELECT page_id, string_agg('    {{' || chr(10) || {S_FIELDS} || chr(10) || '    }}', ',' || chr(10) ORDER BY blob_ord, line, det_ord, match_ord) AS items FROM ({S_SCAN}) GROUP BY page_id"
+S_TECH_LINES = f"CASE WHEN technologies = '' THEN 'null' ELSE '[' || chr(10) || array_to_string(list_transform(string_split(technologies, ', '), lambda t: '    ' || {s_json('t')}), ',' || chr(10)) || chr(10) || '  ]' END"
+
+
+@query(f"""SELECT s.page_id, '{{' || chr(10) || '  "findings": ' || coalesce('[' || chr(10) || items || chr(10) || '  ]', 'null') || ',' || chr(10) || '  "js_blobs": ' || js_blobs || ',' || chr(10) || '  "technologies": ' || {S_TECH_LINES} || ',' || chr(10) || '  "url": ' || {s_json('url')} || chr(10) || '}}' AS json FROM ({S_SUMMARY}) s LEFT JOIN ({S_ITEMS}) i ON i.page_id = s.page_id""")
 def k_json(spark, sf_dir):
     return report.json_report(*_summary(spark, sf_dir))
 
 
+@query(f"SELECT page_id, detector, type, path, token FROM ({s_first(s_raw(s_blobs(S_SCRIPTED)))})")
+def a_stream(spark, sf_dir):
+    """The findings of a stream of pages, micro-batch by micro-batch, with state for those seen within the delay.
+
+    Which line of equal findings stays depends on arrival (see `findings_stream`), so the key alone is given."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    pages = planted_pages(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    pages.write.parquet(f"{folder}/pages")
+    found = findings_stream(page_stream(spark, f"{folder}/pages", pages.schema), "ts")
+    found.writeStream.format("parquet").option("path", f"{folder}/found").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/found").select("page_id", "detector", "type", "path", "token")
+
+
+S_SERVER = "CASE page_id % 4 WHEN 0 THEN 'nginx/1.18' WHEN 1 THEN 'cloudflare' WHEN 2 THEN 'Apache/2.4' ELSE 'other' END"
+S_POWERED = "CASE page_id % 3 WHEN 0 THEN 'PHP/8.1' ELSE 'Express' END"
+S_HEADERS = {"server": S_SERVER, "x-powered-by": S_POWERED}
+S_TECH_ALL = "list_sort(list_distinct(flatten([" + ", ".join(f"CASE WHEN regexp_matches({S_HEADERS.get(h, 'html')}, {lit(p)}) THEN [{', '.join(lit(x) for x in (n, *tech.IMPLIED.get(n, ())))}] ELSE [] END" for n, h, p in tech.MARKERS) + "])))"
+
+
+@query(f"SELECT page_id, array_to_string({S_TECH_ALL}, ', ') AS technologies FROM pages")
+def t_headers(spark, sf_dir):
+    headers = F.create_map(F.lit("Server"), F.array(F.expr(S_SERVER)), F.lit("X-Powered-By"), F.array(F.expr(S_POWERED)))
+    pages = table(spark, sf_dir, "pages").withColumn("headers", headers)
+    return tech.fingerprint(pages).select("page_id", F.coalesce(F.array_join("technologies", ", "), F.lit("")).alias("technologies"))
+
+
 @query(f"SELECT page_id, array_to_string({S_TECH}, ', ') AS technologies FROM pages")
 def t_technologies(spark, sf_dir):
     return tech.fingerprint(table(spark, sf_dir, "pages")).select("page_id", F.coalesce(F.array_join("technologies", ", "), F.lit("")).alias("technologies"))

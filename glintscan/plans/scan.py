@@ -7,12 +7,32 @@ from pyspark.sql import functions as F
 
 from glintscan.config import ScanConfig
 from glintscan.operators import blobs as B
-from glintscan.operators import detect, report, tech
+from glintscan.operators import detect, report
+
+
+def scanned(pages: DataFrame, resources: DataFrame | None = None, cfg: ScanConfig = ScanConfig()) -> DataFrame:
+    """Findings of every page and, with det_ord 0, marks that count its scripts (js) and its rows (pages).
+
+    Each page is parsed once and each script's body scanned once, however many pages name it.
+    """
+    lines = detect.marked_lines(B.entries(pages, cfg))
+    mark = lambda source: ((F.col("det_ord") == 0) & (F.col("source") == source)).cast("int")
+    found = detect.raw_findings(lines, cfg, marks=True).withColumn("js", mark("inline")).withColumn("pages", mark("html"))
+    if resources is None:
+        found = found.filter(F.col("source") != "external").drop("source")
+    else:
+        found = detect.with_scripts(found, detect.scripts_scanned(resources, cfg))
+    return detect.keep_first(found)
+
+
+def findings(scan: DataFrame) -> DataFrame:
+    """page_id, detector, type, path, line, snippet, token and the columns that order them."""
+    return scan.filter(F.col("det_ord") > 0).drop(*detect.MARKS)
 
 
 def scan_pages(pages: DataFrame, resources: DataFrame | None = None, cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """Findings of every page: page_id, detector, type, path, line, snippet, token and the columns that order them."""
-    return detect.scan_blobs(B.blobs(pages, resources, cfg), cfg)
+    """Findings of every page."""
+    return findings(scanned(pages, resources, cfg))
 
 
 def scan_texts(texts: DataFrame, cfg: ScanConfig = ScanConfig(), id_col: str = "doc_id", text_col: str = "text", prefix: str = "doc:") -> DataFrame:
@@ -22,9 +42,8 @@ def scan_texts(texts: DataFrame, cfg: ScanConfig = ScanConfig(), id_col: str = "
 
 
 def scan_report(pages: DataFrame, resources: DataFrame | None = None, cfg: ScanConfig = ScanConfig()) -> dict[str, DataFrame]:
-    """findings, summary, summary_text, plain, blocks and json of every page."""
-    found_blobs = B.blobs(pages, resources, cfg)
-    found = detect.scan_blobs(found_blobs, cfg)
-    summaries = report.summary(pages, B.blob_counts(pages, found_blobs), tech.fingerprint(pages), found)
+    """findings, summary, summary_text, plain, blocks, json and lines of every page, from one scan that is kept meanwhile."""
+    scan = scanned(pages, resources, cfg).persist()
+    found, summaries = findings(scan), report.summary(pages, scan)
     groups = report.grouped(found, cfg)
-    return {"findings": found, "summary": summaries, "summary_text": report.summary_text(summaries), "plain": report.plain_report(summaries, groups), "blocks": report.block_report(summaries, groups, cfg), "json": report.json_report(summaries, found, cfg)}
+    return {"findings": found, "summary": summaries, "summary_text": report.summary_text(summaries), "plain": report.plain_report(summaries, groups, cfg), "blocks": report.block_report(summaries, groups, cfg), "json": report.json_report(summaries, found, cfg), "lines": report.plain_lines(found, cfg)}

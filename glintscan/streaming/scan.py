@@ -26,10 +26,12 @@ def page_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
 def findings_stream(pages: DataFrame, time_col: str, delay: str = "10 minutes", cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """Findings as a stream with bounded state: of equal keys, the one that is seen first within the delay.
 
-    The page's time travels inside its id, so that no join is needed to keep it.
+    If a page comes more than once within the delay, or has the same script text under one path twice, equal findings differ only
+    in their line, blob and snippet, and which of them stays is decided by arrival; batches keep the least. The page's time
+    travels inside its id, so that no join is needed to keep it.
     """
     timed = pages.withColumn("page_id", F.struct(F.col("page_id").alias("id"), F.col(time_col).alias("time")))
-    found = raw_findings(lines(blobs(timed, None, cfg)), cfg)
+    found = raw_findings(lines(blobs(timed, None, cfg)), cfg).drop("source")
     flat = found.withColumn(time_col, F.col("page_id.time")).withColumn("page_id", F.col("page_id.id"))
     return flat.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(list(KEY))
 

@@ -1,4 +1,7 @@
+import http.server
 import json
+import threading
+import time
 from urllib.parse import urljoin
 
 import pytest
@@ -9,8 +12,8 @@ from glintscan.functions.text import entropy_tokens, resolve_url, shannon_entrop
 from glintscan.operators import blobs as B
 from glintscan.operators import detect, report, tech
 from glintscan.plans.scan import scan_pages, scan_report
-from glintscan.sources.pages import read_pages, write_report
-from glintscan.streaming.scan import findings_stream, scan_stream
+from glintscan.sources.pages import fetch_resources, load, read_pages, write_report
+from glintscan.streaming.scan import findings_stream, print_sink, scan_stream
 
 URL = "https://h.example/a/b?q#top"
 SCHEMA = "page_id long, url string, html string"
@@ -135,7 +138,16 @@ def test_reports(spark, tmp_path):
     assert all("****" in r.text for r in report.plain_lines(made["findings"], ScanConfig(mask_tokens=True)).collect())
     for form in ("json", "text", "parquet"):
         write_report(made, f"{tmp_path}/{form}", form)
-    assert len(spark.read.text(f"{tmp_path}/json").collect()) == 2
+    text = "".join(p.read_text() for p in sorted((tmp_path / "json").glob("part-*")))
+    objects = []
+    while text.strip():
+        one, end = json.JSONDecoder().raw_decode(text.lstrip())
+        objects.append(one)
+        text = text.lstrip()[end:]
+    assert len(objects) == 2 and data[2] == json.dumps(json.loads(data[2]), indent=2)
+    quiet = ScanConfig(quiet=True)
+    silent = {r.page_id: r.text for r in scan_report(df, cfg=quiet)["plain"].collect()}
+    assert silent[2] == "" and silent[1].startswith("\nSECRET (2)\n")
     df.write.json(f"{tmp_path}/pages")
     assert read_pages(spark, f"{tmp_path}/pages", "json").count() == 2
 
@@ -156,3 +168,97 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     q = findings_stream(stream(), "ts").writeStream.format("memory").queryName("found").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.page_id, r.detector, r.path, r.token, r.line) for r in spark.table("found").collect()) == want
+
+
+def test_repeated_pages_are_one_page(spark):
+    html = f"<script>api_key='{KEY}'</script><script>x = '/api/v1/u'</script>"
+    one = spark.createDataFrame([(1, URL, html)], SCHEMA)
+    rows = scan_report(one.union(one).union(one))["summary"].collect()
+    want = scan_report(one)["summary"].collect()
+    assert len(rows) == 3 and set(rows) == set(want) and want[0].js_blobs == 2
+
+
+def test_one_parse_of_a_page(spark):
+    df = pages(spark, "<script src=/a.js></script>")
+    resources = spark.createDataFrame([("https://h.example/a.js", 200, f"api_key='{KEY}'")], "url string, status int, body string")
+    plan = scan_report(df, resources)["summary"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<noscript") == 0 or plan.count("regexp_extract_all(html") <= 2  # both branches of the one condition
+
+
+def test_scripts_are_scanned_once_and_met_by_every_page(spark):
+    html = "<script src=/a.js></script><script src=/gone.js></script><script src=/a.js></script>"
+    resources = spark.createDataFrame([("https://h.example/a.js", 200, f"x\napi_key='{KEY}'"), ("https://h.example/gone.js", 404, "api_key"), ("https://h.example/none.js", 200, None)], "url string, status int, body string")
+    df = pages(spark, html, html, "")
+    found = scan_pages(df, resources).filter("detector = 'Generic API Key'").collect()
+    assert sorted((r.page_id, r.path, r.line, r.blob_ord) for r in found) == [(k, "https://h.example/a.js", 2, 0) for k in (1, 2)]
+    assert sorted((r.page_id, r.js_blobs) for r in scan_report(df, resources)["summary"].collect()) == [(1, 2), (2, 2), (3, 0)]
+    want = detect.keep_first(detect.raw_findings(detect.lines(B.blobs(df, resources))))
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, scan_pages(df, resources).select(*want.columns).collect()))
+
+
+@pytest.fixture(scope="module")
+def server():
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            where = self.path.partition("?")[0]
+            if where == "/moved":
+                self.send_response(302)
+                self.send_header("Location", "/page?new")
+                self.end_headers()
+                return
+            if where == "/slow.js":
+                time.sleep(3)
+            self.send_response(404 if where.startswith("/gone") else 200)
+            self.send_header("Server", "nginx/1.2")
+            self.end_headers()
+            self.wfile.write({"/page": b"<script src=/a.js></script><script src=slow.js></script><script src=gone.js></script>", "/a.js": self.headers["User-Agent"].encode()}.get(where, b"x"))
+
+        def log_message(self, *args):
+            pass
+
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_address[1]}"
+    s.shutdown()
+
+
+def test_pages_are_fetched(spark, server):
+    urls = spark.createDataFrame([(1, f"{server}/moved#top"), (2, f"{server}/gone"), (3, "http://127.0.0.1:1/"), (4, "no address"), (5, f"{server}/slow.js")], "page_id long, url string")
+    cfg = ScanConfig(timeout_s=1.5)
+    df, resources = load(spark, urls, cfg=cfg)
+    rows = df.collect()
+    assert [(r.page_id, r.url, r.headers["Server"][-1]) for r in rows] == [(1, f"{server}/page?new#top", "nginx/1.2")]
+    got = {r.url.removeprefix(server): (r.status, r.body) for r in resources.collect()}
+    assert got == {"/a.js": (200, cfg.user_agent), "/slow.js": (0, None), "/gone.js": (404, None)}
+    assert {r.path for r in B.blobs(df, resources).filter("source = 'external'").collect()} == {f"{server}/a.js"}
+    assert tech.fingerprint(df).collect()[0].technologies == ["Nginx"]
+
+
+def test_a_browser_session_has_a_time_for_each_script(spark, server):
+    scripts = spark.createDataFrame([(f"{server}/slow.js",), (f"{server}/a.js",)], "script_url string").withColumn("deadline", F.lit(0.0))
+    status = lambda cfg: {r.url.removeprefix(server): r.status for r in fetch_resources(scripts, cfg).collect()}
+    assert status(ScanConfig()) == {"/slow.js": 0, "/a.js": 0}
+    assert status(ScanConfig(headless=True, script_timeout_s=20)) == {"/slow.js": 200, "/a.js": 200}
+    assert status(ScanConfig(headless=True, script_timeout_s=1)) == {"/slow.js": 0, "/a.js": 200}
+
+
+def test_command(spark, tmp_path, capsys):
+    from glintscan.__main__ import main
+
+    pages(spark, f"<script>api_key='{KEY}'</script>", "plain").write.parquet(f"{tmp_path}/pages")
+    assert main([f"{tmp_path}/pages", "--plain", "--output", f"{tmp_path}/out"]) == 0
+    printed = capsys.readouterr().out
+    assert printed.count("Scanned: ") == 2 and "\nSECRET (2)\n" in printed
+    assert len(list((tmp_path / "out").glob("part-*"))) > 0
+    assert main([f"{tmp_path}/pages", "--json", "--quiet"]) == 0 and '"js_blobs": 1' in capsys.readouterr().out
+    assert main([f"{tmp_path}/no such table"]) == 1 and "Error" in capsys.readouterr().err
+    with pytest.raises(ValueError):
+        load(spark, spark.createDataFrame([(1, "x")], "page_id long, url string"), cfg=ScanConfig(headless=True))
+
+
+def test_stream_prints(spark, tmp_path):
+    df = pages(spark, f"<script>api_key='{KEY}'</script>")
+    df.write.parquet(f"{tmp_path}/in")
+    query = scan_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), print_sink(), f"{tmp_path}/c")
+    query.awaitTermination()  # the console is the JVM's own, which can't be captured
+    assert query.exception() is None and query.lastProgress["numInputRows"] == 1
