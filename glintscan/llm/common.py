@@ -6,7 +6,6 @@ import ctypes
 import gc
 import io
 import os
-import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glintscan.config import shared_folder
+
 #: Rows of one Arrow batch are handed to numpy in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
 #: A worker forgets its table of distinct words beyond this many, which bounds its memory.
@@ -167,19 +168,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset, a session in one process (as in tests) gets a folder of its own; on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return os.path.join(tempfile.gettempdir(), "checkpoints", "glintscan")
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or a longer one that no column of df has."""
     taken = {c.lower() for c in df.columns}
@@ -195,3 +183,36 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(col: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
+
+
+#: Bytes of all texts that a model is fitted on, which pass through the driver.
+MOST_BYTES = 64 << 20
+
+
+def fitting_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, group_col: str, extra: list[str]) -> list[tuple]:
+    """(id, *extra, text) of the chosen ids, in order of group and draw.
+
+    `chosen` holds the distinct rows (chosen_id, chosen_group, draw, *extra), of a number that its maker bounds. Repeated rows of an id
+    and group give their least text. Of the texts, group by group, those are taken that come first and have
+    MOST_BYTES / groups bytes together; none else reaches the driver.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("fit_id"), F.col(f"`{text_col}`").alias("fit_text"), (F.col(f"`{group_col}`") if group_col else F.lit(None)).alias("fit_group"))
+    same = (F.col("fit_id") == F.col("chosen_id")) & ((F.col("fit_group") == F.col("chosen_group")) if group_col else F.lit(True))
+    rows = rows.filter(F.col("fit_text").isNotNull()).join(F.broadcast(chosen), same)
+    once = checkpoint(rows.groupBy("chosen_group", "draw", "chosen_id", *extra).agg(F.min("fit_text").alias("chosen_text")))
+    sizes = once.select("chosen_group", "draw", "chosen_id", F.octet_length("chosen_text").alias("size")).orderBy("chosen_group", "draw", "chosen_id").collect()
+    groups = len({r["chosen_group"] for r in sizes})
+    total: dict = {}
+    taken = []
+    for r in sizes:
+        total[r["chosen_group"]] = total.get(r["chosen_group"], 0) + r["size"]
+        if total[r["chosen_group"]] <= MOST_BYTES // max(1, groups):
+            taken.append((r["chosen_group"], r["chosen_id"]))
+    keys = df_of(once, taken)
+    found = once.join(F.broadcast(keys), ["chosen_group", "chosen_id"], "left_semi").orderBy("chosen_group", "draw", "chosen_id")
+    return [(r["chosen_id"], *[r[c] for c in extra], r["chosen_text"]) for r in found.select("chosen_id", *extra, "chosen_text").toLocalIterator()]
+
+
+def df_of(like: DataFrame, keys: list[tuple]) -> DataFrame:
+    """The keys (chosen_group, chosen_id) as a table of the types that `like` has."""
+    return like.sparkSession.createDataFrame(keys, T.StructType([like.schema["chosen_group"], like.schema["chosen_id"]]))

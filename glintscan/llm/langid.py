@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm import common
-from glintscan.llm.common import Grown, Numbering, map_text, sums_by_row, worker_state
+from glintscan.llm.common import Grown, Numbering, fitting_texts, map_text, sums_by_row, worker_state
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -31,6 +31,8 @@ SHORT = 32
 #: Characters of a batch of long words; one word may have more.
 CELLS = 1 << 15
 UNKNOWN = "und"
+#: Documents that a model is fitted on at most.
+MOST_DOCUMENTS = 20_000
 
 
 def lattice(words: list[str], piece_ids: dict[str, int], longest: int, unknown: int) -> np.ndarray:
@@ -195,7 +197,8 @@ class LanguageModel:
 def train(counts: dict[str, Counter], pieces: list[str], rounds: int = 3) -> LanguageModel:
     """Learns piece probabilities from word counts by language. Languages are sorted; ties go to the first."""
     languages = sorted(counts)
-    pieces = [p for p in pieces if p == START or p.removeprefix(START).isalpha() and p == p.lower()]
+    # words are read in lower case, so that pieces which differ in case alone are one
+    pieces = list(dict.fromkeys(p.lower() for p in pieces if p == START or p.removeprefix(START).isalpha()))
     longest = max(map(len, pieces), default=1)
     piece_ids = {p: i for i, p in enumerate(pieces)}
     size = len(pieces)
@@ -234,24 +237,21 @@ def vocabulary(path: str) -> list[str]:
 
 
 def fit(docs: DataFrame, pieces: list[str], usable: Column, per_language: int = 250, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fits on at most `per_language` whole documents of each language: those of least xxhash64 of the id.
+    """Fits on at most `per_language` whole documents of each language, those of least xxhash64 of the id, and of at most
+    common.MOST_BYTES of text together; with over MOST_DOCUMENTS / `per_language` languages, on fewer of each.
 
-    Rows with a null language or text are never used. An empty table gives a model without languages.
+    Of an id that repeats with the same language the least text is used. Rows with a null id, language or text are never
+    used. An empty table gives a model without languages.
     """
-    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("draw"), F.col(text_col).alias("text"))
-    ranks = rows.select("lang", "draw").withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("draw"))).filter(F.col("n") <= per_language)
-    bounds = ranks.groupBy("lang").agg(F.max("draw").alias("most")).collect()  # a row for each language
-    chosen = None
-    for r in bounds:
-        c = (F.col("lang") == r["lang"]) & (F.col("draw") <= r["most"])
-        chosen = c if chosen is None else chosen | c
-    counts: dict[str, Counter] = {r["lang"]: Counter() for r in bounds}
-    left = {r["lang"]: per_language for r in bounds}
-    if chosen is not None:
-        for lang, text in rows.filter(chosen).select("lang", "text").toLocalIterator():
-            if left[lang] > 0:  # repeated ids share their draw
-                left[lang] -= 1
-                counts[lang].update(WORD.findall(text))
+    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    ids = rows.select(F.col(id_col).alias("chosen_id"), F.col(lang_col).alias("chosen_group"), F.xxhash64(F.col(id_col)).alias("draw")).distinct()
+    languages = ids.select(F.count_distinct("chosen_group")).collect()[0][0]
+    most = max(1, min(per_language, MOST_DOCUMENTS // max(1, languages)))
+    order = W.partitionBy("chosen_group").orderBy("draw", "chosen_id")
+    chosen = ids.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most).drop("nth").withColumn("lang", F.col("chosen_group"))
+    counts: dict[str, Counter] = {}
+    for _, lang, text in fitting_texts(rows, chosen, id_col, text_col, lang_col, ["lang"]):
+        counts.setdefault(lang, Counter()).update(WORD.findall(text))
     return train(counts, pieces)
 
 

@@ -107,6 +107,21 @@ class QualityModel:
         return self.forward(x, n)[-1] if len(n) else np.zeros(0)
 
 
+def gradients(model: QualityModel, x: np.ndarray, n: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Gradients of the weighted cross-entropy by the model's parameters, and the loss."""
+    _, _, att, gate, w, head, _ = model.params
+    starts = np.cumsum(n) - n
+    xs, h, t, s, a, z, p = model.forward(x, n)
+    g = (p - y) * share
+    g_zr = np.repeat(g[:, None] * head, n, axis=0)
+    g_a = (g_zr * h).sum(axis=1)
+    g_e = a * (g_a - np.repeat(np.add.reduceat(a * g_a, starts), n))
+    g_t, g_s = g_e[:, None] * w * s * (1 - t**2), g_e[:, None] * w * t * s * (1 - s)
+    g_h = (g_zr * a[:, None] + g_t @ att.T + g_s @ gate.T) * (1 - h**2)
+    loss = -float((share * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+    return [xs.T @ g_h, g_h.sum(axis=0), h.T @ g_t, h.T @ g_s, (t * s).T @ g_e, z.T @ g, np.array([g.sum()])], loss
+
+
 def train(texts: list[str], labels: list[int], hidden: int = 16, inner: int = 8, steps: int = 250, rate: float = 0.02, seed: int = 11) -> QualityModel:
     """Full-batch Adam. Without both classes the model scores every text 0.5."""
     rng = np.random.default_rng(seed)
@@ -122,20 +137,10 @@ def train(texts: list[str], labels: list[int], hidden: int = 16, inner: int = 8,
         made.append(passage_features(np.concatenate(numbers), np.array([len(v) for v in numbers], np.int64), token_features(seen.take_fresh())))
     x, n = (np.concatenate(c) for c in zip(*made, strict=True))
     model = QualityModel(x.mean(axis=0), x.std(axis=0) + 0.05, params)
-    starts = np.cumsum(n) - n
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for step in range(1, steps + 1):
-        enc, enc_b, att, gate, w, head, head_b = params
-        xs, h, t, s, a, z, p = model.forward(x, n)
-        g = (p - y) * share
-        g_z = g[:, None] * head
-        g_zr = np.repeat(g_z, n, axis=0)
-        g_a = (g_zr * h).sum(axis=1)
-        g_e = a * (g_a - np.repeat(np.add.reduceat(a * g_a, starts), n))
-        g_t, g_s = g_e[:, None] * w * s * (1 - t**2), g_e[:, None] * w * t * s * (1 - s)
-        g_h = (g_zr * a[:, None] + g_t @ att.T + g_s @ gate.T) * (1 - h**2)
-        grads = [xs.T @ g_h, g_h.sum(axis=0), h.T @ g_t, h.T @ g_s, (t * s).T @ g_e, z.T @ g, np.array([g.sum()])]
+        grads, _ = gradients(model, x, n, y, share)
         for p_, g_, (m, v) in zip(params, grads, moments, strict=True):
             g_ = g_ + 1e-4 * p_
             m += 0.1 * (g_ - m)
@@ -145,6 +150,7 @@ def train(texts: list[str], labels: list[int], hidden: int = 16, inner: int = 8,
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, per_class: tuple[int, int] = (1500, 1500)) -> QualityModel:
+    """Learns `labels.quality` from the documents of `toxicity.labelled_sample`. Without both classes, every text scores 0.5."""
     texts, y = labelled_sample(docs, labels, usable, "quality", per_class)
     return train(texts, y)
 

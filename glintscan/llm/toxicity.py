@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm import common
-from glintscan.llm.common import Grown, Numbering, map_text, worker_state
+from glintscan.llm.common import Grown, Numbering, fitting_texts, map_text, worker_state
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 18
@@ -89,8 +89,44 @@ class ToxicModel:
         return 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(logit, np.cumsum(n) - n), -60, 60)))
 
 
-def train(texts: list[str], labels: list[int], dim: int = 4, steps: int = 100, rate: float = 120.0, decay: float = 2e-6, warm: int = 12, seed: int = 7) -> ToxicModel:
-    """Full-batch gradient descent. Without both classes the model scores every text 0.5."""
+def gradients(params: list[np.ndarray], passage: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.ndarray, weight_of: np.ndarray, share: np.ndarray, truth: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Gradients of the weighted cross-entropy of passages with these labels, and the loss.
+
+    (passage, word) and (word, subword) pairs are sorted by their first numbers; every passage and word has one at least.
+    """
+    emb, out, bias = params
+    mean, words = means(emb, passage, word, owner, bucket, weight_of)
+    logits = GAIN * mean @ out + bias
+    p = sigmoid(logits[:, 1] - logits[:, 0])
+    g = (p - truth) * share
+    grad_logit = np.stack([-g, g], axis=1)
+    grad_mean = GAIN * grad_logit @ out.T * weight_of[:, None]
+    grad_emb = np.empty_like(emb)
+    for d in range(emb.shape[1]):
+        grad_word = np.bincount(word, grad_mean[passage, d], words)
+        grad_emb[:, d] = np.bincount(bucket, grad_word[owner], len(emb))
+    loss = -float((share * (truth * np.log(p) + (1 - truth) * np.log(1 - p))).sum())
+    return [grad_emb, GAIN * mean.T @ grad_logit, grad_logit.sum(axis=0)], loss
+
+
+def means(emb: np.ndarray, passage: np.ndarray, word: np.ndarray, owner: np.ndarray, bucket: np.ndarray, weight_of: np.ndarray) -> tuple[np.ndarray, int]:
+    """Mean vectors of passages, and the number of words."""
+    words = int(owner.max()) + 1 if len(owner) else 0
+    mean = np.empty((len(weight_of), emb.shape[1]))
+    for d in range(emb.shape[1]):
+        vec = np.bincount(owner, emb[bucket, d], words)
+        mean[:, d] = np.bincount(passage, vec[word], len(weight_of)) * weight_of
+    return mean, words
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def train(texts: list[str], labels: list[int], dim: int = 4, steps: int = 100, rate: float = 120.0, decay: float = 2e-6, warm: int = 12, again: int = 4, seed: int = 7) -> ToxicModel:
+    """Full-batch gradient descent over the buckets seen; all others weigh nothing. Without both classes the model scores every
+    text 0.5. After `warm` steps a document's most toxic passage speaks for it; it is chosen anew every `again` steps, and between
+    choices only the chosen passages are read."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicModel(np.zeros(BUCKETS), 0.0)
@@ -99,70 +135,61 @@ def train(texts: list[str], labels: list[int], dim: int = 4, steps: int = 100, r
     lengths = np.array([len(x) for x in numbers], np.int64)
     passage, word, n = bags(np.concatenate(numbers), lengths)
     del numbers
-    owner, bucket = subwords(seen.take_fresh())
+    owner, hashed = subwords(seen.take_fresh())
+    buckets, bucket = np.unique(hashed, return_inverse=True)
     words, total = len(seen), int(n.sum())
     passage, word, owner, bucket = (x.astype(np.int32) for x in (passage, word, owner, bucket))
     starts = np.cumsum(n) - n
     weight_of = 1 / np.maximum(np.bincount(passage, np.bincount(owner, minlength=words)[word], total), LEAST)
     share_of = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.02, (BUCKETS, dim))
+    emb = rng.normal(0, 0.02, (BUCKETS, dim))[buckets]
     out = rng.normal(0, 0.5, (dim, 2))
-    bias = np.zeros(2)
-    params = [emb, out, bias]
+    params = [emb, out, np.zeros(2)]
     pace = [np.zeros_like(p) for p in params]
+    now = passage, word, weight_of, np.repeat(share_of / n, n), np.repeat(y, n)  # every passage speaks for its document at first
+    edges = np.searchsorted(passage, np.arange(total + 1))
     for step in range(steps):
         ease = 0.5 + 0.5 * np.cos(np.pi * step / steps)
-        mean = np.empty((total, dim))
-        for d in range(dim):
-            vec = np.bincount(owner, emb[bucket, d], words)
-            mean[:, d] = np.bincount(passage, vec[word], total) * weight_of
-        logits = GAIN * mean @ out + bias
-        delta = logits[:, 1] - logits[:, 0]
-        if step < warm:  # every passage speaks for its document at first
-            pick, share, truth = np.arange(total), np.repeat(share_of / n, n), np.repeat(y, n)
-        else:  # then the most toxic one
+        if step >= warm and (step - warm) % again == 0:
+            mean, _ = means(params[0], passage, word, owner, bucket, weight_of)
+            logits = GAIN * mean @ params[1] + params[2]
+            delta = logits[:, 1] - logits[:, 0]
             hit = np.flatnonzero(delta >= np.repeat(np.maximum.reduceat(delta, starts), n))
-            first = np.unique(np.repeat(np.arange(len(n)), n)[hit], return_index=True)[1]
-            pick, share, truth = hit[first], share_of, y
-        p = 1 / (1 + np.exp(-np.clip(delta[pick], -60, 60)))
-        g = (p - truth) * share
-        grad_logit = np.stack([-g, g], axis=1)
-        grad_out = GAIN * mean[pick].T @ grad_logit
-        grad_mean = np.zeros_like(mean)
-        grad_mean[pick] = GAIN * grad_logit @ out.T
-        grad_mean *= weight_of[:, None]
-        grad_emb = np.empty_like(emb)
-        for d in range(dim):
-            grad_word = np.bincount(word, grad_mean[passage, d], words)
-            grad_emb[:, d] = np.bincount(bucket, grad_word[owner], BUCKETS)
-        for p_, g_, v, r in zip(params, (grad_emb + decay * emb, grad_out, grad_logit.sum(axis=0)), pace, (rate, 0.02, 0.3), strict=True):
+            pick = hit[np.unique(np.repeat(np.arange(len(n)), n)[hit], return_index=True)[1]]
+            size = (edges[pick + 1] - edges[pick]).astype(np.int64)
+            at = np.arange(int(size.sum())) + np.repeat(edges[pick] - (np.cumsum(size) - size), size)
+            now = np.repeat(np.arange(len(pick), dtype=np.int32), size), word[at], weight_of[pick], share_of, y
+        some, its_words, weights, share, truth = now
+        grads, _ = gradients(params, some, its_words, owner, bucket, weights, share, truth)
+        grads[0] += decay * params[0]
+        for p_, g_, v, r in zip(params, grads, pace, (rate, 0.02, 0.3), strict=True):
             v *= 0.9
             v -= r * ease * g_
             np.clip(v, -0.5, 0.5, out=v)  # a few documents alone must not make it diverge
             p_ += v
-    return ToxicModel((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    weight = np.zeros(BUCKETS, np.float32)
+    weight[buckets] = params[0] @ (params[1][:, 1] - params[1][:, 0])
+    return ToxicModel(weight, float(params[2][1] - params[2][0]))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable, label_col: str, per_class: tuple[int, int]) -> tuple[list[str], list[int]]:
-    """Whole texts and labels of at most per_class[y] documents of class y: those of least xxhash64 of the id.
+    """Whole texts and labels of at most per_class[y] documents of class y, those of least xxhash64 of the id, and of at most
+    common.MOST_BYTES together.
 
     The ids are chosen from `labels` alone and broadcast (so many rows at most). An id labelled more than
-    once has its greatest label; null ids, labels and texts are never used.
+    once has its greatest label, one with several texts the least of them; null ids, labels and texts are never used.
+    Empty tables give an empty sample.
     """
-    one = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).alias("y"))
+    one = labels.filter(usable & F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     drawn = [one.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in enumerate(per_class)]
-    chosen = drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("chosen_id"), "y")
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).select("chosen_id", "y", "text")
-    once: dict[int, tuple[str, int]] = {}
-    for i, y, text in rows.toLocalIterator():
-        if i not in once or text < once[i][0]:
-            once[i] = (text, int(y))
-    at = sorted(once)
-    return [once[i][0] for i in at], [once[i][1] for i in at]
+    chosen = drawn[0].unionByName(drawn[1]).select(F.col("doc_id").alias("chosen_id"), F.col("y").alias("chosen_group"), F.xxhash64("doc_id").alias("draw"), "y")
+    found = sorted(fitting_texts(docs, chosen, "doc_id", "text", "", ["y"]))
+    return [r[2] for r in found], [r[1] for r in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, per_class: tuple[int, int] = (2500, 1400)) -> ToxicModel:
+    """Learns `labels.toxic` from the documents of `labelled_sample`. Without both classes, every text scores 0.5."""
     texts, y = labelled_sample(docs, labels, usable, "toxic", per_class)
     return train(texts, y)
 
