@@ -56,9 +56,9 @@ def _get(url: str, cfg: ScanConfig, seconds: float) -> tuple[int, str, str | Non
 
 
 def fetch_pages(urls: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
-    """Pages (page_id, url, html, headers, deadline) of addresses (page_id, url); only status 200 gives a row.
+    """Pages (page_id, url, html, headers, seconds_left) of addresses (page_id, url); only status 200 gives a row.
 
-    deadline is the time, in seconds since 1970, until which the page's scripts may be fetched.
+    seconds_left is what the page left of timeout_s for its scripts.
     """
 
     def run(batches) -> Iterator:
@@ -70,16 +70,16 @@ def fetch_pages(urls: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
                 until = time.time() + cfg.timeout_s
                 status, final, body, headers = _get(url, cfg, cfg.timeout_s)
                 if status == 200:
-                    rows.append((page_id, final + ("#" + url.partition("#")[2] if "#" in url and "#" not in final else ""), body, headers, until))
-            yield pd.DataFrame(rows, columns=["page_id", "url", "html", "headers", "deadline"])
+                    rows.append((page_id, final + ("#" + url.partition("#")[2] if "#" in url and "#" not in final else ""), body, headers, until - time.time()))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "html", "headers", "seconds_left"])
 
-    return urls.select("page_id", "url").mapInPandas(run, T.StructType([*PAGE.fields, T.StructField("deadline", T.DoubleType())]))
+    return urls.select("page_id", "url").mapInPandas(run, T.StructType([*PAGE.fields, T.StructField("seconds_left", T.DoubleType())]))
 
 
 def fetch_resources(scripts: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataFrame:
     """Resources (url, status, body) of the distinct script_url of external scripts.
 
-    A script has the time that the last page's deadline leaves (a `deadline` column; else timeout_s), in a browser session
+    A script has the time that its pages left (the most of a `seconds_left` column; else timeout_s), in a browser session
     script_timeout_s of its own.
     """
 
@@ -88,13 +88,13 @@ def fetch_resources(scripts: DataFrame, cfg: ScanConfig = ScanConfig()) -> DataF
 
         for batch in batches:
             got = []
-            for url, until in zip(batch["script_url"].tolist(), batch["deadline"].tolist(), strict=True):
-                left = cfg.script_timeout_s if cfg.headless else cfg.timeout_s if until is None or until != until else until - time.time()
+            for url, left in zip(batch["script_url"].tolist(), batch["seconds_left"].tolist(), strict=True):
+                left = cfg.script_timeout_s if cfg.headless else cfg.timeout_s if left is None or left != left else left
                 got.append((url, *_get(url, cfg, left)))
             yield pd.DataFrame([(u, s, b) for u, s, _, b, _ in got], columns=["url", "status", "body"])
 
-    deadline = F.max("deadline") if "deadline" in scripts.columns else F.lit(None).cast("double")
-    return scripts.groupBy("script_url").agg(deadline.alias("deadline")).mapInPandas(run, RESOURCE)
+    left = F.max("seconds_left") if "seconds_left" in scripts.columns else F.lit(None).cast("double")
+    return scripts.groupBy("script_url").agg(left.alias("seconds_left")).mapInPandas(run, RESOURCE)
 
 
 def load(spark: SparkSession, source: str | DataFrame, resources: str | None = None, cfg: ScanConfig = ScanConfig(), form: str = "parquet") -> tuple[DataFrame, DataFrame | None]:
@@ -110,9 +110,9 @@ def load(spark: SparkSession, source: str | DataFrame, resources: str | None = N
     folder = f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}"
     fetch_pages(source, cfg).write.parquet(f"{folder}/pages")
     pages = spark.read.parquet(f"{folder}/pages")
-    scripts = external_scripts(pages, cfg).join(pages.select("page_id", "deadline"), "page_id")
+    scripts = external_scripts(pages, cfg).join(pages.select("page_id", "seconds_left"), "page_id")
     fetch_resources(scripts, cfg).write.parquet(f"{folder}/resources")
-    return pages.drop("deadline"), spark.read.parquet(f"{folder}/resources")
+    return pages.drop("seconds_left"), spark.read.parquet(f"{folder}/resources")
 
 
 def write_report(reports: dict[str, DataFrame], path: str, form: str = "json") -> None:
