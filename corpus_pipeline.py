@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over `documents`, each over all that its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next one's
-docs. All but the last return the columns of `documents`.
+docs. All but the last return the columns of `documents` that they were given, further ones and null ids among them. An empty
+table stays empty; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -12,18 +13,28 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glintscan.config import shared_folder
 from glintscan.llm import bpe, decontam, jaccard, langid, suffix_dedup
 from glintscan.llm.queries import PIECES, RANKS
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: a null text or one without a letter. The model learns from `lang` of its own input."""
+    """Puts the identified language in place of the declared one and drops documents that have none: a null text or one without a
+    letter.
+
+    The model learns from `lang` of its own input. Where no document has one, nothing can be identified: only texts without a
+    letter go, and `lang` stays null.
+    """
     model = langid.fit(docs, langid.vocabulary(PIECES), F.lit(True))
-    return langid.detect(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = langid.detect(docs, model).filter(F.col("lang_pred") != langid.UNKNOWN)
+    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of equal and similar texts."""
+    """Keeps one document of each class of equal and similar texts: the one of least id, null ids last (see `jaccard.keep_one`).
+    Of repeated rows one stays."""
     return jaccard.keep_one(docs)
 
 
@@ -72,10 +83,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what lies between them is written to the session's shared folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/glintscan'}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to documents. What lies between them is written to the session's shared folder: a stage's input goes
+    when its output is there, the last one's when the session ends."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path(folder))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if k:
+            files.delete(path(f"{folder}/{STAGES[k - 1][0]}"), True)
     return STAGES[-1][1](spark, docs, sf_dir)
