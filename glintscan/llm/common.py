@@ -54,10 +54,10 @@ def worker_state(key, build: Callable):
     return _WORKER[key]
 
 
-def release() -> None:
+def release(hold: bool = False) -> None:
     """At the end of a task: drops the tables it has grown and gives freed memory back to the machine. A reused worker would
-    otherwise hold on to its peak, also while it waits."""
-    for key, held in list(_WORKER.items()):
+    otherwise hold on to its peak, also while it waits. With `hold` the tables stay for the next task of the same kind."""
+    for key, held in [] if hold else list(_WORKER.items()):
         if hasattr(held, "reset"):
             held.reset()
         else:
@@ -119,12 +119,12 @@ def slices(batch: pa.RecordBatch, column: str | int) -> Iterator[pa.RecordBatch]
             yield batch.slice(a, b - a)
 
 
-def map_text(df: DataFrame, compute: Callable, fields: list[T.StructField], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def map_text(df: DataFrame, compute: Callable, fields: list[T.StructField], text_col: str = "text", keep: list[str] | None = None, hold: bool = False) -> DataFrame:
     """Appends computed columns to every row, without a shuffle.
 
     `compute()` runs once per task and returns a function from a list of texts (None for null) to a list
     of Arrow arrays, one for each field. `keep` names the input columns to pass on (default: all). An input
-    column whose name clashes with a computed one is replaced by it.
+    column whose name clashes with a computed one is replaced by it. `hold`: the worker keeps its table of words from task to task.
     """
     ship(df.sparkSession)
     new = {f.name.lower() for f in fields}
@@ -143,7 +143,7 @@ def map_text(df: DataFrame, compute: Callable, fields: list[T.StructField], text
             for part in slices(batch, hidden):
                 made = apply(part.column(hidden).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(kept)] + made, names=names)
-        release()
+        release(hold)
 
     return src.mapInArrow(run, schema)
 

@@ -295,4 +295,4 @@ def detect(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: li
 
         return apply
 
-    return map_text(df, compute, [T.StructField("lang_pred", T.StringType(), True), T.StructField("score", T.DoubleType(), True)], text_col, keep)
+    return map_text(df, compute, [T.StructField("lang_pred", T.StringType(), True), T.StructField("score", T.DoubleType(), True)], text_col, keep, hold=True)
