@@ -35,17 +35,46 @@ UNKNOWN = "und"
 MOST_DOCUMENTS = 20_000
 
 
-def lattice(words: list[str], piece_ids: dict[str, int], longest: int, unknown: int) -> np.ndarray:
+class Trie:
+    """The pieces as a trie in sorted arrays, which walks many strings at once. The root is node 0."""
+
+    def __init__(self, piece_ids: dict[str, int]):
+        self.piece_ids = piece_ids
+        steps: dict[int, int] = {}
+        ends = {0: -1}
+        for piece, p in piece_ids.items():
+            node = 0
+            for c in piece:
+                node = steps.setdefault(node << 21 | ord(c), len(steps) + 1)
+            ends[node] = p
+        self.steps = np.array(sorted(steps), np.int64)  # a node and the character after it
+        self.nodes = np.array([steps[k] for k in self.steps.tolist()], np.int64)
+        self.piece = np.array([ends.get(k, -1) for k in range(len(steps) + 1)], np.int32)
+
+    def walk(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes go on with that character, and those they lead to."""
+        if not len(self.steps):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        step = node << 21 | char
+        at = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+        live = np.flatnonzero(self.steps[at] == step)
+        return live, self.nodes[at[live]]
+
+
+def lattice(words: list[str], trie: Trie, longest: int, unknown: int) -> np.ndarray:
     """ids[w, start, length - 1]: the piece there, or -1. All words have the same length."""
-    size = len(words[0])
-    out = np.full((len(words), size, min(longest, size)), -1, np.int32)
-    get = piece_ids.get
-    for w, word in enumerate(words):
-        for a in range(size):
-            for b in range(a + 1, min(size, a + longest) + 1):
-                p = get(word[a:b])
-                if p is not None:
-                    out[w, a, b - a - 1] = p
+    n, size = len(words), len(words[0])
+    out = np.full((n, size, min(longest, size)), -1, np.int32)
+    # by their bytes, as numpy's own strings drop a NUL at the end; a lone surrogate is a character like any other
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.int64)
+    w, start = (x.ravel() for x in np.indices((n, size)))
+    node = np.zeros(n * size, np.int64)
+    for length in range(1, out.shape[2] + 1):
+        live, node = trie.walk(node, chars[w, start + length - 1])
+        w, start = w[live], start[live]
+        out[w, start, length - 1] = trie.piece[node]
+        inside = start + length < size
+        w, start, node = w[inside], start[inside], node[inside]
     out[:, :, 0][out[:, :, 0] < 0] = unknown
     return out
 
@@ -80,7 +109,9 @@ def expected(ids: np.ndarray, prob: np.ndarray, counts: np.ndarray, out: np.ndar
 
 def marked(word: str) -> str:
     """Lower-cased letters of a word behind the word-start mark; empty without a letter."""
-    word = "".join(c for c in word.lower() if c.isalpha())
+    word = word.lower()
+    if not word.isalpha():
+        word = "".join(c for c in word if c.isalpha())
     return word and START + word
 
 
@@ -175,23 +206,20 @@ class LanguageModel:
     longest: int
     stamp: str = field(default="")
 
-    def word_scores(self, piece_ids: dict[str, int], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def word_scores(self, trie: Trie, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word under each language, and whether it has a letter."""
-        scores, letters = np.zeros((len(words), len(self.languages))), np.zeros(len(words), bool)
-        places: dict[str, list[int]] = {}
-        for i, word in enumerate(words):
-            if lower := marked(word):
-                letters[i] = True
-                places.setdefault(lower, []).append(i)
-        for batch in batches(list(places)):
+        lower = [marked(word) for word in words]
+        distinct = {word: i for i, word in enumerate(dict.fromkeys(filter(None, lower)))}
+        table = np.zeros((len(distinct) + 1, len(self.languages)))  # the last row is for words without a letter
+        for batch in batches(list(distinct)):
             if len(batch[0]) > SHORT:
-                made = log_forward(batch, piece_ids, self.longest, len(self.pieces), self.prob)
+                made = log_forward(batch, trie.piece_ids, self.longest, len(self.pieces), self.prob)
             else:
-                ids = lattice(batch, piece_ids, self.longest, len(self.pieces))
+                ids = lattice(batch, trie, self.longest, len(self.pieces))
                 made = np.log(np.maximum(forward(ids, self.prob)[:, -1], 1e-300))
-            for word, row in zip(batch, made, strict=True):
-                scores[places[word]] = row
-        return scores, letters
+            table[[distinct[word] for word in batch]] = made
+        number = np.array([distinct.get(word, len(distinct)) for word in lower], np.int64)
+        return table[number], number < len(distinct)
 
 
 def train(counts: dict[str, Counter], pieces: list[str], rounds: int = 3) -> LanguageModel:
@@ -201,6 +229,7 @@ def train(counts: dict[str, Counter], pieces: list[str], rounds: int = 3) -> Lan
     pieces = list(dict.fromkeys(p.lower() for p in pieces if p == START or p.removeprefix(START).isalpha()))
     longest = max(map(len, pieces), default=1)
     piece_ids = {p: i for i, p in enumerate(pieces)}
+    trie = Trie(piece_ids)
     size = len(pieces)
     prob = np.full((size + 2, len(languages)), 1.0 / (size + 1))
     prob[-1] = 0
@@ -214,7 +243,7 @@ def train(counts: dict[str, Counter], pieces: list[str], rounds: int = 3) -> Lan
         if len(batch[0]) > SHORT:
             lattices.append((batch, endings(batch, 0, len(batch[-1]), piece_ids, longest, size)))
         else:
-            lattices.append((batch, lattice(batch, piece_ids, longest, size)))
+            lattices.append((batch, lattice(batch, trie, longest, size)))
     for _ in range(rounds):
         total = np.zeros((size + 1, len(languages)))
         for batch, ids in lattices:
@@ -264,9 +293,9 @@ def detect(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: li
 
     def compute():
         def build():
-            return {p: i for i, p in enumerate(model.pieces)}, [Numbering(), Grown(np.float64, max(1, len(model.languages))), Grown(bool)]
+            return Trie({p: i for i, p in enumerate(model.pieces)}), [Numbering(), Grown(np.float64, max(1, len(model.languages))), Grown(bool)]
 
-        piece_ids, table = worker_state(("langid", model.prob.tobytes()[:4096], tuple(model.languages)), build)
+        trie, table = worker_state(("langid", model.prob.tobytes()[:4096], tuple(model.languages)), build)
 
         def apply(texts):
             if not model.languages:
@@ -282,7 +311,7 @@ def detect(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: li
                     numbers.extend(map(seen.__getitem__, WORD.findall(text)))
                     lengths[k] = len(numbers) - before
             if seen.fresh:
-                s, has = model.word_scores(piece_ids, seen.take_fresh())
+                s, has = model.word_scores(trie, seen.take_fresh())
                 scores.extend(s)
                 letters.extend(has)
             number = np.array(numbers, np.int64)

@@ -27,8 +27,8 @@ def test_forward_sums_every_segmentation():
             return 1.0
         return sum(prob[ids.get(word[:n], len(pieces) if n == 1 else -1), k] * total(word[n:], k) for n in range(1, len(word) + 1))
 
-    words = ["abab", "bbba", "caba"]
-    alpha = langid.forward(langid.lattice(words, ids, 3, len(pieces)), prob)
+    words = ["abab", "bbba", "caba", "b𐐨ab"]
+    alpha = langid.forward(langid.lattice(words, langid.Trie(ids), 3, len(pieces)), prob)
     for w, word in enumerate(words):
         for k in (0, 1):
             assert abs(alpha[w, -1, k] - total(word, k)) < 1e-12
@@ -41,15 +41,15 @@ def test_long_words_and_long_pieces_are_summed_whole(monkeypatch):
     assert model.pieces == pieces
     ids = {p: i for i, p in enumerate(pieces)}
     words = ["abba" * 30, "b" * 33 + "?a", "abb" * 11, "ab" * 40, "ab"]
-    scores, _ = model.word_scores(ids, words)
+    scores, _ = model.word_scores(langid.Trie(ids), words)
     for word, row in zip(words, scores):
-        alpha = langid.forward(langid.lattice([langid.marked(word)], ids, model.longest, len(pieces)), model.prob)[0, -1]
+        alpha = langid.forward(langid.lattice([langid.marked(word)], langid.Trie(ids), model.longest, len(pieces)), model.prob)[0, -1]
         assert np.abs(row - np.log(alpha)).max() < 1e-9
     monkeypatch.setattr(langid, "CELLS", 50)  # one batch a word, several steps
-    assert np.abs(model.word_scores(ids, words)[0] - scores).max() < 1e-9
+    assert np.abs(model.word_scores(langid.Trie(ids), words)[0] - scores).max() < 1e-9
     monkeypatch.setattr(langid, "SHORT", 200)  # the short words' way of learning
     assert np.abs(langid.train(counts, pieces).prob - model.prob).max() < 1e-9
-    long = model.word_scores(ids, ["abba" * 5000])[0]
+    long = model.word_scores(langid.Trie(ids), ["abba" * 5000])[0]
     assert np.isfinite(long).all() and long[0, 0] > long[0, 1]
 
 
