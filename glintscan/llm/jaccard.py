@@ -1,9 +1,12 @@
-"""N-gram Jaccard self-join through MinHash banding at the depth to which an LSH forest would descend, with exact verification.
-
-Each distinct text has TREES keys, each of them the hash of `depth` minimum hashes over its word shingles. The depth is
-fixed before any data is read: from DEPTH it is shortened until a pair at the threshold is missed with a chance of at most
-1 - TARGET_RECALL. Texts that share a key are candidates, the same pairs as share a prefix of that length in a tree of a
-forest. Candidates are put into clusters (components over prefixes), a cluster into blocks, and each pair of
+"""N-gram Jaccard self-join through a MinHash LSH forest, with exact verification.
+
+Each distinct text has a label in each of TREES trees: DEPTH minimum hashes over its word shingles. The labels of all trees are
+sorted over Spark by ranges, so that each tree lies in the order of its prefix trie and a range may end anywhere, also
+within a crowded prefix. One pass over each range keeps the path of the trie that leads to the current label. A text
+is linked to the first text below the deepest node that both share, so by its longest matched prefix; that text is linked by its own, shorter
+one, and so on upwards. Prefixes are shortened no further than the target recall asks: `matched_depth` is the longest at which a pair at the threshold
+is missed with a chance of at most 1 - TARGET_RECALL. Texts that share a prefix of that length in some tree are candidates. They are put into
+clusters (components over the forest's edges), a cluster into blocks, and each pair of
 blocks is verified in one task from the texts' whole shingle sets: only sums of links and one edge for
 each text leave it, never the pairs.
 """
@@ -27,6 +30,8 @@ from glintscan.llm.components import components
 WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 27, 8, 0.999999
+#: Bytes of a minimum hash in a label; equal ones may come from different hashes, which only adds candidates.
+LEVEL = 2
 #: Texts of a block; a task holds two blocks.
 BLOCK = 256
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -76,22 +81,19 @@ def shingles(words: np.ndarray, lengths: np.ndarray, n: int = SHINGLE) -> tuple[
     return mix(out), counts
 
 
-def prefixes(sh: np.ndarray, counts: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One key for each tree: the hash of the first `depth` minimum hashes. Texts without shingles must not be given."""
+def signatures(sh: np.ndarray, counts: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """The labels of each text, tree after tree: `depth` minimum hashes of LEVEL bytes. Texts without shingles must not be given."""
     rng = np.random.default_rng(20)
     odd = rng.integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     starts = np.cumsum(counts) - counts
-    keys = np.empty((len(counts), trees), np.uint64)
-    for t in range(trees):
-        key = np.full(len(counts), t + 1, np.uint64)
-        for d in range(depth):
-            key = mix(key * STEP + np.minimum.reduceat(sh * odd[t * depth + d], starts))
-        keys[:, t] = key
-    return keys
+    out = np.empty((len(counts), trees * depth), f">u{LEVEL}")
+    for k in range(trees * depth):
+        out[:, k] = mix(np.minimum.reduceat(sh * odd[k], starts)) >> np.uint64(64 - 8 * LEVEL)
+    return out.view(np.uint8)
 
 
-def with_prefixes(df: DataFrame, trees: int, depth: int, n: int, text_col: str, keep: list[str]) -> DataFrame:
-    """Appends `prefixes array<long>`; empty for texts without a word."""
+def with_labels(df: DataFrame, trees: int, depth: int, n: int, text_col: str, keep: list[str]) -> DataFrame:
+    """Appends `labels binary`; null for texts without a word."""
 
     def compute():
         table = worker_state("jaccard words", lambda: [Numbering(), Grown(np.uint64)])
@@ -100,13 +102,64 @@ def with_prefixes(df: DataFrame, trees: int, depth: int, n: int, text_col: str,
             words, lengths = word_numbers(texts, table)
             sh, counts = shingles(words, lengths, n)
             full = np.flatnonzero(counts)
-            keys = prefixes(sh, counts[full], trees, depth) if len(full) else np.zeros((0, trees), np.uint64)
-            offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, trees, 0))]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))]
+            out: list[bytes | None] = [None] * len(texts)
+            if len(full):
+                for k, row in zip(full.tolist(), signatures(sh, counts[full], trees, depth), strict=True):
+                    out[k] = row.tobytes()
+            return [pa.array(out, pa.binary())]
 
         return apply
 
-    return map_text(df, compute, [T.StructField("prefixes", T.ArrayType(T.LongType(), True), True)], text_col, keep)
+    return map_text(df, compute, [T.StructField("labels", T.BinaryType(), True)], text_col, keep)
+
+
+def walk(batches: Iterator[pa.RecordBatch], depth: int, shortest: int) -> Iterator[pa.RecordBatch]:
+    """Edges of the tries whose sorted (path, key) rows are given; a path is a byte for the tree and the label.
+
+    Rows (a, b, root): a's longest prefix shared with the row before it leads to a node of the trie, below which b comes first; prefixes
+    under `shortest` levels make no edge, and root is null. Two more rows, (first key, null, root) and (last key,
+    null, root), tell which prefixes of `shortest` levels may go on in a neighbouring range.
+    """
+    levels = np.arange(shortest, depth + 1)
+    names = ["a", "b", "root"]
+    last: tuple[np.ndarray, bytes] | None = None
+    heads: list[bytes] = [b""] * len(levels)  # the first text below each node of the current path
+    for batch in batches:
+        m = batch.num_rows
+        if m == 0:
+            continue
+        keys = batch.column(1).to_pylist()
+        paths = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(m, 1 + depth * LEVEL)
+        before = np.concatenate([paths[:1] if last is None else last[0][None, :], paths[:-1]])
+        same = np.cumprod(before == paths, axis=1).sum(axis=1)
+        shared = (same - 1) // LEVEL  # levels in common with the row before; -1 in another tree
+        if last is None:
+            shared[0] = -1
+            yield pa.RecordBatch.from_arrays([pa.array([keys[0]], pa.binary()), pa.array([None], pa.binary()), pa.array([paths[0, : 1 + shortest * LEVEL].tobytes()], pa.binary())], names=names)
+        first = np.maximum.accumulate(np.where(shared[None, :] < levels[:, None], np.arange(m), -1), axis=1)
+        met = np.flatnonzero(shared >= shortest)
+        at = first[shared[met] - shortest, met].tolist()
+        to = [keys[f] if f >= 0 else heads[d] for f, d in zip(at, (shared[met] - shortest).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in met.tolist()], pa.binary()), pa.array(to, pa.binary()), pa.nulls(len(met), pa.binary())], names=names)
+        heads = [keys[f] if f >= 0 else h for f, h in zip(first[:, -1].tolist(), heads, strict=True)]
+        last = paths[-1].copy(), keys[-1]
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last[1]], pa.binary()), pa.array([None], pa.binary()), pa.array([last[0][: 1 + shortest * LEVEL].tobytes()], pa.binary())], names=names)
+
+
+def forest(labels: DataFrame, trees: int, depth: int, shortest: int) -> DataFrame:
+    """Edges (a, b) between the keys of rows (key, labels) that share a prefix of at least `shortest` levels in some tree.
+
+    Not all such pairs are edges, but all are connected by edges of one tree. The ends of ranges, two for each range, are put together by prefix.
+    """
+    width = depth * LEVEL
+    path = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substr(F.col("labels"), t * width + 1, F.lit(width)))))
+    paths = labels.filter(F.col("labels").isNotNull()).select(path.alias("path"), "key")
+    ranges = paths.repartitionByRange("path", "key").sortWithinPartitions("path", "key")
+    walked = checkpoint(ranges.mapInArrow(lambda batches: walk(batches, depth, shortest), "a binary, b binary, root binary"))
+    ends = walked.filter(F.col("root").isNotNull()).select("root", "a")
+    met = ends.join(ends.groupBy("root").agg(F.min("a").alias("b")), "root").select("a", "b")
+    return walked.filter(F.col("root").isNull()).select("a", "b").unionByName(met).distinct()
 
 
 def with_shingles(df: DataFrame, n: int, text_col: str, keep: list[str]) -> DataFrame:
@@ -156,6 +209,15 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out + np.rint(total).astype(np.int64)
 
 
+def matched(labels: list[bytes], depth: int) -> np.ndarray:
+    """A number for each text and tree that is equal where the first `depth` levels of the labels are."""
+    levels = np.frombuffer(b"".join(labels), np.dtype(f"u{LEVEL}")).reshape(len(labels), TREES, DEPTH)
+    out = np.zeros((len(labels), TREES), np.uint64)
+    for d in range(depth):
+        out = mix(out * STEP + levels[:, :, d])
+    return out
+
+
 def verify(keys: list[bytes], left: np.ndarray, sets: list[np.ndarray], prefix: np.ndarray, threshold: float, across: bool) -> list[tuple[bytes, int, bytes]]:
     """(key, links, least key that its links lead to) of each text of a pair of blocks; `left` marks the first block.
 
@@ -215,27 +277,25 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, text_c
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = F.unhex(F.md5(text.cast("binary"))).alias("key")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), key)
-    signed = with_prefixes(docs.select(F.col(f"`{id_col}`").alias("id"), key, text.alias("text")), TREES, depth, n, "text", ["id", "key"])
-    classes = checkpoint(signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("prefixes").alias("prefixes")))
+    signed = with_labels(docs.select(F.col(f"`{id_col}`").alias("id"), key, text.alias("text")), TREES, DEPTH, n, "text", ["id", "key"])
+    classes = checkpoint(signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("labels").alias("labels")))
 
-    nodes = classes.select("key", F.explode("prefixes").alias("prefix"))
-    shared = nodes.groupBy("prefix").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter(F.col("least") != F.col("most"))
-    edges = nodes.join(shared.select("prefix", "least"), "prefix").select(F.col("key").alias("a"), F.col("least").alias("b")).distinct()
+    edges = forest(classes.select("key", "labels"), TREES, DEPTH, depth)
     members = components(edges)
     clusters = members.select(F.col("a").alias("key"), F.col("b").alias("cluster")).unionByName(members.select(F.col("b").alias("key"), F.col("b").alias("cluster")).distinct())
     sizes = members.groupBy(F.col("b").alias("cluster")).agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
     found = docs.select(key, text.alias("text")).join(placed, "key").groupBy("key").agg(F.first("text").alias("text"), F.first("cluster").alias("cluster"), F.first("block").alias("block"), F.first("blocks").alias("blocks"))
-    sets = with_shingles(found, n, "text", ["key", "cluster", "block", "blocks"]).join(classes.select("key", "prefixes"), "key")
+    sets = with_shingles(found, n, "text", ["key", "cluster", "block", "blocks"]).join(classes.select("key", "labels"), "key")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high"))))
-    dealt = sets.select("cluster", "key", "block", "shingles", "prefixes", pair.alias("pair")).select("cluster", "pair.low", "pair.high", "key", "block", "shingles", "prefixes")
+    dealt = sets.select("cluster", "key", "block", "shingles", "labels", pair.alias("pair")).select("cluster", "pair.low", "pair.high", "key", "block", "shingles", "labels")
     dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
 
     def check(batches):
         for group in runs(batches, 3):
             if len(group) > 1:
-                made = verify([r[3] for r in group], np.array([r[4] == r[1] for r in group]), [np.frombuffer(r[5], np.uint64) for r in group], np.array([r[6] for r in group], np.int64), threshold, group[0][1] != group[0][2])
+                made = verify([r[3] for r in group], np.array([r[4] == r[1] for r in group]), [np.frombuffer(r[5], np.uint64) for r in group], matched([r[6] for r in group], depth), threshold, group[0][1] != group[0][2])
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.binary()), pa.array([r[1] for r in made], pa.int64()), pa.array([r[2] for r in made], pa.binary())], names=["key", "links", "root"])
 
