@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from glintscan.config import shared_folder
 
 #: Rows of one Arrow batch are handed to numpy in slices of about this many text bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A worker forgets its table of distinct words beyond this many, which bounds its memory.
 TABLE_LIMIT = 250_000
 

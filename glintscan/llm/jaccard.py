@@ -255,11 +255,12 @@ def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]
     """Rows of a sorted partition, gathered by their first `width` columns; one group is held at a time."""
     group: list[tuple] = []
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if group and row[:width] != group[0][:width]:
-                yield group
-                group = []
-            group.append(row)
+        for k in range(0, batch.num_rows, BLOCK):
+            for row in zip(*[c.to_pylist() for c in batch.slice(k, BLOCK).columns], strict=True):
+                if group and row[:width] != group[0][:width]:
+                    yield group
+                    group = []
+                group.append(row)
     if group:
         yield group
 
