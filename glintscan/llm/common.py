@@ -70,6 +70,16 @@ def release() -> None:
         pass
 
 
+def releasing(run: Callable) -> Callable:
+    """The worker function `run`, with a `release` once all that it held is gone: its own variables are still alive at its end."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 class Numbering(dict):
     """Numbers distinct strings from 0 in order of their first sight; `fresh` holds those not yet processed."""
 
@@ -143,9 +153,8 @@ def map_text(df: DataFrame, compute: Callable, fields: list[T.StructField], text
             for part in slices(batch, hidden):
                 made = apply(part.column(hidden).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(kept)] + made, names=names)
-        release()
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(releasing(run), schema)
 
 
 def sums_by_row(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -15,6 +15,9 @@
    whose first 50 bytes are equal belong together; the least document of such a run decides for all its members.
 4. The starts found go back to their texts, which drop the bytes that they cover.
 
+Answers of a bucket are packed, a row for each slot: a range of the texts' keys. A row for each text would make texts times
+buckets, and both grow with the corpus. A slot then puts its rows together, one for each text.
+
 The text is shuffled once; the passes over it read the same exchange. A bucket holds at most one entry for each task and
 anchor (or segment), whatever the number of copies, and at most HOT_TEXTS different segments of an anchor. Which anchors have
 more is told by a bit for each hash, in a set of bounded size: two anchors may share a bit, which only sends the other
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintscan.llm.common import checkpoint, release, ship
+from glintscan.llm.common import checkpoint, release, releasing, ship
 
 LENGTH = 50
 #: In place of its anchor: a string of a hot anchor, which meets none but its equals.
@@ -45,10 +48,12 @@ PORTION = 1 << 19
 #: Bytes of text whose anchors a task of the first pass holds at a time.
 FLUSH = 48 << 20
 #: A bucket is worked off in so many parts in the first and in the second pass, which bounds memory; its answers go out together, a row
-#: for each text.
-PARTS = (12, 6)
+#: for each slot.
+PARTS = (6, 6)
 #: A bucket serves so much text in the first and in the second pass: what it holds is bounded whatever the size of all.
-BUCKET_BYTES = (200 << 20, 50 << 20)
+BUCKET_BYTES = (100 << 20, 50 << 20)
+#: Bytes of text that a slot of answers stands for.
+SLOT_BYTES = 32 << 20
 #: Rows of a text beyond which its copies are answered where they are read: at least so many, and at least such a share of all.
 MANY, SHARE = 1000, 10_000
 U = np.uint64
@@ -225,9 +230,10 @@ BLOBS = "abcdefgh"
 SENT = [("bucket", pa.int32()), ("part", pa.int32()), ("uid", pa.binary()), *[(c, pa.binary()) for c in BLOBS]]
 SENT_DDL = "bucket int, part int, uid binary, " + ", ".join(f"{c} binary" for c in BLOBS)
 CODEC = pa.Codec("zstd", compression_level=3)
-#: Answers: for a text (uid) what was got, or (uid null) the bits of the hot anchors of a part of a bucket.
-BACK = [("uid", pa.binary()), ("got", pa.binary()), ("slot", pa.int32())]
-BACK_DDL = "uid binary, got binary, slot int"
+#: Answers: for the texts of a slot (uid, their keys) what was got, `n` rows of values each, or (uid null) the bits of the hot anchors of
+#: a part of a bucket.
+BACK = [("slot", pa.int32()), ("uid", pa.binary()), ("n", pa.binary()), ("got", pa.binary())]
+BACK_DDL = "slot int, uid binary, n binary, got binary"
 
 
 def uid_array(uids) -> np.ndarray:
@@ -250,15 +256,27 @@ def expand(blob: bytes) -> bytes:
     return CODEC.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
-def by_uid(uid: np.ndarray, values: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """(uid, its rows of int32 values) for answers."""
-    if not len(uid):
-        return []
-    order = np.lexsort((uid[:, 1], uid[:, 0]))
-    uid, values = uid[order], np.ascontiguousarray(values[order].astype(np.int32))
-    cut = np.flatnonzero(np.concatenate([[True], (uid[1:] != uid[:-1]).any(axis=1)]))
-    ends = np.append(cut[1:], len(uid))
-    return [(u.tobytes(), values[a:b].tobytes()) for u, a, b in zip(uid[cut], cut.tolist(), ends.tolist(), strict=True)]
+def by_uid(uid: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct uids in order, at which row each begins (and the end), and the rows of int32 values in that order."""
+    u = np.ascontiguousarray(uid).view(U)
+    order = np.lexsort((u[:, 1], u[:, 0]))
+    u = u[order]
+    head = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]).any(axis=1)])) if len(u) else np.zeros(0, np.int64)
+    return u[head], np.append(head, len(u)), np.ascontiguousarray(values[order].astype(np.int32))
+
+
+def by_slot(uid: np.ndarray, values: np.ndarray, slots: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """(slot, its uids, the number of rows of each, the rows) for answers."""
+    lead, begin, values = by_uid(uid, values)
+    edges = np.searchsorted((lead[:, 0] >> U(32)) * U(slots) >> U(32), np.arange(slots + 1)).tolist()
+    n = np.diff(begin).astype(np.uint32)
+    return [(i, lead[a:b].tobytes(), squeeze(n[a:b]), squeeze(values[begin[a] : begin[b]])) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+
+
+def from_slots(rows: list[tuple[bytes, bytes, bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(uid, values) of rows (uids, number of rows of each, rows)."""
+    n = np.frombuffer(b"".join(expand(k) for _, k, _ in rows), np.uint32)
+    return np.repeat(uid_array(u for u, _, _ in rows), n, axis=0), np.frombuffer(b"".join(expand(v) for _, _, v in rows), np.int32).reshape(-1, width)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -337,7 +355,7 @@ def with_parted(data: np.ndarray, found, hot: HotAnchors):
     return [x[order] for x in both]
 
 
-def first_pass(buckets: int, gram: int, hot: HotAnchors | None = None):
+def first_pass(buckets: int, gram: int, slots: int, hot: HotAnchors | None = None):
     """From rows (key, text): what each FLUSH bytes of a task's texts know of their anchors, as rows for the buckets and (uid set)
     the shared ones found at once. With `hot`, of the strings of these anchors instead."""
 
@@ -352,6 +370,7 @@ def first_pass(buckets: int, gram: int, hot: HotAnchors | None = None):
             docs.append((doc + first).astype(np.int32))
             places.append((low - starts[doc]).astype(np.int32))
         key, doc, place = (np.concatenate(x) for x in (keys, docs, places))
+        del texts, keys, docs, places
         order = np.argsort(key, kind="stable")  # documents stay in order
         k, d = key[order], doc[order]
         head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -361,12 +380,14 @@ def first_pass(buckets: int, gram: int, hot: HotAnchors | None = None):
             fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]).astype(np.int64)
             texts_of = np.add.reduceat(fresh, head)
             several = texts_of > 1
+            del fresh
             many = np.repeat(several, np.diff(np.append(head, len(k))))
             known, known_texts = k[head[several]], texts_of[several].astype(np.uint32)
         shared = np.zeros(len(key), bool)
         shared[order[many]] = True
-        for u, got in by_uid(uid[doc[shared]], place[shared][:, None]):
-            yield sent(int.from_bytes(u[:6], "little") % buckets, PARTS[0], u, got)
+        del order, k, d, many
+        for slot, *answer in by_slot(uid[doc[shared]], place[shared][:, None], slots):
+            yield sent(slot * buckets // slots, PARTS[0], *answer)
         key, doc, place = key[~shared], doc[~shared], place[~shared]
         b, kb = bucket_of(key, buckets), bucket_of(known, buckets)
         order, by_known = np.argsort(b, kind="stable"), np.argsort(kb, kind="stable")
@@ -380,6 +401,11 @@ def first_pass(buckets: int, gram: int, hot: HotAnchors | None = None):
                 low, high = low_bits(key[mine])
                 yield sent(i, PARTS[0], None, low, high, uid[doc[mine][runs]], squeeze(counts), squeeze(np.diff(place[mine], prepend=np.int32(0)).astype(np.int32)), *low_bits(known[own]), squeeze(known_texts[own]))
 
+    def flushed(held: dict[bytes, bytes]):
+        texts, uid = list(held.values()), uid_array(held)
+        held.clear()
+        return anchors(texts, uid)
+
     def run(batches):
         held: dict[bytes, bytes] = {}  # copies within the task are taken once
         size = 0
@@ -389,14 +415,12 @@ def first_pass(buckets: int, gram: int, hot: HotAnchors | None = None):
                     held[key] = text
                     size += len(text)
             if size > FLUSH:
-                yield from anchors(list(held.values()), uid_array(held))
-                held, size = {}, 0
+                yield from flushed(held)
+                size = 0
         if held:
-            yield from anchors(list(held.values()), uid_array(held))
-        del held
-        release()
+            yield from flushed(held)
 
-    return run
+    return releasing(run)
 
 
 def low_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -420,12 +444,11 @@ def by_part(table: pa.Table):
 
 def own_answers(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(uid, values) that tasks had found themselves."""
-    rows = table.filter(table.column("uid").is_valid()).select(["uid", "a"])
-    lists = rows.column("a").to_pylist()
-    return np.repeat(uid_array(rows.column("uid").to_pylist()), [len(x) // (4 * width) for x in lists], axis=0), np.frombuffer(b"".join(lists), np.int32).reshape(-1, width)
+    rows = table.filter(table.column("uid").is_valid())
+    return from_slots(list(zip(*(rows.column(c).to_pylist() for c in ("uid", "a", "b")), strict=True)), width)
 
 
-def first_answer(hot: HotAnchors):
+def first_answer(hot: HotAnchors, slots: int):
     """Of one bucket: the places of anchors that more than one task has sent or that a task knows to be shared, and which
     anchors are hot."""
 
@@ -458,16 +481,16 @@ def first_answer(hot: HotAnchors):
             found.append((uid[hit], place[hit][:, None]))
             full = np.add.reduceat(texts_of[order].astype(np.int64), head) > HOT_TEXTS
             if full.any():
-                marks.append((None, hot.marks(k[head[full]]), bucket * PARTS[0] + part))
+                marks.append((bucket * PARTS[0] + part, None, None, hot.marks(k[head[full]])))
         uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
         del found
         release()
-        return pa.Table.from_batches([packed([(u, got, None) for u, got in by_uid(uid, values)] + marks, BACK)])
+        return pa.Table.from_batches([packed(by_slot(uid, values, slots) + marks, BACK)])
 
     return run
 
 
-def second_pass(buckets: int, at: dict[str, int], gram: int, hot: HotAnchors):
+def second_pass(buckets: int, at: dict[str, int], gram: int, slots: int, hot: HotAnchors):
     """Distinct segments of shared anchors for the buckets; starts that the task itself finds covered (uid set).
 
     Copies within the task are told by 128-bit hashes; buckets compare the bytes.
@@ -484,7 +507,7 @@ def second_pass(buckets: int, at: dict[str, int], gram: int, hot: HotAnchors):
             got = batch.column(at["got"]).to_pylist()
             for first, data, starts, sizes in chunks(texts):
                 doc, low, high, anchor, key = with_parted(data, segments(data, starts, sizes, gram), hot)
-                lists = [b"".join(got[first + j] or []) for j in range(len(sizes))]
+                lists = [got[first + j] or b"" for j in range(len(sizes))]
                 codes = np.frombuffer(b"".join(lists), np.int32) + np.repeat(starts, [len(x) // 4 for x in lists])
                 wanted = np.zeros(len(data) + 1, bool)
                 wanted[codes] = True
@@ -507,8 +530,8 @@ def second_pass(buckets: int, at: dict[str, int], gram: int, hot: HotAnchors):
         least = did[lead]
         own = did[order] == least[group]
         late = order[~own]
-        for u, got in by_uid(uid[late], np.stack([place[late], place[late] + n[late]], axis=1)):
-            yield sent(int.from_bytes(u[:6], "little") % buckets, PARTS[1], u, got)
+        for slot, *answer in by_slot(uid[late], np.stack([place[late], place[late] + n[late]], axis=1), slots):
+            yield sent(slot * buckets // slots, PARTS[1], *answer)
         kept, group = order[own], group[own]  # occurrences in the least document, segment by segment
         counts = np.bincount(group, minlength=len(lead))
         begin = np.cumsum(counts) - counts
@@ -525,13 +548,11 @@ def second_pass(buckets: int, at: dict[str, int], gram: int, hot: HotAnchors):
             c = counts[mine]
             places = kept[np.repeat(begin[mine] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
             yield sent(i, PARTS[1], None, squeeze(b"".join(pieces)), squeeze(np.stack([n[lead[mine]] + LENGTH - 1, anchor[lead[mine]]]).astype(np.uint8)), squeeze(least[mine]), squeeze(c.astype(np.uint32)), uid[places], squeeze(place[places].astype(np.int32)))
-        del whole, h0, h1, did, uid, place, n, where, key, anchor, order, group, kept
-        release()
 
-    return run
+    return releasing(run)
 
 
-def second_answer(gram: int):
+def second_answer(gram: int, slots: int):
     """Of one bucket: (uid, runs of starts that an earlier document has as well)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -540,11 +561,23 @@ def second_answer(gram: int):
         uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
         del found
         release()
-        return pa.Table.from_batches([packed([(u, got, None) for u, got in by_uid(uid, values)], BACK)])
+        return pa.Table.from_batches([packed(by_slot(uid, values, slots), BACK)])
 
     return run
 
 
+def by_text(answers: DataFrame, width: int) -> DataFrame:
+    """Rows (uid, got), one for each text, of the answers of all buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lead, begin, values = by_uid(*from_slots(list(zip(*(table.column(c).to_pylist() for c in ("uid", "n", "got")), strict=True)), width))
+        edges = (begin * (4 * width)).tolist()
+        whole = values.tobytes()
+        return pa.table({"uid": pa.array([u.tobytes() for u in lead], pa.binary()), "got": pa.array([whole[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
+
+    return answers.groupBy("slot").applyInArrow(run, "uid binary, got binary")
+
+
 def covered(rows, gram: int) -> tuple[np.ndarray, np.ndarray]:
     merged: dict[bytes, int] = {}
     keys: list[int] = []
@@ -655,21 +688,21 @@ ARROW_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def repeated_places(docs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Rows (uid, got) with runs of covered starts, several a text. `docs` are rows (key, text) as they lie, `texts` the distinct
+    """Rows (uid, got) with the runs of covered starts of each text that has any. `docs` are rows (key, text) as they lie, `texts` the distinct
     ones (key, id, text), of so many bytes."""
     gram = gram_size(size)
     first, second = (n * max(2, -(-size // b)) for n, b in zip(PARTS, BUCKET_BYTES, strict=True))  # parts of buckets
+    slots = max(2, -(-size // SLOT_BYTES))
     hot = HotAnchors(first)
-    shared = checkpoint(docs.mapInArrow(first_pass(first, gram), SENT_DDL).groupBy("bucket").applyInArrow(first_answer(hot), BACK_DDL))
+    shared = checkpoint(docs.mapInArrow(first_pass(first, gram, slots), SENT_DDL).groupBy("bucket").applyInArrow(first_answer(hot, slots), BACK_DDL))
     for r in shared.filter(F.col("uid").isNull()).select("slot", "got").toLocalIterator():  # HOT_BITS[1] bits at most
         hot.add(r["slot"], bytes(r["got"]))
-    shared = shared.filter(F.col("uid").isNotNull())
     if hot.bits is not None:
-        alone = docs.mapInArrow(first_pass(first, gram, hot), SENT_DDL).groupBy("bucket").applyInArrow(first_answer(HotAnchors(first)), BACK_DDL)
-        shared = shared.unionByName(alone.filter(F.col("uid").isNotNull()))
-    shared = shared.groupBy("uid").agg(F.collect_list("got").alias("got"))
+        shared = shared.unionByName(docs.mapInArrow(first_pass(first, gram, slots, hot), SENT_DDL).groupBy("bucket").applyInArrow(first_answer(HotAnchors(first), slots), BACK_DDL))
+    shared = by_text(shared.filter(F.col("uid").isNotNull()), 1)
     asked = texts.join(shared, F.col("key") == F.col("uid")).select("key", "id", "text", "got")
-    return asked.mapInArrow(second_pass(second, {"key": 0, "id": 1, "text": 2, "got": 3}, gram, hot), SENT_DDL).groupBy("bucket").applyInArrow(second_answer(gram), BACK_DDL).select("uid", "got")
+    found = asked.mapInArrow(second_pass(second, {"key": 0, "id": 1, "text": 2, "got": 3}, gram, slots, hot), SENT_DDL).groupBy("bucket").applyInArrow(second_answer(gram, slots), BACK_DDL)
+    return by_text(found, 2)
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -697,12 +730,12 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     docs = base.filter(~far)
     texts = docs.groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    found = repeated_places(docs.select("key", "text"), texts, size["bytes"]).groupBy("uid").agg(F.collect_list("got").alias("got"))
+    found = repeated_places(docs.select("key", "text"), texts, size["bytes"])
     columns = ["id", "no_text", *[f"own_{i}" for i, c in enumerate(keep) if c != text_col]]
     rows = docs.select(F.col("key").alias("row_key"), *columns)
     near = texts.select("key", F.col("id").alias("least"), "text").join(found, F.col("key") == F.col("uid"), "left").join(rows, F.col("key") == F.col("row_key"))
     near = near.select("text", "got", "least", *columns)
-    copied = base.filter(far).select("text", F.lit(None).cast("array<binary>").alias("got"), F.col("many_least").alias("least"), *columns)
+    copied = base.filter(far).select("text", F.lit(None).cast("binary").alias("got"), F.col("many_least").alias("least"), *columns)
     places = [columns.index(f"own_{i}") + 3 if c != text_col else None for i, c in enumerate(keep)]
     schema = T.StructType([df.schema[c] if c != text_col else T.StructField(c, T.StringType(), True) for c in keep] + [T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPAN)])
 
@@ -712,12 +745,11 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             made = []
             for t, g, least, i in zip(texts, got, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if i == least:
-                    made.append(cut(t, np.frombuffer(b"".join(g or []), np.int32).reshape(-1, 2).astype(np.int64)))
+                    made.append(cut(t, np.frombuffer(g or b"", np.int32).reshape(-1, 2).astype(np.int64)))
                 else:
                     made.append((b"", [(0, len(t))]) if len(t) >= LENGTH else (t, []))
             columns = [pa.array([k for k, _ in made], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(texts, made, strict=True)], pa.int64()), pa.array([[{"start": a, "stop": b} for a, b in s] for _, s in made], ARROW_SPAN)]
             text = pa.array([None if no else t.decode("utf-8", "replace") for t, no in zip(texts, batch.column(4).to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([text if i is None else batch.column(i) for i in places] + columns, names=[*keep, *result])
-        release()
 
-    return near.unionByName(copied).mapInArrow(finish, schema)
+    return near.unionByName(copied).mapInArrow(releasing(finish), schema)

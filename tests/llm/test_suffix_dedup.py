@@ -60,6 +60,25 @@ def test_against_brute_force(spark, monkeypatch, seed, way):
     assert found(df) == brute(rows)
 
 
+def test_answers_are_no_row_for_each_text_and_bucket(spark, monkeypatch):
+    rng = random.Random(8)
+    passages = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(60)]
+    rows = [(i, "".join(rng.choice(passages) + f"{i:05}" for _ in range(8))) for i in range(400)]
+    made = {}
+
+    def counted(df, plain=S.checkpoint):
+        out = plain(df)
+        made[tuple(out.columns)] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "checkpoint", counted)
+    monkeypatch.setattr(S, "BUCKET_BYTES", (32 << 10, 32 << 10))
+    monkeypatch.setattr(S, "SLOT_BYTES", 64 << 10, raising=False)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    answers = [n for columns, n in made.items() if "got" in columns]
+    assert answers and max(answers) < len(rows)
+
+
 def test_many_repeated_rows(spark):
     text = "one sentence of more than fifty bytes that is here again and again. " * 20
     df = spark.range(20_000).selectExpr("2L AS doc_id", f"'{text}' AS text").union(spark.createDataFrame([(1, text), (3, "new " + text)], "doc_id long, text string"))
