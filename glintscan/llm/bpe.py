@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm import common
-from glintscan.llm.common import Grown, Numbering, free_name, map_text, release, ship, worker_state
+from glintscan.llm.common import Grown, Numbering, free_name, map_text, releasing, ship, worker_state
 
 NO_RANK = np.int32(2**31 - 1)
 #: Upper lengths in bytes of the matrix buckets; from the last on they double.
@@ -358,6 +358,5 @@ def decode_ids(df: DataFrame, rank_file: bytes, pattern: str, ids_col: str = "id
                 decoded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(k, n) for i in range(len(keep))] + [decoded], names=[*keep, "decoded"])
                 k += n
-        release()
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(releasing(run), schema)

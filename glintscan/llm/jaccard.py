@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm import common
-from glintscan.llm.common import Grown, Numbering, checkpoint, free_name, map_text, ship, worker_state
+from glintscan.llm.common import Grown, Numbering, checkpoint, free_name, map_text, releasing, ship, worker_state
 from glintscan.llm.components import components
 
 WORD = re.compile(r"\w+")
@@ -156,7 +156,7 @@ def forest(labels: DataFrame, trees: int, depth: int, shortest: int) -> DataFram
     path = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substr(F.col("labels"), t * width + 1, F.lit(width)))))
     paths = labels.filter(F.col("labels").isNotNull()).select(path.alias("path"), "key")
     ranges = paths.repartitionByRange("path", "key").sortWithinPartitions("path", "key")
-    walked = checkpoint(ranges.mapInArrow(lambda batches: walk(batches, depth, shortest), "a binary, b binary, root binary"))
+    walked = checkpoint(ranges.mapInArrow(releasing(lambda batches: walk(batches, depth, shortest)), "a binary, b binary, root binary"))
     ends = walked.filter(F.col("root").isNotNull()).select("root", "a")
     met = ends.join(ends.groupBy("root").agg(F.min("a").alias("b")), "root").select("a", "b")
     return walked.filter(F.col("root").isNull()).select("a", "b").unionByName(met).distinct()
@@ -300,7 +300,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, text_c
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.binary()), pa.array([r[1] for r in made], pa.int64()), pa.array([r[2] for r in made], pa.binary())], names=["key", "links", "root"])
 
-    verified = checkpoint(dealt.mapInArrow(check, "key binary, links long, root binary"))
+    verified = checkpoint(dealt.mapInArrow(releasing(check), "key binary, links long, root binary"))
     joined = components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     linked = verified.groupBy("key").agg(F.sum("links").alias("n_links"))
     linked = linked.join(joined.select(F.col("a").alias("key"), F.col("b").alias("head")), "key", "left").withColumn("head", F.coalesce("head", "key"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintscan.llm.common import checkpoint, release, releasing, ship
+from glintscan.llm.common import _WORKER, checkpoint, release, releasing, ship
 
 LENGTH = 50
 #: In place of its anchor: a string of a hot anchor, which meets none but its equals.
@@ -42,11 +42,11 @@ NO_ID = np.int64(2**63 - 1)
 HOT_TEXTS = 8192
 #: Bits that tell hot anchors, of each bucket and in all (32 MB).
 HOT_BITS = (1 << 16, 1 << 28)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Bytes of segments that one suffix array covers at most, but for a single anchor's.
 PORTION = 1 << 19
 #: Bytes of text whose anchors a task of the first pass holds at a time.
-FLUSH = 48 << 20
+FLUSH = 32 << 20
 #: A bucket is worked off in so many parts in the first and in the second pass, which bounds memory; its answers go out together, a row
 #: for each slot.
 PARTS = (6, 6)
@@ -285,16 +285,16 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 _CODES = np.random.default_rng(41).integers(0, 2**63, (2, 256), dtype=np.uint64) * U(2) + U(1)
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
-_POWERS: dict = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """At least n powers of the base, from 0, kept from call to call."""
-    held = _POWERS.get(base)
+    """At least n powers of the base, from 0, kept from call to call of a task."""
+    kept = _WORKER.setdefault("powers", {})
+    held = kept.get(base)
     if held is None or len(held) < n:
         held = np.full(max(n, CHUNK + 1), base, U)
         held[0] = 1
-        _POWERS[base] = np.cumprod(held, out=held)
+        kept[base] = np.cumprod(held, out=held)
     return held
 
 

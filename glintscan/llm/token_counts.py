@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glintscan.llm.bpe import ByteBPE, tokenizer
-from glintscan.llm.common import free_name, release, ship, slices
+from glintscan.llm.common import free_name, releasing, ship, slices
 
 LEAF = 64
 #: The pattern looks at most this many characters past the end of a match (a contraction's letters, a blank's follower).
@@ -196,6 +196,5 @@ def count_with_edits(df: DataFrame, edits: Column, rank_file: bytes, pattern: st
                     rows.append((before, len(c), edited.tree.total, edited.encoded, n, edited.text, *(edited.tree.runs() if keep_leaves else ())))
                 columns = [pa.array(list(c), kind) for c, (_, kind, _) in zip(zip(*rows, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(kept)] + columns, names=[*keep, *names])
-        release()
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(releasing(run), schema)

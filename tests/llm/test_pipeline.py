@@ -116,3 +116,28 @@ def test_no_folder_of_one_machine_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_folder(Session())
+
+
+def test_workers_release_after_their_variables_are_gone(monkeypatch):
+    import weakref
+
+    import numpy as np
+
+    from glintscan.llm import common, suffix_dedup
+
+    class Table:
+        pass
+
+    seen, alive = [], []
+
+    def run(batches):
+        table = Table()
+        seen.append(weakref.ref(table))
+        yield from batches
+
+    plain = common.release
+    monkeypatch.setattr(common, "release", lambda: (alive.append(seen[0]() is not None), plain()))
+    suffix_dedup.piece_hashes(np.zeros(100, np.uint8), np.array([0]), np.array([60]))
+    assert common._WORKER
+    assert list(common.releasing(run)(iter([1, 2]))) == [1, 2]
+    assert alive == [False] and not common._WORKER
