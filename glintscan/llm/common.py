@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,10 @@ from glintscan.config import shared_folder
 
 #: Rows of one Arrow batch are handed to numpy in slices of about this many text bytes.
 SLICE_BYTES = 1 << 20
+#: Spark ends a batch for a worker at about this many bytes. Its own limits are 10,000 rows and 64 MB, which an executor holds several times
+#: over outside its heap: vectors that double as they grow, and the stream to the worker.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A worker forgets its table of distinct words beyond this many, which bounds its memory.
 TABLE_LIMIT = 250_000
 
@@ -28,7 +32,10 @@ _WORKER: dict = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each Spark context, so that they can import it."""
+    """Sends this package to the Python workers, once for each Spark context, so that they can import it. A session that sets no
+    limit to the bytes of a batch gets BATCH_BYTES."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_glintscan_shipped", False):
         return
@@ -209,19 +216,10 @@ def fitting_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str
     same = (F.col("fit_id") == F.col("chosen_id")) & ((F.col("fit_group") == F.col("chosen_group")) if group_col else F.lit(True))
     rows = rows.filter(F.col("fit_text").isNotNull()).join(F.broadcast(chosen), same)
     once = checkpoint(rows.groupBy("chosen_group", "draw", "chosen_id", *extra).agg(F.min("fit_text").alias("chosen_text")))
-    sizes = once.select("chosen_group", "draw", "chosen_id", F.octet_length("chosen_text").alias("size")).orderBy("chosen_group", "draw", "chosen_id").collect()
-    groups = len({r["chosen_group"] for r in sizes})
-    total: dict = {}
-    taken = []
-    for r in sizes:
-        total[r["chosen_group"]] = total.get(r["chosen_group"], 0) + r["size"]
-        if total[r["chosen_group"]] <= MOST_BYTES // max(1, groups):
-            taken.append((r["chosen_group"], r["chosen_id"]))
-    keys = df_of(once, taken)
+    sizes = once.select("chosen_group", "draw", "chosen_id", F.octet_length("chosen_text").alias("size"))
+    groups = once.select("chosen_group").distinct().count()
+    first = Window.partitionBy("chosen_group").orderBy("draw", "chosen_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the keys stay with the executors: rows made from the driver's would start further Python workers there, which then idle
+    keys = sizes.withColumn("total", F.sum("size").over(first)).filter(F.col("total") <= MOST_BYTES // max(1, groups)).select("chosen_group", "chosen_id")
     found = once.join(F.broadcast(keys), ["chosen_group", "chosen_id"], "left_semi").orderBy("chosen_group", "draw", "chosen_id")
     return [(r["chosen_id"], *[r[c] for c in extra], r["chosen_text"]) for r in found.select("chosen_id", *extra, "chosen_text").toLocalIterator()]
-
-
-def df_of(like: DataFrame, keys: list[tuple]) -> DataFrame:
-    """The keys (chosen_group, chosen_id) as a table of the types that `like` has."""
-    return like.sparkSession.createDataFrame(keys, T.StructType([like.schema["chosen_group"], like.schema["chosen_id"]]))

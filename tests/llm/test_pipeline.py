@@ -2,6 +2,7 @@ import base64
 
 import corpus_pipeline
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -141,3 +142,34 @@ def test_workers_release_after_their_variables_are_gone(monkeypatch):
     assert common._WORKER
     assert list(common.releasing(run)(iter([1, 2]))) == [1, 2]
     assert alive == [False] and not common._WORKER
+
+
+def test_batches_for_workers_are_bounded_by_bytes(spark):
+    from glintscan.llm import common
+
+    session = spark.newSession()  # without a limit of its own
+    common.ship(session)
+    wide = session.range(0, 400, 1, 1).withColumn("text", F.repeat(F.lit("x"), 50_000))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    got = wide.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 400 and max(r.bytes for r in got) < 1.1 * common.BATCH_BYTES
+    chosen = spark.newSession()
+    chosen.conf.set(common.BATCH_SETTING, "1m")
+    common.ship(chosen)
+    assert chosen.conf.get(common.BATCH_SETTING) == "1m"
+
+
+def test_fitting_makes_no_rows_from_the_drivers(spark, monkeypatch):
+    from pyspark.sql import SparkSession
+
+    from glintscan.llm import common
+
+    docs = spark.createDataFrame([(k, f"text {k}", "xy"[k % 2]) for k in range(20)], "doc_id long, text string, lang string")
+    chosen = docs.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_group"), (-F.col("doc_id")).alias("draw"))
+    monkeypatch.setattr(common, "MOST_BYTES", 2 * 21)
+    monkeypatch.setattr(SparkSession, "createDataFrame", None)
+    assert common.fitting_texts(docs, chosen, "doc_id", "text", "lang", []) == [(k, f"text {k}") for k in (18, 16, 14, 19, 17, 15)]
