@@ -256,18 +256,40 @@ def expand(blob: bytes) -> bytes:
     return CODEC.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
 
 
-def by_uid(uid: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct uids in order, at which row each begins (and the end), and the rows of int32 values in that order."""
+def joined(arrays: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list is emptied, so that they are not held twice for long."""
+    out = np.concatenate(arrays)
+    arrays.clear()
+    return out
+
+
+def numbered(uid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct uids in order, and the number of each given one among them."""
     u = np.ascontiguousarray(uid).view(U)
     order = np.lexsort((u[:, 1], u[:, 0]))
     u = u[order]
-    head = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]).any(axis=1)])) if len(u) else np.zeros(0, np.int64)
-    return u[head], np.append(head, len(u)), np.ascontiguousarray(values[order].astype(np.int32))
+    fresh = np.concatenate([[True], (u[1:] != u[:-1]).any(axis=1)])[: len(u)]
+    number = np.empty(len(u), np.int32)
+    number[order] = np.cumsum(fresh) - 1
+    return u[fresh], number
+
 
+def by_number(number: np.ndarray, many: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At which row each of so many numbers begins (and the end), and the rows of int32 values in that order."""
+    begin = np.append(0, np.cumsum(np.bincount(number, minlength=many)))
+    return begin, np.ascontiguousarray(values[np.argsort(number, kind="stable")].astype(np.int32, copy=False))
 
-def by_slot(uid: np.ndarray, values: np.ndarray, slots: int) -> list[tuple[int, bytes, bytes, bytes]]:
-    """(slot, its uids, the number of rows of each, the rows) for answers."""
-    lead, begin, values = by_uid(uid, values)
+
+def by_uid(uid: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct uids in order, at which row each begins (and the end), and the rows of int32 values in that order."""
+    lead, number = numbered(uid)
+    return lead, *by_number(number, len(lead), values)
+
+
+def by_slot(uid: np.ndarray, values: np.ndarray, slots: int, number: np.ndarray | None = None) -> list[tuple[int, bytes, bytes, bytes]]:
+    """(slot, its uids, the number of rows of each, the rows) for answers; with `number`, that of each row's uid."""
+    lead, of = numbered(uid)
+    begin, values = by_number(of if number is None else of[number], len(lead), values)
     edges = np.searchsorted((lead[:, 0] >> U(32)) * U(slots) >> U(32), np.arange(slots + 1)).tolist()
     n = np.diff(begin).astype(np.uint32)
     return [(i, lead[a:b].tobytes(), squeeze(n[a:b]), squeeze(values[begin[a] : begin[b]])) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
@@ -454,38 +476,47 @@ def first_answer(hot: HotAnchors, slots: int):
 
     def run(table: pa.Table) -> pa.Table:
         release()
-        found = [own_answers(table, 1)]
+        uid, values = own_answers(table, 1)
+        found = [(*numbered(uid), values)]  # of the bucket and of each part: uids, and for each answer the number of its uid
         marks = []
         bucket = table.column("bucket")[0].as_py()
         for part, rows in by_part(table):
-            keys, uids, places, senders, texts = [], [], [], [], []
+            keys, leads, lengths, places, known, texts_of = [], [], [], [], [], []
             for r in rows:
-                counts = np.frombuffer(expand(r["d"]), np.uint32)
-                own, known = from_bits(r["a"], r["b"]), from_bits(r["f"], r["g"])
-                keys += [own, known]
-                uids += [np.repeat(np.frombuffer(r["c"], np.int64).reshape(-1, 2), counts, axis=0), np.zeros((len(known), 2), np.int64)]
-                places += [np.cumsum(np.frombuffer(expand(r["e"]), np.int32), dtype=np.int32), np.zeros(len(known), np.int32)]
-                senders += [np.ones(len(own), bool), np.zeros(len(known), bool)]  # False: only known to be shared
-                texts += [np.ones(len(own), np.uint32), np.frombuffer(expand(r["h"]), np.uint32)]
-            # a text may have come from several tasks
-            key, uid, place, sender, texts_of = (np.concatenate(x) for x in (keys, uids, places, senders, texts))
-            del keys, uids, places, senders, texts
+                keys.append(from_bits(r["a"], r["b"]))
+                leads.append(r["c"])
+                lengths.append(np.frombuffer(expand(r["d"]), np.uint32))
+                places.append(np.cumsum(np.frombuffer(expand(r["e"]), np.int32), dtype=np.int32))
+                known.append(from_bits(r["f"], r["g"]))
+                texts_of.append(np.frombuffer(expand(r["h"]), np.uint32))
+            lead, number = numbered(uid_array(leads))  # a text may have come from several tasks
+            text, n = np.repeat(number, joined(lengths)), sum(map(len, keys))
+            key, place, texts_of = joined(keys + known), joined(places), joined(texts_of)
+            del keys, leads, number, known
             if not len(key):
                 continue
             order = np.argsort(key)
-            k, own, u = key[order], sender[order], uid[order]
+            k, own = key[order], order < n  # not own: only known to be shared
+            del key
             head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            other = np.concatenate([[False], (u[1:] != u[:-1]).any(axis=1) & (k[1:] == k[:-1])])
-            shared = np.logical_or.reduceat(other | ~own, head)
-            hit = order[np.repeat(shared, np.diff(np.append(head, len(k)))) & own]
-            found.append((uid[hit], place[hit][:, None]))
-            full = np.add.reduceat(texts_of[order].astype(np.int64), head) > HOT_TEXTS
-            if full.any():
-                marks.append((bucket * PARTS[0] + part, None, None, hot.marks(k[head[full]])))
-        uid, values = (np.concatenate(x) for x in zip(*found, strict=True))
-        del found
+            many = np.diff(np.append(head, len(k)))
+            t = np.append(text, np.full(len(k) - n, -1, np.int32))[order]
+            other = np.concatenate([[False], (t[1:] != t[:-1]) & (k[1:] == k[:-1])])
+            hit = order[np.repeat(np.logical_or.reduceat(other | ~own, head), many) & own]
+            met, answered = np.unique(text[hit], return_inverse=True)
+            found.append((lead[met], answered.astype(np.int32), place[hit][:, None]))
+            at = np.flatnonzero(~own)
+            np.add.at(many, np.searchsorted(head, at, "right") - 1, texts_of[order[at] - n].astype(np.int64) - 1)
+            if (many > HOT_TEXTS).any():
+                marks.append((bucket * PARTS[0] + part, None, None, hot.marks(k[head[many > HOT_TEXTS]])))
+            del lead, text, place, order, k, own, t, other, hit, head, many, met, answered
+        uids, numbers, places = (list(x) for x in zip(*found, strict=True))
+        del found, uid, values
+        begin = np.cumsum([0, *map(len, uids)], dtype=np.int32)
+        number, values = joined([x + b for x, b in zip(numbers, begin, strict=False)]), joined(places)
+        del numbers
         release()
-        return pa.Table.from_batches([packed(by_slot(uid, values, slots) + marks, BACK)])
+        return pa.Table.from_batches([packed(by_slot(joined(uids), values, slots, number) + marks, BACK)])
 
     return run
 

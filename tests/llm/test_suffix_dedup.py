@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -138,3 +139,30 @@ def test_repeats_numbers_equal_strings():
     for s, k in zip(strings, number.tolist()):
         assert seen.setdefault(s, k) == k
     assert len(set(seen.values())) == len(seen)
+
+
+def test_answers_of_a_bucket_are_the_places_of_shared_anchors(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 500, dtype=np.uint8).tobytes() for _ in range(60)]
+    texts += [t[:200] + texts[0] for t in texts[:40]]
+    rows = []
+    for own in (texts[:70], texts[30:], texts[5:6]):  # of three tasks; some texts are in two
+        batch = pa.RecordBatch.from_arrays([pa.array([hashlib.md5(t).digest() for t in own], pa.binary()), pa.array(own, pa.binary())], names=["key", "text"])
+        rows += S.first_pass(12, 16, 3)(iter([batch]))
+    places: dict[int, set] = {}
+    for t in texts:
+        _, low, _, _, key = S.segments(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), 16)
+        for k, at in zip(key.tolist(), low.tolist(), strict=True):
+            places.setdefault(k, set()).add((hashlib.md5(t).digest(), at))
+    wanted = {x for found in places.values() if len({u for u, _ in found}) > 1 for x in found}
+    for hot, some in ((8192, False), (20, True)):
+        monkeypatch.setattr(S, "HOT_TEXTS", hot)
+        got, marks = [], 0
+        for bucket in range(2):
+            answer = S.first_answer(S.HotAnchors(12), 3)(pa.Table.from_batches([r for r in rows if r.column(0)[0].as_py() == bucket])).to_pylist()
+            uid, values = S.from_slots([(r["uid"], r["n"], r["got"]) for r in answer if r["uid"] is not None], 1)
+            got += [(u.tobytes(), v) for u, v in zip(uid, values[:, 0].tolist(), strict=True)]
+            marks += sum(r["uid"] is None for r in answer)
+        assert set(got) == wanted and bool(marks) == some
